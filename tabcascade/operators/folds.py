@@ -85,14 +85,15 @@ def group_folds(
     seed: int = 0,
     name: str = "fold",
     leaf_rows: int = LEAF_ROWS,
+    heavy_parts: int | None = HEAVY_PARTS,
     **how,
 ) -> DataFrame:
     """Stratified group k-fold: no group is in two folds, classes stay in proportion.
 
     A group belongs to its most frequent label, the smallest on ties. Groups
-    that hold more than 1/16 of a fold's share of their class, of which there
-    are at most 16 k per class, go to the emptiest fold, largest first. All
-    others are laid out in hash order and cut by running row count so that the
+    that hold more than 1/``heavy_parts`` of a fold's share of their class, of
+    which there are at most ``heavy_parts * k`` per class, go to the emptiest
+    fold, largest first; None turns that off. All others are laid out in hash order and cut by running row count so that the
     folds end equal. Where every group has one label, as copies of a row do,
     the fold is a function of the row and nothing is joined.
     """
@@ -108,11 +109,13 @@ def group_folds(
     if not totals:
         return df.withColumn(name, F.lit(None).cast("int"))
     code = seeded_code(seed, group)
-    heavy_from = {r["label"]: r["n"] / (k * HEAVY_PARTS) for r in totals}
     is_heavy = F.lit(False)
-    for value, floor in heavy_from.items():
-        is_heavy = is_heavy | ((F.col("label") == value) & (F.col("weight") > floor))
-    heavy = groups.filter(is_heavy).select("label", "weight", grp.alias("group"), code.alias("code")).collect()
+    for r in totals if heavy_parts else ():
+        floor = r["n"] / (k * heavy_parts)
+        is_heavy = is_heavy | ((F.col("label") == r["label"]) & (F.col("weight") > floor))
+    heavy = []
+    if heavy_parts:
+        heavy = groups.filter(is_heavy).select("label", "weight", grp.alias("group"), code.alias("code")).collect()
     loads = {r["label"]: [0.0] * k for r in totals}
     placed: dict[int, list] = {i: [] for i in range(k)}
     for r in sorted(heavy, key=lambda r: (-r["weight"], r["code"])):
