@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabcascade.session import ensure_checkpoint_dir
+from tabcascade.session import ensure_checkpoint_dir, release_held
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,12 @@ def query(name: str, sql: str | None = None):
     def add(build: Callable[[Tables], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"{name} is registered twice")
-        REGISTRY[name] = Bound(lambda spark, folder: build(Tables(spark, folder)), sql)
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            release_held()
+            return build(Tables(spark, folder))
+
+        REGISTRY[name] = Bound(run, sql)
         return build
 
     return add

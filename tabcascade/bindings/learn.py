@@ -50,7 +50,6 @@ from tabcascade.plans.tuning import (
     fixed,
     grid,
     grid_search,
-    held,
     loss_curves,
     random_grid,
     rate_sweep,
@@ -58,6 +57,7 @@ from tabcascade.plans.tuning import (
     staged_search,
     stop_round,
 )
+from tabcascade.session import hold
 
 FEATURE_NAMES = ["value", "k", "user", "hour", "is_click", "is_view", "is_error"]
 FEATURE_EXPRESSIONS = [
@@ -77,17 +77,17 @@ def learn_rows(t: Tables) -> DataFrame:
 
 
 def class_rows(t: Tables, *keep: str) -> DataFrame:
-    return held(with_features(learn_rows(t), FEATURE_NAMES, ["event_id", "label", *keep]))
+    return hold(with_features(learn_rows(t), FEATURE_NAMES, ["event_id", "label", *keep]))
 
 
 def binary_rows(t: Tables) -> DataFrame:
-    return held(with_features(learn_rows(t).withColumn("label", binary_label("label")), FEATURE_NAMES, ["event_id", "label"]))
+    return hold(with_features(learn_rows(t).withColumn("label", binary_label("label")), FEATURE_NAMES, ["event_id", "label"]))
 
 
 def reason_rows(t: Tables) -> DataFrame:
     """Stage-two rows, with two reasons and the rest, so that one-vs-rest stays short."""
     df = second_stage_rows(learn_rows(t), "label").withColumn("label", F.least(F.col("label"), F.lit(2)).cast("int"))
-    return held(with_features(df, FEATURE_NAMES, ["event_id", "label"]))
+    return hold(with_features(df, FEATURE_NAMES, ["event_id", "label"]))
 
 
 def tiny_boost(label: str, seed: int = 0, **params):
@@ -102,13 +102,13 @@ def fold_rows(t: Tables, k: int = 3) -> DataFrame:
     """Over-sampled stage-two rows; copies of a row share its fold."""
     df = second_stage_rows(learn_rows(t), "label").withColumn("label", F.least(F.col("label"), F.lit(2)).cast("int"))
     df = group_folds(over_sample(df, "event_id", "label", 326), "event_id", "label", k)
-    return held(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
+    return hold(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
 
 
 def binary_fold_rows(t: Tables, k: int = 3) -> DataFrame:
     df = group_folds(top_up(learn_rows(t), "event_id", "label", 1126), "event_id", "label", k)
     df = df.withColumn("label", binary_label("label"))
-    return held(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
+    return hold(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
 
 
 def forest(params=()):
@@ -126,7 +126,7 @@ def score_table(t: Tables, rows, schema: str) -> DataFrame:
 def out_of_fold(t: Tables):
     """Predictions of each row by the model that did not see it, with the A12 histogram."""
     df = stratified_folds(learn_rows(t).withColumn("label", binary_label("label")), "event_id", "label", 3, seed=1126)
-    rows = held(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
+    rows = hold(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
     parts = []
     for i in range(3):
         model = tiny_boost("label", 1126).fit(rows.filter(F.col("fold") != i))
@@ -204,7 +204,7 @@ def boosted_classes(t: Tables):
 
 
 def weighted(rows: DataFrame) -> DataFrame:
-    return held(with_class_weight(rows, "label", class_weights(rows, "label")))
+    return hold(with_class_weight(rows, "label", class_weights(rows, "label")))
 
 
 def scaled_rows(t: Tables) -> DataFrame:
@@ -221,7 +221,7 @@ def logistic_weighted(t: Tables):
 
 @query("M4_logistic_stages")
 def logistic_stages(t: Tables):
-    rows = held(scaled_rows(t))
+    rows = hold(scaled_rows(t))
     first, second = rows.withColumn("label", binary_label("label")), second_stage_rows(rows, "label")
     n1, n2 = first.count(), second.count()
     both = fit_cascade(first, second, lambda: [logistic("label", n1, max_iter=10)], lambda: [logistic("label", n2, classes=5, max_iter=10)], 5)
@@ -258,7 +258,7 @@ def hard_vote(t: Tables):
 
 @query("M9_seeded_bags")
 def bags(t: Tables):
-    df = held(learn_rows(t))
+    df = hold(learn_rows(t))
 
     def resample(seed):
         bag = balanced_bag(df, "event_id", "label", 600, 120, seed).withColumn("label", binary_label("label"))
@@ -291,13 +291,13 @@ def importance(t: Tables):
 def top_features(t: Tables):
     """Project to the most important features."""
     df = learn_rows(t)
-    model = forest().fit(held(with_features(df, FEATURE_NAMES, ["label"])))
+    model = forest().fit(hold(with_features(df, FEATURE_NAMES, ["label"])))
     return df.select("event_id", *ranked_features(gain_importance(model, FEATURE_NAMES))[:3])
 
 
 @query("M13_feature_elimination")
 def elimination(t: Tables):
-    df = held(stratified_folds(learn_rows(t).withColumn("label", binary_label("label")), "event_id", "label", 2))
+    df = hold(stratified_folds(learn_rows(t).withColumn("label", binary_label("label")), "event_id", "label", 2))
     names = FEATURE_NAMES[:4]
     out = eliminate(lambda: RandomForestClassifier(labelCol="label", numTrees=3, maxDepth=4, seed=1), df, names, "label", "fold", ConfusionEvaluator("accuracy"))
     return score_table(t, [(f, r, out.best_size) for f, r in out.ranking.items()], "feature string, ranking int, best_size int")
@@ -306,7 +306,7 @@ def elimination(t: Tables):
 @query("M14_top_k_sweep")
 def sweep(t: Tables):
     df = second_stage_rows(learn_rows(t), "label")
-    df = held(group_folds(over_sample(df, "event_id", "label", 326), "event_id", "label", 2))
+    df = hold(group_folds(over_sample(df, "event_id", "label", 326), "event_id", "label", 2))
     ranking = gain_importance(forest().fit(with_features(df, FEATURE_NAMES, ["label"])), FEATURE_NAMES)
     scores = top_k_sweep(forest, df, ranking, [2, 4], "label", "fold", ConfusionEvaluator("accuracy"))
     return score_table(t, [(k, float(s)) for k, s in scores.items()], "k int, mean_score double")
@@ -318,12 +318,12 @@ def sweep(t: Tables):
 def two_stage_models(t: Tables, rows: DataFrame) -> Cascade:
     first = with_features(top_up(rows, "event_id", "label", 1126).withColumn("label", binary_label("label")), FEATURE_NAMES, ["label"])
     second = with_features(over_sample(second_stage_rows(rows, "label"), "event_id", "label", 326), FEATURE_NAMES, ["label"])
-    return fit_cascade(held(first), held(second), lambda: [tiny_boost("label", s) for s in (0, 1)], lambda: [forest({"seed": s}) for s in (0, 1, 2)], 5)
+    return fit_cascade(hold(first), hold(second), lambda: [tiny_boost("label", s) for s in (0, 1)], lambda: [forest({"seed": s}) for s in (0, 1, 2)], 5)
 
 
 @query("M15_cascade")
 def two_stages(t: Tables):
-    df = held(learn_rows(t))
+    df = hold(learn_rows(t))
     both = two_stage_models(t, df)
     return both.score(with_features(df, FEATURE_NAMES, ["event_id", "label"]), "prediction").select("event_id", "label", "prediction")
 
@@ -334,7 +334,7 @@ def partly_labelled(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def class_rows_of(df: DataFrame) -> DataFrame:
-    return held(with_features(df, FEATURE_NAMES, ["event_id", "label"]))
+    return hold(with_features(df, FEATURE_NAMES, ["event_id", "label"]))
 
 
 @query("M16_pseudo_label_first")
@@ -349,8 +349,8 @@ def pseudo_first(t: Tables):
 @query("M17_pseudo_label_second")
 def pseudo_second(t: Tables):
     labelled, unlabelled = partly_labelled(t)
-    first = forest({"seed": 2}).fit(held(labelled.withColumn("label", binary_label("label"))))
-    second = forest({"seed": 3}).fit(held(second_stage_rows(labelled, "label")))
+    first = forest({"seed": 2}).fit(hold(labelled.withColumn("label", binary_label("label"))))
+    second = forest({"seed": 3}).fit(hold(second_stage_rows(labelled, "label")))
     again, rows = pseudo_label_second(first, second, lambda: forest({"seed": 3}), labelled, unlabelled, "label")
     return tally(add_prediction(again, rows, "prediction"), "label", "prediction")
 

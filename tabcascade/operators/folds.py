@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from tabcascade.functions import order_code, seeded_code
 from tabcascade.operators.aggregates import class_sizes
 from tabcascade.operators.relational import enrich
 from tabcascade.operators.selection import LEAF_ROWS, Cut, at_or_below, find_cuts, weighted_items
+from tabcascade.session import hold
 
 HEAVY_PARTS = 16
 
@@ -58,10 +58,10 @@ def stratified_folds(
     """Stratified k-fold over unique keys: in key order, or shuffled by a seed."""
     code = order_code(df, key) if seed is None else seeded_code(seed, key)
     tie, lab = F.col(f"`{key}`"), F.col(f"`{label}`")
-    ends = {}
-    for value, shares in fold_shares(class_sizes(df, label), k).items():
-        ends[value] = [sum(shares[: i + 1]) for i in range(k - 1)]
-    cuts = find_cuts(weighted_items(df.filter(lab.isNotNull()), lab, code, tie), ends, leaf_rows)
+    sizes = class_sizes(df, label)
+    ends = {c: [sum(shares[: i + 1]) for i in range(k - 1)] for c, shares in fold_shares(sizes, k).items()}
+    items = weighted_items(df.filter(lab.isNotNull()), lab, code, tie)
+    cuts = find_cuts(items, ends, sizes, leaf_rows, even=seed is not None)
     return df.withColumn(name, _stretch_column(lab, code, tie, cuts))
 
 
@@ -104,8 +104,12 @@ def group_folds(
         F.sum("n").alias("weight"),
         F.count(F.lit(1)).alias("labels"),
     )
-    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
-    totals = groups.groupBy("label").agg(F.sum("weight").alias("n"), F.max("labels").alias("labels")).collect()
+    groups = hold(groups)
+    totals = (
+        groups.groupBy("label")
+        .agg(F.sum("weight").alias("n"), F.max("labels").alias("labels"), F.count(F.lit(1)).alias("groups"))
+        .collect()
+    )
     if not totals:
         return df.withColumn(name, F.lit(None).cast("int"))
     code = seeded_code(seed, group)
@@ -128,7 +132,7 @@ def group_folds(
         parts = _fill_levels(loads[r["label"]], r["n"] - sum(loads[r["label"]]))
         ends[r["label"]] = [sum(parts[: i + 1]) for i in range(k - 1)]
     items = weighted_items(groups.filter(~is_heavy), F.col("label"), code, grp, F.col("weight"))
-    cuts = find_cuts(items, ends, leaf_rows)
+    cuts = find_cuts(items, ends, {r["label"]: r["groups"] for r in totals}, leaf_rows)
 
     def fold_of(label_column: Column) -> Column:
         fold = _stretch_column(label_column, code, grp, cuts)

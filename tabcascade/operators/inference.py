@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tabcascade.functions import half_even
 from tabcascade.operators.aggregates import city_population, mean_where
-from tabcascade.operators.relational import enrich, fill_from_lookup, last_value_lookup
+from tabcascade.operators.relational import enrich, fill_from_lookup, last_value_lookup, measured
+from tabcascade.session import hold
 
 
 def fill_null(df: DataFrame, target: str, candidate: Column) -> DataFrame:
@@ -111,31 +112,27 @@ def complete_places(
     ``order`` names the column of ``places`` whose order decides which of two
     entries for one key is the later, and so the valid one.
     """
-    lon_to_lat = last_value_lookup(places, c.longitude, c.latitude, order)
-    lat_to_lon = last_value_lookup(places, c.latitude, c.longitude, order)
+    lon_to_lat = measured(last_value_lookup(places, c.longitude, c.latitude, order), c.longitude)
+    lat_to_lon = measured(last_value_lookup(places, c.latitude, c.longitude, order), c.latitude)
 
     def coordinates(rows: DataFrame) -> DataFrame:
         rows = fill_from_lookup(rows, lon_to_lat, c.longitude, c.latitude, **how)
         rows = fill_from_lookup(rows, lat_to_lon, c.latitude, c.longitude, **how)
         return split_coordinates(join_coordinates(rows, c), c, keep_known)
 
-    text_to_zip = last_value_lookup(coordinates(places), c.text, c.zip_code, order)
-    return fill_from_lookup(coordinates(df), text_to_zip, c.text, c.zip_code, **how)
+    known = coordinates(places)
+    text_to_zip = last_value_lookup(known, c.text, c.zip_code, order)
+    return fill_from_lookup(known if df is places else coordinates(df), text_to_zip, c.text, c.zip_code, **how)
 
 
 def apply_population(df: DataFrame, places: DataFrame, population: DataFrame, c: PlaceColumns, **how) -> DataFrame:
     """Population by zip code, else the mean of the city, else the pooled mean."""
     by_zip = enrich(df, population.select(c.zip_code, c.population), c.zip_code, **how)
-    means = city_population(places, population, c.city, c.zip_code, c.population)
-    pooled = means.filter(F.col(f"`{c.city}`").isNull()).first()
-    by_city = enrich(
-        by_zip,
-        means.filter(F.col(f"`{c.city}`").isNotNull()),
-        c.city,
-        needed=F.col(f"`{c.population}`").isNull(),
-        **how,
-    )
-    without_city = F.when(F.col(f"`{c.city}`").isNull(), F.lit(pooled["mean_population"] if pooled else None))
+    means = hold(city_population(places, population, c.city, c.zip_code, c.population))
+    by_city = enrich(by_zip, means, c.city, needed=F.col(f"`{c.population}`").isNull(), **how)
+    # One number, looked up inside the same job.
+    pooled = means.filter(F.col(f"`{c.city}`").isNull()).select("mean_population").scalar()
+    without_city = F.when(F.col(f"`{c.city}`").isNull(), pooled)
     filled = F.coalesce(F.col(f"`{c.population}`").cast("double"), F.col("mean_population"), without_city)
     return by_city.withColumn(c.population, filled).drop("mean_population")
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabcascade.session import hold
+
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 0.01
 NULL_SPREAD = 1024
@@ -68,9 +70,26 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width.cast("bigint")).alias("bytes")).first()["bytes"] or 0
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A table with one row per non-NULL key, and its measured size."""
+
+    rows: DataFrame
+    key: str
+    bytes: int
+
+    def values(self) -> list[str]:
+        return [c for c in self.rows.columns if c != self.key]
+
+
+def measured(lookup: DataFrame, key: str) -> Lookup:
+    rows = hold(lookup.filter(F.col(f"`{key}`").isNotNull()))
+    return Lookup(rows, key, measured_bytes(rows))
+
+
 def enrich(
     df: DataFrame,
-    lookup: DataFrame,
+    lookup: DataFrame | Lookup,
     key: str,
     needed: Column | None = None,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
@@ -90,15 +109,14 @@ def enrich(
 
     Every fact row comes out exactly once.
     """
-    names = [c for c in lookup.columns if c != key]
-    lookup = lookup.filter(F.col(f"`{key}`").isNotNull())
+    found = lookup if isinstance(lookup, Lookup) else measured(lookup, key)
+    names, rows = found.values(), found.rows
     needed = F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
-    lookup = lookup.persist(StorageLevel.MEMORY_AND_DISK)
-    if measured_bytes(lookup) <= broadcast_limit:
+    if found.bytes <= broadcast_limit:
         joined = df.withColumn("_probe", F.when(needed, F.col(f"`{key}`"))).join(
-            F.broadcast(lookup.withColumnRenamed(key, "_probe")), "_probe", "left"
+            F.broadcast(rows.withColumnRenamed(key, "_probe")), "_probe", "left"
         )
-        return joined.select(*df.columns, *names)
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`") for c in names])
 
     wanting = df.filter(needed & F.col(f"`{key}`").isNotNull())
     floor = max(1.0, wanting.count() * hot_share)
@@ -110,11 +128,11 @@ def enrich(
     rows_hash = F.pmod(mixed, F.lit(NULL_SPREAD)).cast("bigint") + 1
     can_match = needed & F.col(f"`{key}`").isNotNull() & ~is_hot
     salted = df.withColumn("_salt", F.when(can_match, F.lit(0).cast("bigint")).otherwise(rows_hash))
-    cold = with_suffix(lookup, [key], "_cold").withColumn("_salt", F.lit(0).cast("bigint"))
+    cold = with_suffix(rows, [key], "_cold").withColumn("_salt", F.lit(0).cast("bigint"))
     joined = salted.join(cold, [key, "_salt"], "left")
     values = {c: F.col(f"`{c}_cold`") for c in names}
     if hot_keys:
-        hot = with_suffix(lookup.filter(is_hot), [key], "_hot").withColumn("_found", F.lit(True))
+        hot = with_suffix(rows.filter(is_hot), [key], "_hot").withColumn("_found", F.lit(True))
         hot = hot.withColumnRenamed(key, "_probe")
         joined = joined.withColumn("_probe", F.when(needed, F.col(f"`{key}`")))
         joined = joined.join(F.broadcast(hot), "_probe", "left")
@@ -134,9 +152,10 @@ def last_value_lookup(df: DataFrame, key: str, value: str, order: str) -> DataFr
     return pairs.groupBy(key).agg(F.max_by(F.col(f"`{value}`"), F.col("_first")).alias(value))
 
 
-def fill_from_lookup(df: DataFrame, lookup: DataFrame, key: str, value: str, **how) -> DataFrame:
+def fill_from_lookup(df: DataFrame, lookup: DataFrame | Lookup, key: str, value: str, **how) -> DataFrame:
     """Fill NULLs of ``value`` from a ``key -> value`` dictionary; nothing else changes."""
-    found = lookup.select(F.col(f"`{key}`"), F.col(f"`{value}`").alias("_found_value"))
+    found = lookup if isinstance(lookup, Lookup) else measured(lookup, key)
+    found = Lookup(found.rows.withColumnRenamed(value, "_found_value"), key, found.bytes)
     joined = enrich(df, found, key, needed=F.col(f"`{value}`").isNull(), **how)
     return joined.withColumn(value, F.coalesce(F.col(f"`{value}`"), F.col("_found_value"))).drop("_found_value")
 

@@ -37,16 +37,22 @@ def keep_exactly(
     label: str,
     sizes: Mapping[object, int],
     seed: int,
+    have: Mapping[object, int] | None = None,
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Of each class in ``sizes`` keep exactly that many rows (all, if it has fewer).
 
-    Rows of other classes stay. Nothing is shuffled but counts.
+    Rows of other classes stay, those without a label go. Nothing is shuffled
+    but counts; ``have``, the present class sizes, saves one of them.
     """
     code, tie, lab = seeded_code(seed, key), F.col(f"`{key}`"), F.col(f"`{label}`")
-    items = weighted_items(df.filter(lab.isin(list(sizes))), lab, code, tie)
-    cuts = find_cuts(items, {c: [n] for c, n in sizes.items()}, leaf_rows)
-    keep = ~lab.isin(list(sizes))
+    have = class_sizes(df, label) if have is None else have
+    shrunk = {c: n for c, n in sizes.items() if n < have.get(c, 0)}
+    if not shrunk:
+        return df
+    items = weighted_items(df.filter(lab.isin(list(shrunk))), lab, code, tie)
+    cuts = find_cuts(items, {c: [n] for c, n in shrunk.items()}, have, leaf_rows)
+    keep = ~lab.isin(list(shrunk))
     for c, (cut,) in cuts.items():
         keep = keep | ((lab == c) & at_or_below(code, tie, cut))
     return df.filter(keep)
@@ -111,48 +117,57 @@ def extra_draws(
     return repeated.select(*df.columns)
 
 
-def top_up(df: DataFrame, key: str, label: str, seed: int, base: object = 0, **how) -> DataFrame:
+def _shares(sizes: Mapping[object, int], base: object) -> dict[object, int]:
+    """Draws that each other class lacks for an equal share of the base class."""
+    others = [c for c in sizes if c != base]
+    share = sizes.get(base, 0) / max(1, len(others))
+    return {c: max(0, int(share - sizes[c])) for c in others}
+
+
+def top_up(df: DataFrame, key: str, label: str, seed: int, base: object = 0, sizes: Mapping | None = None, **how) -> DataFrame:
     """Bring every other class up to an equal share of the base class.
 
     Originals stay; a class already above its share is left alone.
     """
-    sizes = class_sizes(df, label)
-    others = [c for c in sizes if c != base]
-    share = sizes.get(base, 0) / max(1, len(others))
-    draws = {c: max(0, int(share - sizes[c])) for c in others}
-    return df.unionByName(extra_draws(df, key, label, draws, seed, sizes, **how))
+    sizes = class_sizes(df, label) if sizes is None else sizes
+    return df.unionByName(extra_draws(df, key, label, _shares(sizes, base), seed, sizes, **how))
 
 
 def under_then_top_up(df: DataFrame, key: str, label: str, n: int, seed: int, base: object = 0, **how) -> DataFrame:
     """Cut the base class to ``n`` rows, then top the others up to its share."""
-    return top_up(keep_exactly(df, key, label, {base: n}, seed, **how), key, label, seed, base, **how)
+    sizes = class_sizes(df, label)
+    kept = keep_exactly(df, key, label, {base: n}, seed, sizes, **how)
+    left = {**sizes, base: min(n, sizes.get(base, 0))}
+    return kept.unionByName(extra_draws(df, key, label, _shares(left, base), seed, sizes, **how))
 
 
 def balanced_bag(df: DataFrame, key: str, label: str, n_base: int, n_other: int, seed: int, base: object = 0, **how) -> DataFrame:
     """``n_base`` rows of the base class and ``n_other`` draws of each other class."""
-    lab = F.col(f"`{label}`")
     sizes = class_sizes(df, label)
-    kept = keep_exactly(df.filter(lab == base), key, label, {base: n_base}, seed, **how)
+    kept = keep_exactly(df.filter(F.col(f"`{label}`") == base), key, label, {base: n_base}, seed, sizes, **how)
     draws = {c: n_other for c in sizes if c != base}
     return kept.unionByName(extra_draws(df, key, label, draws, seed, sizes, **how))
 
 
-def over_sample(df: DataFrame, key: str, label: str, seed: int, **how) -> DataFrame:
+def over_sample(df: DataFrame, key: str, label: str, seed: int, sizes: Mapping | None = None, **how) -> DataFrame:
     """Draw every class up to the size of the largest; originals stay."""
-    sizes = class_sizes(df, label)
+    sizes = class_sizes(df, label) if sizes is None else sizes
     most = max(sizes.values(), default=0)
     return df.unionByName(extra_draws(df, key, label, {c: most - n for c, n in sizes.items()}, seed, sizes, **how))
 
 
 def under_then_over(df: DataFrame, key: str, label: str, shrink: Mapping[object, int], seed: int, **how) -> DataFrame:
     """Cut the named classes to fixed sizes, then over-sample."""
-    return over_sample(keep_exactly(df, key, label, shrink, seed, **how), key, label, seed, **how)
+    sizes = class_sizes(df, label)
+    kept = keep_exactly(df, key, label, shrink, seed, sizes, **how)
+    left = {c: min(n, shrink.get(c, n)) for c, n in sizes.items()}
+    return over_sample(kept, key, label, seed, left, **how)
 
 
 def stratified_fraction(df: DataFrame, key: str, label: str, parts: int, seed: int, **how) -> DataFrame:
     """One of ``parts`` equal parts of each class, rounded up."""
     sizes = class_sizes(df, label)
-    return keep_exactly(df, key, label, {c: -(-n // parts) for c, n in sizes.items()}, seed, **how)
+    return keep_exactly(df, key, label, {c: -(-n // parts) for c, n in sizes.items()}, seed, sizes, **how)
 
 
 def class_weights(df: DataFrame, label: str) -> dict[object, float]:

@@ -11,6 +11,8 @@ becomes a filter on the row itself and the payload is never shuffled.
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF_ROWS = 1_000_000
-STEP_DIGITS = 3
+MAX_STEP_DIGITS = 4
 
 
 @dataclass(frozen=True)
@@ -31,72 +33,82 @@ class Cut:
 
 @dataclass
 class _Search:
+    """One target: the prefix it lies under and how much weight is still needed there."""
+
     label: object
     index: int
-    prefix: str
     need: float
-    done: bool = False
+    prefix: str
+    rows: int
+    longest: int
+
+
+def _prefix(depth: int) -> Column:
+    return F.substring("code", 1, depth).alias("under")
 
 
 def find_cuts(
     items: DataFrame,
     targets: Mapping[object, Sequence[float]],
+    sizes: Mapping[object, int],
     leaf_rows: int = LEAF_ROWS,
+    even: bool = True,
 ) -> dict[object, list[Cut | None]]:
     """For each class the items at which the running weight reaches the targets.
 
-    ``items`` has the columns ``label``, ``code``, ``tie`` and ``weight``. With
-    weight 1 and target n exactly n items lie at or below the cut. A target of
-    zero or less gives None. A target above the total gives the last item.
+    ``items`` has the columns ``label``, ``code``, ``tie`` and ``weight``, and
+    ``sizes`` tells its rows per class. With weight 1 and target n exactly n
+    items lie at or below the cut. A target of zero or less gives None; one
+    above the total is to be cut to it by the caller. ``even`` says that codes
+    are hashes; others have their common prefix skipped first.
     """
     cuts: dict[object, list[Cut | None]] = {label: [None] * len(wanted) for label, wanted in targets.items()}
-    open_: list[_Search] = [
-        _Search(label, i, "", need) for label, wanted in targets.items() for i, need in enumerate(wanted) if need > 0
+    searches = [
+        _Search(label, i, need, "", sizes[label], 1)
+        for label, wanted in targets.items()
+        for i, need in enumerate(wanted)
+        if need > 0 and sizes.get(label, 0) > 0
     ]
-    if not open_:
+    if not searches:
         return cuts
     depth = 0
-    while True:
-        here = _under(items, open_, depth)
-        step = here.groupBy("label", F.substring("code", 1, depth).alias("under"))
-        sizes = {
-            (r["label"], r["under"]): r
-            for r in step.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.max(F.length("code")).alias("len")).collect()
-        }
-        open_ = [s for s in open_ if (s.label, s.prefix) in sizes]
-        if depth == 0:
-            for s in open_:
-                s.need = min(s.need, sizes[s.label, ""]["w"])
-        deep = {
-            k for k, r in sizes.items() if r["n"] > leaf_rows and r["len"] > depth
-        }
-        if not any((s.label, s.prefix) in deep for s in open_):
-            break
-        depth += STEP_DIGITS
-        refined = _under(items, open_, depth - STEP_DIGITS).groupBy("label", F.substring("code", 1, depth).alias("under"))
-        weights: dict[object, list[tuple[str, float]]] = {}
-        for r in refined.agg(F.sum("weight").alias("w")).collect():
-            weights.setdefault(r["label"], []).append((r["under"], r["w"]))
-        for group in weights.values():
-            group.sort()
-        for s in open_:
-            for under, w in weights[s.label]:
-                if not under.startswith(s.prefix):
-                    continue
-                if s.need <= w:
-                    s.prefix = under
+    if not even and any(s.rows > leaf_rows for s in searches):
+        ends = items.agg(F.min("code").alias("low"), F.max("code").alias("high")).first()
+        shared = os.path.commonprefix([ends["low"], ends["high"]])
+        depth = len(shared)
+        for s in searches:
+            s.prefix, s.longest = shared, depth + 1
+    while any(s.rows > leaf_rows and s.longest > depth for s in searches):
+        largest = max(s.rows for s in searches)
+        step = min(MAX_STEP_DIGITS, math.ceil(math.log(largest / leaf_rows, 16)) or 1)
+        counted = (
+            _under(items, searches, depth)
+            .groupBy("label", _prefix(depth + step))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.max(F.length("code")).alias("longest"))
+            .collect()
+        )
+        by_label: dict[object, list] = {}
+        for r in sorted(counted, key=lambda r: r["under"]):
+            by_label.setdefault(r["label"], []).append(r)
+        for s in searches:
+            inside = [r for r in by_label[s.label] if r["under"].startswith(s.prefix)]
+            for r in inside:
+                if s.need <= r["w"] or r is inside[-1]:
+                    s.prefix, s.rows, s.longest = r["under"], r["n"], r["longest"]
                     break
-                s.need -= w
-    # Few items are left under each prefix: order them.
-    by_code = Window.partitionBy("label", "under").orderBy("code", "tie")
-    leaf = _under(items, open_, depth).withColumn("under", F.substring("code", 1, depth))
-    running = leaf.withColumn("upto", F.sum("weight").over(by_code)).withColumn("before", F.col("upto") - F.col("weight"))
-    wanted = F.lit(False)
-    for s in open_:
-        inside = (F.col("label") == s.label) & (F.col("under") == s.prefix)
-        wanted = wanted | (inside & (F.col("before") < s.need) & (F.col("upto") >= s.need))
-    found = running.filter(wanted).collect() if open_ else []
-    for s in open_:
+                s.need -= r["w"]
+        depth += step
+    # Few distinct items are left under each prefix: put them in order. Equal
+    # items are merged first, so that many copies of one cannot pile up.
+    leaf = _under(items, searches, depth).groupBy("label", _prefix(depth), "code", "tie").agg(F.sum("weight").alias("weight"))
+    upto = F.sum("weight").over(Window.partitionBy("label", "under").orderBy("code", "tie"))
+    running = leaf.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("weight"))
+    reached = F.lit(False)
+    for s in searches:
+        here = (F.col("label") == s.label) & (F.col("under") == s.prefix)
+        reached = reached | (here & (F.col("before") < s.need) & (F.col("upto") >= s.need))
+    found = running.filter(reached).collect()
+    for s in searches:
         for r in found:
             if r["label"] == s.label and r["under"] == s.prefix and r["before"] < s.need <= r["upto"]:
                 cuts[s.label][s.index] = Cut(r["code"], r["tie"])
@@ -104,6 +116,7 @@ def find_cuts(
 
 
 def _under(items: DataFrame, searches: Sequence[_Search], depth: int) -> DataFrame:
+    """Items of the searched classes that lie under a searched prefix."""
     labels = sorted({s.label for s in searches}, key=str)
     if depth == 0:
         return items.filter(F.col("label").isin(labels))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tabcascade.functions import code_label
@@ -34,6 +33,7 @@ from tabcascade.operators.prepare import (
     fit_standard,
 )
 from tabcascade.operators.relational import assemble, label_last
+from tabcascade.session import hold
 
 # Label codes.
 CHURN_CODES = {
@@ -145,8 +145,9 @@ def infer(df: DataFrame, raw: RawTables, spec: CleanSpec, age, dependents, refer
     df = apply_band_means(df, age, "Age", "Under 30", "Senior Citizen")
     df = apply_flagged_mean(df, dependents, "Number of Dependents", "Dependents")
     places = raw.location.drop(*spec.unused)
-    df = complete_places(df, places, spec.places, spec.place_order, spec.keep_known_coordinates, **how)
-    done = complete_places(places, places, spec.places, spec.place_order, spec.keep_known_coordinates, **how)
+    how_placed = (spec.places, spec.place_order, spec.keep_known_coordinates)
+    df = complete_places(df, places, *how_placed, **how)
+    done = complete_places(places, places, *how_placed, **how)
     df = apply_population(df, done, raw.population.drop(*spec.unused), spec.places, **how)
     df = apply_flagged_mean(df, referrals, "Number of Referrals", "Referred a Friend")
     df = solve_identities(df, spec.billing)
@@ -156,12 +157,11 @@ def infer(df: DataFrame, raw: RawTables, spec: CleanSpec, age, dependents, refer
 def fit_clean(train_ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec(), **how) -> CleanModel:
     """Statistics of the training rows. The assembled rows are read by several
     small aggregations, so they are kept, on disk where memory is short."""
-    joined = assemble_raw(train_ids, raw, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    joined = hold(assemble_raw(train_ids, raw, spec))
     age = fit_band_means(joined, "Age")
     dependents = fit_flagged_mean(joined, "Number of Dependents", "Dependents")
     referrals = fit_flagged_mean(joined, "Number of Referrals", "Referred a Friend")
-    known = infer(joined, raw, spec, age, dependents, referrals, **how).drop(*spec.redundant)
-    known = known.persist(StorageLevel.MEMORY_AND_DISK)
+    known = hold(infer(joined, raw, spec, age, dependents, referrals, **how).drop(*spec.redundant))
     fill = fit_fill(
         known,
         FillSpec(spec.fill_rounded, spec.fill_mean, (), spec.fill_mode, [*spec.fill_mode_text, *spec.categories]),
@@ -169,8 +169,6 @@ def fit_clean(train_ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec(
     filled = apply_fill(known, fill)
     levels = fit_levels(filled, spec.categories)
     scaling = {"std": fit_standard(filled, spec.scaled()), "minmax": fit_min_max(filled, spec.scaled())}
-    known.unpersist()
-    joined.unpersist()
     return CleanModel(spec, age, dependents, referrals, fill, levels, scaling)
 
 

@@ -22,11 +22,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabcascade.plans.params import tree_boost_params
-from tabcascade.session import cut_lineage
+from tabcascade.session import cut_lineage, use_checkpoint_dir
 
 FEATURES = "features"
 
@@ -42,6 +42,9 @@ def with_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str], na
 
 def boosted_trees(params: Mapping, label: str, classes: int = 2, features: str = FEATURES) -> Estimator:
     """Boosted trees; more than two classes are fitted one against the rest."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        use_checkpoint_dir(spark)
     one = GBTClassifier(labelCol=label, featuresCol=features, **tree_boost_params(params))
     return one if classes == 2 else OneVsRest(classifier=one, labelCol=label, featuresCol=features)
 

@@ -8,7 +8,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -236,8 +235,3 @@ def best_rounds(estimator: GBTClassifier, df: DataFrame, fold: str, label: str,
 def rate_sweep(estimator: GBTClassifier, rates: Sequence[float], df: DataFrame, fold: str, label: str, patience: int = 50) -> dict[float, int]:
     """Best number of rounds for each learning rate."""
     return {r: best_rounds(estimator.copy({estimator.stepSize: r}), df, fold, label, patience) for r in rates}
-
-
-def held(df: DataFrame) -> DataFrame:
-    """Keep rows that several fits read; lost blocks are recomputed from the source."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

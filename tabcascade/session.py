@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the partition sizing: start from many shuffle
@@ -63,7 +64,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def use_checkpoint_dir(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage where the session names a folder."""
+    if spark.sparkContext.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None):
+        ensure_checkpoint_dir(spark)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep rows that several jobs read, in memory or on disk.
+
+    Lost blocks are recomputed from the source. :func:`release_held` frees what
+    was kept; results stay correct, later jobs just compute it again.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append(df)
+    return df
+
+
+def release_held() -> None:
+    while _held:
+        _held.pop().unpersist()
