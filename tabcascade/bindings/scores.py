@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabcascade.bindings.base import EVENTS_SQL, LABEL, PREDICTED, Tables, query
 from tabcascade.operators.metrics import accuracy, class_scores, confusion, error_rate, f1_binary, f1_macro, f1_micro, roc_auc
-from tabcascade.operators.voting import vote_columns, vote_rows
+from tabcascade.operators.voting import vote_rows, with_vote
 
 VOTES = 15
 VOTE_COLUMNS = [f"CAST((event_id * {k} + {k * k}) % (5 + {k % 3}) % 5 AS INT) AS m{k}" for k in range(1, VOTES + 1)]
@@ -28,7 +28,7 @@ def ballots(t: Tables):
 
 @query("V1_vote_columns", winner_sql(0))
 def columns_vote(t: Tables):
-    return ballots(t).select("event_id", vote_columns(NAMES, range(5)).alias("vote"))
+    return with_vote(ballots(t), NAMES, range(5), "vote").select("event_id", "vote")
 
 
 @query("V1_vote_rows", winner_sql(0))
@@ -39,7 +39,7 @@ def rows_vote(t: Tables):
 
 @query("V2_vote_shifted", winner_sql(1))
 def shifted_vote(t: Tables):
-    return ballots(t).select("event_id", vote_columns(NAMES, range(5), shift=1).alias("vote"))
+    return with_vote(ballots(t), NAMES, range(5), "vote", shift=1).select("event_id", "vote")
 
 
 # ---- scores ----------------------------------------------------------------------------------

@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 
 from tabcascade.functions import ceil_quotient, quotient
 
-# Three passes over the eleven rules reach the fix-point from every pattern of
-# missing values, with any of the three divisors zero; a test enumerates all
-# 256 x 8 cases. So no data scan is needed to detect convergence.
-PASSES_TO_FIXPOINT = 3
+# Repeating the eleven rules until nothing is filled any more takes at most
+# three passes, and of the later passes most rules can never fire. These are
+# the rules that can, by position in ``identity_rules``. A test enumerates all
+# 256 patterns of missing values with any of the three divisors zero. So no
+# data scan is needed to detect convergence, and the generated code stays below
+# the size from which the JVM no longer compiles a method.
+PASSES = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10),
+    (0, 1, 2, 3, 5, 6, 8, 9),
+    (2,),
+)
 
 
 @dataclass(frozen=True)
@@ -56,11 +63,13 @@ def identity_rules(c: BillingColumns) -> list[tuple[str, Column]]:
     ]
 
 
-def solve_identities(df: DataFrame, c: BillingColumns, passes: int = PASSES_TO_FIXPOINT) -> DataFrame:
+def solve_identities(df: DataFrame, c: BillingColumns) -> DataFrame:
     """Fill what the identities determine; row-local, so no shuffle and no action."""
     order = df.columns
+    rules = identity_rules(c)
     df = df.withColumns({n: F.col(f"`{n}`").cast("double") for n in c.names()})
-    for _ in range(passes):
-        for target, value in identity_rules(c):
+    for active in PASSES:
+        for i in active:
+            target, value = rules[i]
             df = df.withColumn(target, F.coalesce(F.col(f"`{target}`"), value))
     return df.select(*[F.col(f"`{n}`") for n in order])

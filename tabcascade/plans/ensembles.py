@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcascade.functions import binary_label, shift_label
-from tabcascade.operators.voting import vote_columns
+from tabcascade.operators.voting import with_vote
 from tabcascade.plans.models import FEATURES, add_prediction
 
 
@@ -35,7 +35,7 @@ def add_votes(models: Sequence, df: DataFrame, labels: Sequence[int], out: str,
     scored = df
     for name, model in zip(names, models):
         scored = add_prediction(model, scored, name)
-    scored = scored.withColumn(out, vote_columns(names, labels, shift))
+    scored = with_vote(scored, names, labels, out, shift)
     return scored if keep_members else scored.drop(*names)
 
 
