@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabcascade.functions import order_code, seeded_code
 from tabcascade.operators.aggregates import class_sizes
 from tabcascade.operators.relational import enrich
-from tabcascade.operators.selection import LEAF_ROWS, Cut, at_or_below, find_cuts, weighted_items
+from tabcascade.operators.selection import LEAF_ROWS, find_cuts, items_of
 from tabcascade.session import hold
 
 HEAVY_PARTS = 16
@@ -35,15 +35,16 @@ def fold_shares(sizes: Mapping[object, int], k: int) -> dict[object, list[int]]:
     return shares
 
 
-def _stretch_column(label: Column, code: Column, tie: Column, cuts: Mapping[object, Sequence[Cut | None]]) -> Column:
-    fold = F.lit(None).cast("int")
-    for value, ends in cuts.items():
-        last = len(ends)
-        mine = F.lit(last)
-        for i in reversed(range(last)):
-            mine = F.when(at_or_below(code, tie, ends[i]), F.lit(i)).otherwise(mine)
-        fold = F.when(label == value, mine).otherwise(fold)
-    return fold.cast("int")
+def _with_stretch(df: DataFrame, label: Column, code: Column, cuts: Mapping[object, Sequence[str | None]], name: str) -> DataFrame:
+    """The number of the stretch a row lies in: how many cuts of its class are below its code."""
+    inner = max(len(ends) for ends in cuts.values())
+    fold = F.lit(0)
+    for i in range(inner):
+        end = F.lit(None).cast("string")
+        for value, ends in cuts.items():
+            end = F.when(label == value, F.lit(ends[i] or "")).otherwise(end)
+        fold = fold + (F.col("_code") > end).cast("int")
+    return df.withColumn("_code", code).withColumn(name, fold.cast("int")).drop("_code")
 
 
 def stratified_folds(
@@ -57,12 +58,12 @@ def stratified_folds(
 ) -> DataFrame:
     """Stratified k-fold over unique keys: in key order, or shuffled by a seed."""
     code = order_code(df, key) if seed is None else seeded_code(seed, key)
-    tie, lab = F.col(f"`{key}`"), F.col(f"`{label}`")
+    lab = F.col(f"`{label}`")
     sizes = class_sizes(df, label)
     ends = {c: [sum(shares[: i + 1]) for i in range(k - 1)] for c, shares in fold_shares(sizes, k).items()}
-    items = weighted_items(df.filter(lab.isNotNull()), lab, code, tie)
+    items = df.filter(lab.isNotNull()).select(*items_of(lab, code))
     cuts = find_cuts(items, ends, sizes, leaf_rows, even=seed is not None)
-    return df.withColumn(name, _stretch_column(lab, code, tie, cuts))
+    return _with_stretch(df, lab, code, cuts, name)
 
 
 def _fill_levels(loads: Sequence[float], light: float) -> list[float]:
@@ -131,16 +132,17 @@ def group_folds(
     for r in totals:
         parts = _fill_levels(loads[r["label"]], r["n"] - sum(loads[r["label"]]))
         ends[r["label"]] = [sum(parts[: i + 1]) for i in range(k - 1)]
-    items = weighted_items(groups.filter(~is_heavy), F.col("label"), code, grp, F.col("weight"))
+    items = groups.filter(~is_heavy).select(*items_of(F.col("label"), code, F.col("weight")))
     cuts = find_cuts(items, ends, {r["label"]: r["groups"] for r in totals}, leaf_rows)
 
-    def fold_of(label_column: Column) -> Column:
-        fold = _stretch_column(label_column, code, grp, cuts)
+    def number(rows: DataFrame, label_column: Column) -> DataFrame:
+        rows = _with_stretch(rows, label_column, code, cuts, name)
+        fold = F.col(name)
         for i, members in placed.items():
             if members:
                 fold = F.when(grp.isin(members), F.lit(i)).otherwise(fold)
-        return fold
+        return rows.withColumn(name, fold)
 
     if all(r["labels"] == 1 for r in totals):
-        return df.withColumn(name, fold_of(lab))
-    return enrich(df, groups.select(grp, fold_of(F.col("label")).alias(name)), group, **how)
+        return number(df, lab)
+    return enrich(df, number(groups, F.col("label")).select(group, name), group, **how)

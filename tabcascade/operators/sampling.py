@@ -17,10 +17,9 @@ from tabcascade.functions import draw_number, seeded_code
 from tabcascade.operators.aggregates import class_sizes
 from tabcascade.operators.selection import (
     LEAF_ROWS,
-    at_or_below,
     find_cuts,
+    items_of,
     positions,
-    weighted_items,
 )
 
 COPY = "draw"
@@ -42,20 +41,21 @@ def keep_exactly(
 ) -> DataFrame:
     """Of each class in ``sizes`` keep exactly that many rows (all, if it has fewer).
 
-    Rows of other classes stay, those without a label go. Nothing is shuffled
+    Rows of other classes stay. Nothing is shuffled
     but counts; ``have``, the present class sizes, saves one of them.
     """
-    code, tie, lab = seeded_code(seed, key), F.col(f"`{key}`"), F.col(f"`{label}`")
+    code, lab = seeded_code(seed, key), F.col(f"`{label}`")
     have = class_sizes(df, label) if have is None else have
     shrunk = {c: n for c, n in sizes.items() if n < have.get(c, 0)}
     if not shrunk:
         return df
-    items = weighted_items(df.filter(lab.isin(list(shrunk))), lab, code, tie)
+    items = df.filter(lab.isin(list(shrunk))).select(*items_of(lab, code))
     cuts = find_cuts(items, {c: [n] for c, n in shrunk.items()}, have, leaf_rows)
-    keep = ~lab.isin(list(shrunk))
+    # One cut value per class, picked by label, so that the hash is compared once.
+    last = F.lit("g")
     for c, (cut,) in cuts.items():
-        keep = keep | ((lab == c) & at_or_below(code, tie, cut))
-    return df.filter(keep)
+        last = F.when(lab == c, F.lit(cut or "")).otherwise(last)
+    return df.filter(code <= last)
 
 
 def extra_draws(
@@ -82,8 +82,8 @@ def extra_draws(
     if not draws:
         return df.limit(0)
     wanted = df.filter(lab.isin(list(draws)))
-    items = weighted_items(wanted, lab, seeded_code(seed, key), F.col(f"`{key}`"))
-    ranked = positions(items, max(sizes[c] for c in draws), leaf_rows).select("label", "pos", F.col("tie").alias(key))
+    items = wanted.select(lab.alias("label"), seeded_code(seed, key).alias("code"), F.col(f"`{key}`").alias("key"))
+    ranked = positions(items, max(sizes[c] for c in draws), leaf_rows).select("label", "pos", F.col("key").alias(key))
 
     # One distributed range for all classes: class c owns [start, start + n).
     start, label_of, first_of, size_of = 0, None, None, None

@@ -1,7 +1,8 @@
 """Exact selection and ranking by a row code, without one task per class.
 
-A *code* is hex text that sorts the rows of a class: a seeded hash of the key,
-or an order-preserving form of the key itself. To find the row of rank n the
+A *code* is hex text that sorts the rows of a class: a seeded 128-bit hash of
+the key, or an order-preserving form of the key itself; so rows with equal codes
+are rows with equal keys. To find the row of rank n the
 codes are counted by prefix, the prefix that holds rank n is refined, and only
 when few rows are left under it are they sorted. Each step is one narrow
 aggregation with map-side combine, whatever the share of a class. The result is
@@ -23,14 +24,6 @@ LEAF_ROWS = 1_000_000
 MAX_STEP_DIGITS = 4
 
 
-@dataclass(frozen=True)
-class Cut:
-    """The last item inside, by (code, tie)."""
-
-    code: str
-    tie: object
-
-
 @dataclass
 class _Search:
     """One target: the prefix it lies under and how much weight is still needed there."""
@@ -53,16 +46,16 @@ def find_cuts(
     sizes: Mapping[object, int],
     leaf_rows: int = LEAF_ROWS,
     even: bool = True,
-) -> dict[object, list[Cut | None]]:
-    """For each class the items at which the running weight reaches the targets.
+) -> dict[object, list[str | None]]:
+    """For each class the codes at which the running weight reaches the targets.
 
-    ``items`` has the columns ``label``, ``code``, ``tie`` and ``weight``, and
-    ``sizes`` tells its rows per class. With weight 1 and target n exactly n
+    ``items`` has the columns ``label``, ``code`` and ``weight``, and ``sizes``
+    tells its rows per class. With weight 1, unique keys and target n exactly n
     items lie at or below the cut. A target of zero or less gives None; one
     above the total is to be cut to it by the caller. ``even`` says that codes
     are hashes; others have their common prefix skipped first.
     """
-    cuts: dict[object, list[Cut | None]] = {label: [None] * len(wanted) for label, wanted in targets.items()}
+    cuts: dict[object, list[str | None]] = {label: [None] * len(wanted) for label, wanted in targets.items()}
     searches = [
         _Search(label, i, need, "", sizes[label], 1)
         for label, wanted in targets.items()
@@ -100,8 +93,8 @@ def find_cuts(
         depth += step
     # Few distinct items are left under each prefix: put them in order. Equal
     # items are merged first, so that many copies of one cannot pile up.
-    leaf = _under(items, searches, depth).groupBy("label", _prefix(depth), "code", "tie").agg(F.sum("weight").alias("weight"))
-    upto = F.sum("weight").over(Window.partitionBy("label", "under").orderBy("code", "tie"))
+    leaf = _under(items, searches, depth).groupBy("label", _prefix(depth), "code").agg(F.sum("weight").alias("weight"))
+    upto = F.sum("weight").over(Window.partitionBy("label", "under").orderBy("code"))
     running = leaf.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("weight"))
     reached = F.lit(False)
     for s in searches:
@@ -111,7 +104,7 @@ def find_cuts(
     for s in searches:
         for r in found:
             if r["label"] == s.label and r["under"] == s.prefix and r["before"] < s.need <= r["upto"]:
-                cuts[s.label][s.index] = Cut(r["code"], r["tie"])
+                cuts[s.label][s.index] = r["code"]
     return cuts
 
 
@@ -127,15 +120,10 @@ def _under(items: DataFrame, searches: Sequence[_Search], depth: int) -> DataFra
     return items.filter(wanted)
 
 
-def at_or_below(code: Column, tie: Column, cut: Cut | None) -> Column:
-    if cut is None:
-        return F.lit(False)
-    return (code < cut.code) | ((code == cut.code) & (tie <= F.lit(cut.tie)))
-
-
-def weighted_items(df: DataFrame, label: Column, code: Column, tie: Column, weight: Column | None = None) -> DataFrame:
+def items_of(label: Column, code: Column, weight: Column | None = None) -> list[Column]:
+    """The columns that :func:`find_cuts` reads."""
     weight = F.lit(1).cast("bigint") if weight is None else weight
-    return df.select(label.alias("label"), code.alias("code"), tie.alias("tie"), weight.alias("weight"))
+    return [label.alias("label"), code.alias("code"), weight.alias("weight")]
 
 
 def positions(
@@ -143,7 +131,7 @@ def positions(
     largest: int,
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """Number the items of each class from 0 in (code, tie) order, as column ``pos``.
+    """Number the items of each class from 0 in code order, as column ``pos``.
 
     A class is ranked in buckets of its code's leading digits, each shifted by
     the size of the buckets before it; codes must be evenly spread hashes. The
@@ -152,14 +140,13 @@ def positions(
     digits = 0
     while largest / 16**digits > leaf_rows:
         digits += 1
-    order = [F.col("code"), F.col("tie")]
     if digits == 0:
-        return items.withColumn("pos", (F.row_number().over(Window.partitionBy("label").orderBy(*order)) - 1).cast("bigint"))
+        return items.withColumn("pos", (F.row_number().over(Window.partitionBy("label").orderBy("code")) - 1).cast("bigint"))
     bucketed = items.withColumn("bucket", F.substring("code", 1, digits))
     sizes = bucketed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("label", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    local = bucketed.withColumn("local", F.row_number().over(Window.partitionBy("label", "bucket").orderBy(*order)) - 1)
+    local = bucketed.withColumn("local", F.row_number().over(Window.partitionBy("label", "bucket").orderBy("code")) - 1)
     return (
         local.join(shifts, ["label", "bucket"])
         .withColumn("pos", (F.col("local") + F.col("shift")).cast("bigint"))

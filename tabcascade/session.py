@@ -15,6 +15,9 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above this size; split such stages
+    # into expression-wise code instead of running them interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
