@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tabcascade.bindings import (
     aggregate,
+    clean,
     inference,
     learn,
     prepare,
@@ -14,4 +15,4 @@ from tabcascade.bindings import (
 )
 from tabcascade.bindings.base import REGISTRY
 
-__all__ = ["REGISTRY", "aggregate", "inference", "learn", "prepare", "relational", "sampling", "scores", "sources"]
+__all__ = ["REGISTRY", "aggregate", "clean", "inference", "learn", "prepare", "relational", "sampling", "scores", "sources"]

@@ -56,6 +56,17 @@ class RawTables:
     status: DataFrame
 
 
+@dataclass(frozen=True)
+class PersonColumns:
+    age: str = "Age"
+    young: str = "Under 30"
+    senior: str = "Senior Citizen"
+    dependents: str = "Number of Dependents"
+    has_dependents: str = "Dependents"
+    referrals: str = "Number of Referrals"
+    referred: str = "Referred a Friend"
+
+
 @dataclass(frozen=True)
 class CleanSpec:
     """Column roles; the defaults are fixed values of the customer tables."""
@@ -113,6 +124,7 @@ class CleanSpec:
     )
     fill_mode: Sequence[str] = ("Number of Dependents", "Number of Referrals")
     fill_mode_text: Sequence[str] = ("Latitude", "Longitude")
+    person: PersonColumns = PersonColumns()
     places: PlaceColumns = PlaceColumns()
     billing: BillingColumns = BillingColumns()
     service: ServiceColumns = ServiceColumns()
@@ -142,14 +154,15 @@ def assemble_raw(ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec())
 
 def infer(df: DataFrame, raw: RawTables, spec: CleanSpec, age, dependents, referrals, **how) -> DataFrame:
     """All row and lookup rules, in order; later rules see earlier results."""
-    df = apply_band_means(df, age, "Age", "Under 30", "Senior Citizen")
-    df = apply_flagged_mean(df, dependents, "Number of Dependents", "Dependents")
+    who = spec.person
+    df = apply_band_means(df, age, who.age, who.young, who.senior)
+    df = apply_flagged_mean(df, dependents, who.dependents, who.has_dependents)
     places = raw.location.drop(*spec.unused)
     how_placed = (spec.places, spec.place_order, spec.keep_known_coordinates)
     df = complete_places(df, places, *how_placed, **how)
     done = complete_places(places, places, *how_placed, **how)
     df = apply_population(df, done, raw.population.drop(*spec.unused), spec.places, **how)
-    df = apply_flagged_mean(df, referrals, "Number of Referrals", "Referred a Friend")
+    df = apply_flagged_mean(df, referrals, who.referrals, who.referred)
     df = solve_identities(df, spec.billing)
     return service_rules(df, spec.service, spec.compat_extras)
 
@@ -158,9 +171,10 @@ def fit_clean(train_ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec(
     """Statistics of the training rows. The assembled rows are read by several
     small aggregations, so they are kept, on disk where memory is short."""
     joined = hold(assemble_raw(train_ids, raw, spec))
-    age = fit_band_means(joined, "Age")
-    dependents = fit_flagged_mean(joined, "Number of Dependents", "Dependents")
-    referrals = fit_flagged_mean(joined, "Number of Referrals", "Referred a Friend")
+    who = spec.person
+    age = fit_band_means(joined, who.age)
+    dependents = fit_flagged_mean(joined, who.dependents, who.has_dependents)
+    referrals = fit_flagged_mean(joined, who.referrals, who.referred)
     known = hold(infer(joined, raw, spec, age, dependents, referrals, **how).drop(*spec.redundant))
     fill = fit_fill(
         known,
