@@ -11,13 +11,13 @@ from tabcascade.operators.inference import (
     ServiceColumns,
     apply_band_means,
     apply_flagged_mean,
-    apply_population,
-    complete_places,
+    apply_places,
     download_without_internet,
     extras_without_internet,
     fill_null,
     fit_band_means,
     fit_flagged_mean,
+    fit_places,
     internet_from_download,
     internet_from_extras,
     internet_from_type,
@@ -118,9 +118,11 @@ PLACES_SQL = f"""WITH raw AS {sub('customer', PLACES)},
   f AS (SELECT e.* REPLACE (COALESCE(e.zip, d.found) AS zip) FROM e LEFT JOIN {dictionary_sql('e', 'text', 'zip')} d ON e.text = d.text)"""
 
 
-def completed(t: Tables):
+def completed(t: Tables, people: bool = False, keep_known: bool = True, **how):
     places = t.customer.selectExpr(*PLACES)
-    return complete_places(places, places, NAMES, "c_custkey")
+    population = t.nation.selectExpr(*PEOPLE) if people else None
+    model = fit_places(places, NAMES, "c_custkey", population, keep_known, **how)
+    return apply_places(places, model, **how)
 
 
 @query("I3_latitude", f"{PLACES_SQL} SELECT c_custkey, lat FROM f")
@@ -146,8 +148,7 @@ def coordinate_text(t: Tables):
     + " SELECT c_custkey, lat, lon FROM f",
 )
 def coordinate_split(t: Tables):
-    places = t.customer.selectExpr(*PLACES)
-    return complete_places(places, places, NAMES, "c_custkey", keep_known=False).select("c_custkey", "lat", "lon")
+    return completed(t, keep_known=False).select("c_custkey", "lat", "lon")
 
 
 @query("I7_zip_code", f"{PLACES_SQL} SELECT c_custkey, CAST(zip AS BIGINT) AS zip FROM f")
@@ -169,16 +170,13 @@ POPULATION_SQL = POPULATION_SQL.replace("round_even(CASE WHEN per.zips", "round_
 
 @query("I8_population", POPULATION_SQL)
 def population(t: Tables):
-    done = completed(t)
-    return apply_population(done, done, t.nation.selectExpr(*PEOPLE), NAMES).select("c_custkey", "people")
+    return completed(t, people=True).select("c_custkey", "people")
 
 
 @query("J4_city_zip_population", POPULATION_SQL)
 def population_by_place(t: Tables):
     """The same with the lookups counted as too big to broadcast."""
-    done = completed(t)
-    joined = apply_population(done, done, t.nation.selectExpr(*PEOPLE), NAMES, broadcast_limit=0)
-    return joined.select("c_custkey", "people")
+    return completed(t, people=True, broadcast_limit=0).select("c_custkey", "people")
 
 
 # ---- billing -----------------------------------------------------------------------------------

@@ -8,14 +8,14 @@ that works on any rows, streams included.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabcascade.functions import half_even
 from tabcascade.operators.aggregates import city_population, mean_where
-from tabcascade.operators.relational import enrich, fill_from_lookup, last_value_lookup, measured
+from tabcascade.operators.relational import Lookup, enrich, fill_from_lookup, last_value_lookup, measured
 from tabcascade.session import hold
 
 
@@ -34,13 +34,17 @@ class BandMeans:
     senior: float | None
 
 
-def fit_band_means(train: DataFrame, value: str, young_below: float = 30, senior_from: float = 65) -> BandMeans:
+def band_means(value: str, young_below: float = 30, senior_from: float = 65) -> list[Column]:
     v = F.col(f"`{value}`")
-    row = train.agg(
+    return [
         half_even(mean_where(value, v < young_below)).alias("young"),
         half_even(mean_where(value, (v >= young_below) & (v < senior_from))).alias("middle"),
         half_even(mean_where(value, v >= senior_from)).alias("senior"),
-    ).first()
+    ]
+
+
+def fit_band_means(train: DataFrame, value: str, young_below: float = 30, senior_from: float = 65) -> BandMeans:
+    row = train.agg(*band_means(value, young_below, senior_from)).first()
     return BandMeans(row["young"], row["middle"], row["senior"])
 
 
@@ -54,9 +58,13 @@ def apply_band_means(df: DataFrame, means: BandMeans, value: str, young_flag: st
     return fill_null(df, value, band)
 
 
-def fit_flagged_mean(train: DataFrame, value: str, flag: str) -> float | None:
+def flagged_mean(value: str, flag: str) -> Column:
     """Rounded mean of a count among rows whose flag is Yes."""
-    return train.agg(half_even(mean_where(value, F.col(f"`{flag}`") == "Yes")).alias("m")).first()["m"]
+    return half_even(mean_where(value, F.col(f"`{flag}`") == "Yes"))
+
+
+def fit_flagged_mean(train: DataFrame, value: str, flag: str) -> float | None:
+    return train.agg(flagged_mean(value, flag).alias("m")).first()["m"]
 
 
 def apply_flagged_mean(df: DataFrame, mean: float | None, value: str, flag: str) -> DataFrame:
@@ -99,42 +107,70 @@ def split_coordinates(df: DataFrame, c: PlaceColumns, keep_known: bool = True) -
     return df
 
 
-def complete_places(
-    df: DataFrame,
+@dataclass(frozen=True)
+class PlaceModel:
+    """Dictionaries over the whole place table, measured once and used for any rows."""
+
+    columns: PlaceColumns
+    keep_known: bool
+    latitude: Lookup
+    longitude: Lookup
+    zip_code: Lookup
+    people_by_zip: Lookup | None = None
+    people_by_city: Lookup | None = None
+    pooled: float | None = None
+
+
+def _coordinates(df: DataFrame, c: PlaceColumns, latitude: Lookup, longitude: Lookup, keep_known: bool, **how) -> DataFrame:
+    df = fill_from_lookup(df, latitude, c.longitude, c.latitude, **how)
+    df = fill_from_lookup(df, longitude, c.latitude, c.longitude, **how)
+    return split_coordinates(join_coordinates(df, c), c, keep_known)
+
+
+def fit_places(
     places: DataFrame,
     c: PlaceColumns,
     order: str,
+    population: DataFrame | None = None,
     keep_known: bool = True,
     **how,
-) -> DataFrame:
-    """Coordinates, coordinate text and zip code of ``df``, from the whole place table.
+) -> PlaceModel:
+    """Dictionaries between coordinates, to zip codes and to population.
 
     ``order`` names the column of ``places`` whose order decides which of two
     entries for one key is the later, and so the valid one.
     """
-    lon_to_lat = measured(last_value_lookup(places, c.longitude, c.latitude, order), c.longitude)
-    lat_to_lon = measured(last_value_lookup(places, c.latitude, c.longitude, order), c.latitude)
-
-    def coordinates(rows: DataFrame) -> DataFrame:
-        rows = fill_from_lookup(rows, lon_to_lat, c.longitude, c.latitude, **how)
-        rows = fill_from_lookup(rows, lat_to_lon, c.latitude, c.longitude, **how)
-        return split_coordinates(join_coordinates(rows, c), c, keep_known)
-
-    known = coordinates(places)
-    text_to_zip = last_value_lookup(known, c.text, c.zip_code, order)
-    return fill_from_lookup(known if df is places else coordinates(df), text_to_zip, c.text, c.zip_code, **how)
-
-
-def apply_population(df: DataFrame, places: DataFrame, population: DataFrame, c: PlaceColumns, **how) -> DataFrame:
-    """Population by zip code, else the mean of the city, else the pooled mean."""
-    by_zip = enrich(df, population.select(c.zip_code, c.population), c.zip_code, **how)
-    means = hold(city_population(places, population, c.city, c.zip_code, c.population))
-    by_city = enrich(by_zip, means, c.city, needed=F.col(f"`{c.population}`").isNull(), **how)
-    # One number, looked up inside the same job.
-    pooled = means.filter(F.col(f"`{c.city}`").isNull()).select("mean_population").scalar()
-    without_city = F.when(F.col(f"`{c.city}`").isNull(), pooled)
+    latitude = measured(last_value_lookup(places, c.longitude, c.latitude, order), c.longitude)
+    longitude = measured(last_value_lookup(places, c.latitude, c.longitude, order), c.latitude)
+    known = _coordinates(places, c, latitude, longitude, keep_known, **how)
+    zip_code = measured(last_value_lookup(known, c.text, c.zip_code, order), c.text)
+    model = PlaceModel(c, keep_known, latitude, longitude, zip_code)
+    if population is None:
+        return model
+    done = fill_from_lookup(known, zip_code, c.text, c.zip_code, **how)
+    means = hold(city_population(done, population, c.city, c.zip_code, c.population))
+    pooled = means.filter(F.col(f"`{c.city}`").isNull()).first()
+    return replace(
+        model,
+        people_by_zip=measured(population.select(c.zip_code, c.population), c.zip_code),
+        people_by_city=measured(means, c.city),
+        pooled=pooled["mean_population"],
+    )
+
+
+def apply_places(df: DataFrame, model: PlaceModel, **how) -> DataFrame:
+    """Coordinates, coordinate text and zip code; with population by zip code, else
+    the mean of the city, else the mean over all, if the model has it."""
+    c = model.columns
+    df = _coordinates(df, c, model.latitude, model.longitude, model.keep_known, **how)
+    df = fill_from_lookup(df, model.zip_code, c.text, c.zip_code, **how)
+    if model.people_by_zip is None:
+        return df
+    df = enrich(df, model.people_by_zip, c.zip_code, **how)
+    df = enrich(df, model.people_by_city, c.city, needed=F.col(f"`{c.population}`").isNull(), **how)
+    without_city = F.when(F.col(f"`{c.city}`").isNull(), F.lit(model.pooled))
     filled = F.coalesce(F.col(f"`{c.population}`").cast("double"), F.col("mean_population"), without_city)
-    return by_city.withColumn(c.population, filled).drop("mean_population")
+    return df.withColumn(c.population, filled).drop("mean_population")
 
 
 # ---- yes/no services --------------------------------------------------------------

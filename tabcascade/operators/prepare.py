@@ -103,18 +103,26 @@ class Scaling:
     unit: Mapping[str, float] = field(default_factory=dict)
 
 
-def fit_standard(train: DataFrame, columns: Sequence[str]) -> Scaling:
-    wanted = {("m", c): F.avg(F.col(f"`{c}`")) for c in columns} | {("s", c): F.stddev_samp(F.col(f"`{c}`")) for c in columns}
+def fit_scalings(train: DataFrame, columns: Sequence[str]) -> dict[str, Scaling]:
+    """Z-score (``std``) and range (``minmax``) scaling, from one pass."""
+    wanted = {}
+    for c in columns:
+        v = F.col(f"`{c}`").cast("double")
+        wanted |= {("m", c): F.avg(v), ("s", c): F.stddev_samp(v), ("l", c): F.min(v), ("h", c): F.max(v)}
     got = _each(train, wanted)
-    return Scaling({c: got["m", c] for c in columns}, {c: got["s", c] for c in columns})
+    low = {c: got["l", c] for c in columns}
+    return {
+        "std": Scaling({c: got["m", c] for c in columns}, {c: got["s", c] for c in columns}),
+        "minmax": Scaling(low, {c: None if low[c] is None else got["h", c] - low[c] for c in columns}),
+    }
+
+
+def fit_standard(train: DataFrame, columns: Sequence[str]) -> Scaling:
+    return fit_scalings(train, columns)["std"]
 
 
 def fit_min_max(train: DataFrame, columns: Sequence[str]) -> Scaling:
-    wanted = {("l", c): F.min(F.col(f"`{c}`")).cast("double") for c in columns}
-    wanted |= {("h", c): F.max(F.col(f"`{c}`")).cast("double") for c in columns}
-    got = _each(train, wanted)
-    low = {c: got["l", c] for c in columns}
-    return Scaling(low, {c: None if low[c] is None else got["h", c] - low[c] for c in columns})
+    return fit_scalings(train, columns)["minmax"]
 
 
 def apply_scaling(df: DataFrame, scaling: Scaling) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -12,13 +12,14 @@ from tabcascade.operators.billing import BillingColumns, solve_identities
 from tabcascade.operators.inference import (
     BandMeans,
     PlaceColumns,
+    PlaceModel,
     ServiceColumns,
     apply_band_means,
     apply_flagged_mean,
-    apply_population,
-    complete_places,
-    fit_band_means,
-    fit_flagged_mean,
+    apply_places,
+    band_means,
+    fit_places,
+    flagged_mean,
     service_rules,
 )
 from tabcascade.operators.prepare import (
@@ -29,8 +30,7 @@ from tabcascade.operators.prepare import (
     apply_scaling,
     fit_fill,
     fit_levels,
-    fit_min_max,
-    fit_standard,
+    fit_scalings,
 )
 from tabcascade.operators.relational import assemble, label_last
 from tabcascade.session import hold
@@ -142,9 +142,10 @@ class CleanModel:
     age: BandMeans
     dependents: float | None
     referrals: float | None
-    fill: Mapping
-    levels: Mapping[str, Sequence[str]]
-    scaling: Mapping[str, Scaling]
+    places: PlaceModel
+    fill: Mapping = field(default_factory=dict)
+    levels: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    scaling: Mapping[str, Scaling] = field(default_factory=dict)
 
 
 def assemble_raw(ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec()) -> DataFrame:
@@ -152,45 +153,67 @@ def assemble_raw(ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec())
     return assemble(ids.select(spec.key), [t.drop(*spec.unused) for t in tables], spec.key)
 
 
-def infer(df: DataFrame, raw: RawTables, spec: CleanSpec, age, dependents, referrals, **how) -> DataFrame:
+def infer(df: DataFrame, model: CleanModel, **how) -> DataFrame:
     """All row and lookup rules, in order; later rules see earlier results."""
-    who = spec.person
-    df = apply_band_means(df, age, who.age, who.young, who.senior)
-    df = apply_flagged_mean(df, dependents, who.dependents, who.has_dependents)
-    places = raw.location.drop(*spec.unused)
-    how_placed = (spec.places, spec.place_order, spec.keep_known_coordinates)
-    df = complete_places(df, places, *how_placed, **how)
-    done = complete_places(places, places, *how_placed, **how)
-    df = apply_population(df, done, raw.population.drop(*spec.unused), spec.places, **how)
-    df = apply_flagged_mean(df, referrals, who.referrals, who.referred)
+    spec, who = model.spec, model.spec.person
+    df = apply_band_means(df, model.age, who.age, who.young, who.senior)
+    df = apply_flagged_mean(df, model.dependents, who.dependents, who.has_dependents)
+    df = apply_places(df, model.places, **how)
+    df = apply_flagged_mean(df, model.referrals, who.referrals, who.referred)
     df = solve_identities(df, spec.billing)
-    return service_rules(df, spec.service, spec.compat_extras)
+    return service_rules(df, spec.service, spec.compat_extras).drop(*spec.redundant)
 
 
-def fit_clean(train_ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec(), **how) -> CleanModel:
-    """Statistics of the training rows. The assembled rows are read by several
-    small aggregations, so they are kept, on disk where memory is short."""
-    joined = hold(assemble_raw(train_ids, raw, spec))
+def _fit_inference(train_ids: DataFrame, raw: RawTables, spec: CleanSpec, **how) -> CleanModel:
+    """Statistics of training rows, from the few columns they need, and the place
+    dictionaries, which come from the places of all rows."""
     who = spec.person
-    age = fit_band_means(joined, who.age)
-    dependents = fit_flagged_mean(joined, who.dependents, who.has_dependents)
-    referrals = fit_flagged_mean(joined, who.referrals, who.referred)
-    known = hold(infer(joined, raw, spec, age, dependents, referrals, **how).drop(*spec.redundant))
+    people = assemble(
+        train_ids.select(spec.key),
+        [
+            raw.demographics.select(spec.key, who.age, who.dependents, who.has_dependents),
+            raw.services.select(spec.key, who.referrals, who.referred),
+        ],
+        spec.key,
+    )
+    row = people.agg(
+        *band_means(who.age),
+        flagged_mean(who.dependents, who.has_dependents).alias("dependents"),
+        flagged_mean(who.referrals, who.referred).alias("referrals"),
+    ).first()
+    places = fit_places(
+        raw.location.drop(*spec.unused),
+        spec.places,
+        spec.place_order,
+        raw.population.drop(*spec.unused),
+        spec.keep_known_coordinates,
+        **how,
+    )
+    return CleanModel(spec, BandMeans(row["young"], row["middle"], row["senior"]), row["dependents"], row["referrals"], places)
+
+
+def fit_clean(train_ids: DataFrame, raw: RawTables, spec: CleanSpec = CleanSpec(), **how) -> CleanModel:
+    """Fit every step on the training ids.
+
+    The inferred training rows are read by a handful of aggregations, each of a
+    few columns, and are held for them.
+    """
+    model = _fit_inference(train_ids, raw, spec, **how)
+    known = hold(infer(assemble_raw(train_ids, raw, spec), model, **how))
     fill = fit_fill(
         known,
         FillSpec(spec.fill_rounded, spec.fill_mean, (), spec.fill_mode, [*spec.fill_mode_text, *spec.categories]),
     )
     filled = apply_fill(known, fill)
-    levels = fit_levels(filled, spec.categories)
-    scaling = {"std": fit_standard(filled, spec.scaled()), "minmax": fit_min_max(filled, spec.scaled())}
-    return CleanModel(spec, age, dependents, referrals, fill, levels, scaling)
+    fitted = replace(model, fill=fill, levels=fit_levels(filled, spec.categories), scaling=fit_scalings(filled, spec.scaled()))
+    known.unpersist()
+    return fitted
 
 
 def apply_clean(ids: DataFrame, raw: RawTables, model: CleanModel, norm: str | None = "std", **how) -> DataFrame:
     """The clean table of any id list; ``norm`` is ``std``, ``minmax`` or None."""
     spec = model.spec
-    df = assemble_raw(ids, raw, spec)
-    df = infer(df, raw, spec, model.age, model.dependents, model.referrals, **how).drop(*spec.redundant)
+    df = infer(assemble_raw(ids, raw, spec), model, **how)
     df = apply_one_hot(apply_fill(df, model.fill), model.levels)
     if norm is not None:
         df = apply_scaling(df, model.scaling[norm])

@@ -11,11 +11,11 @@ from tabcascade.operators.inference import (
     ServiceColumns,
     apply_band_means,
     apply_flagged_mean,
-    apply_population,
-    complete_places,
+    apply_places,
     extras_without_internet,
     fit_band_means,
     fit_flagged_mean,
+    fit_places,
     service_rules,
     split_coordinates,
 )
@@ -157,7 +157,7 @@ def test_places(spark):
         ],
         PLACES,
     )
-    done = complete_places(df, df, PLACE, "id")
+    done = apply_places(df, fit_places(df, PLACE, "id"))
     got = {r["id"]: (r["lat"], r["lon"], r["text"], r["zip"]) for r in done.collect()}
     assert got[2] == got[3] == (34.5, -118.0, "34.5, -118.0", 90001.0)
     assert got[4] == (None, None, None, None)
@@ -168,9 +168,10 @@ def test_places(spark):
     lost = split_coordinates(df, PLACE, keep_known=False)
     assert {r["id"]: r["lat"] for r in lost.collect()}[7] is None
     people = spark.createDataFrame([(90001.0, 100), (96000.0, 7)], "zip double, people int")
-    filled = {r["id"]: r["people"] for r in apply_population(done, done, people, PLACE).collect()}
+    model = fit_places(df, PLACE, "id", people)
+    filled = {r["id"]: r["people"] for r in apply_places(df, model).collect()}
     assert filled == {1: 100.0, 2: 100.0, 3: 100.0, 4: 54.0, 5: 7.0, 6: 7.0, 7: 0.0}
-    shuffled = apply_population(done, done, people, PLACE, broadcast_limit=0)
+    shuffled = apply_places(df, fit_places(df, PLACE, "id", people, broadcast_limit=0), broadcast_limit=0)
     assert {r["id"]: r["people"] for r in shuffled.collect()} == filled
 
 
