@@ -69,12 +69,12 @@ def mode_sql(column: str, kind: str = "VARCHAR") -> str:
 
 @query("A5_mode_text", f"SELECT * FROM {mode_sql('priority')} UNION ALL SELECT * FROM {mode_sql('status')}")
 def mode_text(t: Tables):
-    return modes(orders(t), ["priority", "status"], "string")
+    return modes(orders(t), texts=["priority", "status"]).select("column_name", F.col("text").alias("mode_value"), "n")
 
 
 @query("A5_mode_number", f"SELECT * FROM {mode_sql('visits', 'DOUBLE')} UNION ALL SELECT * FROM {mode_sql('is_train', 'DOUBLE')}")
 def mode_number(t: Tables):
-    return modes(orders(t), ["visits", "is_train"], "double")
+    return modes(orders(t), ["visits", "is_train"]).select("column_name", F.col("number").alias("mode_value"), "n")
 
 
 @query(

@@ -166,6 +166,17 @@ def staged(t: Tables):
     return score_table(t, [(s.number, str(s.best), float(s.score), s.accepted) for s in history], "stage int, best string, score double, accepted boolean")
 
 
+@query("K8_keep_if_not_worse")
+def not_worse(t: Tables):
+    """A stage that scores lower is tried once and not taken over."""
+    steps = [fixed(depth=[1]), fixed(depth=[5], minInstancesPerNode=[1])]
+    start = {"trees": 3, "depth": 5, "seed": 1}
+    best, history = staged_search(forest, start, steps, fold_rows(t, 2), "fold", ConfusionEvaluator("f1_macro"))
+    taken = max(s.score for s in history if s.accepted)
+    rows = [(s.number, float(s.score), s.accepted, s.score <= taken) for s in history]
+    return score_table(t, rows, "stage int, score double, accepted boolean, not_above_best boolean")
+
+
 @query("K9_rate_sweep")
 def rates(t: Tables):
     best = rate_sweep(tiny_boost("label", 0, n_estimators=3), [0.1, 0.01], binary_fold_rows(t, 2), "fold", "label")
@@ -365,3 +376,63 @@ def fit_report(t: Tables):
     report = [("rounds", "", float(best)), ("accuracy", "", accuracy)]
     report += [("splits", f, float(n)) for f, n in split_importance(model, FEATURE_NAMES).items()]
     return score_table(t, report, "measure string, feature string, value double")
+
+
+# ---- what must hold for any fit: these have SQL -----------------------------------------------
+
+
+def broken(df: DataFrame, rule: str) -> DataFrame:
+    """How many rows there are, and how many break a rule."""
+    return df.agg(F.count("*").alias("n_rows"), F.count(F.expr(f"CASE WHEN NOT ({rule}) THEN 1 END")).alias("n_broken"))
+
+
+ALL_HOLD = "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM events"
+
+
+@query("K2_every_row_scored_once", ALL_HOLD)
+def scored_once(t: Tables):
+    df = stratified_folds(learn_rows(t).withColumn("label", binary_label("label")), "event_id", "label", 3, seed=7)
+    rows = hold(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
+    parts = [add_prediction(forest().fit(rows.filter(F.col("fold") != i)), rows.filter(F.col("fold") == i), "prediction") for i in range(3)]
+    per_row = append_rows(*parts).groupBy("event_id").agg(F.count("*").alias("n"), F.max("prediction").alias("prediction"))
+    return broken(per_row, "n = 1 AND prediction IN (0, 1)")
+
+
+@query("M8_vote_is_majority", ALL_HOLD)
+def majority(t: Tables):
+    rows = binary_rows(t)
+    models = [forest({"seed": s, "depth": 8}).fit(rows) for s in (1, 2, 3)]
+    voted = add_votes(models, rows, [0, 1], "vote", keep_members=True)
+    return broken(voted, "vote = CASE WHEN vote_m1 + vote_m2 + vote_m3 >= 2 THEN 1 ELSE 0 END")
+
+
+@query("M11_probabilities_sum_to_one", ALL_HOLD)
+def sums(t: Tables):
+    rows = class_rows(t)
+    names = [f"p{i}" for i in range(6)]
+    return broken(add_probabilities(forest().fit(rows), rows, names), f"abs({' + '.join(names)} - 1) < 1e-9")
+
+
+@query("M15_cascade_consistent", ALL_HOLD)
+def consistent(t: Tables):
+    df = hold(learn_rows(t))
+    rows = with_features(df, FEATURE_NAMES, ["event_id", "label"])
+    scored = two_stage_models(t, df).score(rows, "prediction", keep_stages=True)
+    return broken(scored, "prediction = CASE WHEN first_stage = 1 THEN second_stage ELSE 0 END AND second_stage BETWEEN 1 AND 5")
+
+
+@query("M16_pseudo_label_rows", "SELECT COUNT(*) AS n_rows, CAST(COUNT(CASE WHEN event_id % 9 = 4 THEN 1 END) AS BIGINT) AS n_predicted, CAST(0 AS BIGINT) AS n_changed FROM events")
+def pseudo_rows_kept(t: Tables):
+    """Known labels stay as they are, every unlabelled row gets one."""
+    labelled, unlabelled = partly_labelled(t)
+    known = labelled.withColumn("label", binary_label("label"))
+    model = forest({"seed": 1}).fit(known)
+    _, rows = pseudo_label_first(model, lambda: forest({"seed": 1, "trees": 1}), known, unlabelled, "label")
+    was = learn_rows(t).select("event_id", binary_label("label").alias("was"))
+    both = rows.select("event_id", "label").join(was, "event_id")
+    predicted = F.col("event_id") % 9 == 4
+    return both.agg(
+        F.count("*").alias("n_rows"),
+        F.count(F.when(predicted & F.col("label").isin(0, 1), 1)).alias("n_predicted"),
+        F.count(F.when(~predicted & (F.col("label") != F.col("was")), 1)).alias("n_changed"),
+    )

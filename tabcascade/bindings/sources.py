@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabcascade.bindings.base import ORDERS_SQL, PREDICTED, Tables, orders, query, scratch
-from tabcascade.bindings.learn import FEATURE_NAMES, binary_rows, learn_rows, tiny_boost
+from tabcascade.bindings.learn import FEATURE_NAMES, binary_rows, broken, forest, learn_rows, tiny_boost
 from tabcascade.functions import binary_label
 from tabcascade.operators.prepare import apply_scaling, fit_min_max, fit_standard
 from tabcascade.plans.ensembles import add_votes
@@ -71,6 +71,17 @@ def model_round_trip(t: Tables):
     return add_votes(load_models(folder, 3), rows, [0, 1], "vote").groupBy("label", "vote").agg(F.count("*").alias("n"))
 
 
+@query("S6_loaded_equals_stored", "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM events")
+def loaded_equals_stored(t: Tables):
+    rows, folder = binary_rows(t), scratch(t.spark, "models")
+    models = [forest({"seed": s}).fit(rows) for s in (0, 1)]
+    save_models(models, folder)
+    scored = rows
+    for name, model in zip(("a0", "a1", "b0", "b1"), [*models, *load_models(folder, 2)]):
+        scored = add_prediction(model, scored, name)
+    return broken(scored, "a0 = b0 AND a1 = b1")
+
+
 @query("S7_rebuild_unfitted")
 def rebuild(t: Tables):
     """Parameters are read off a stored model and a new one is fitted with them."""

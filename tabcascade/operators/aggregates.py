@@ -51,18 +51,25 @@ def class_sizes(df: DataFrame, label: str) -> dict:
     return {r[0]: r["n"] for r in sizes}
 
 
-def modes(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
+def modes(df: DataFrame, numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
     """Most frequent value per column, the smallest on ties.
 
-    Values are counted in long form first, so that no task holds the distinct
-    values of a whole column, which a built-in ``mode`` aggregate would.
+    Columns in ``numbers`` compare as numbers, those in ``texts`` as text. All
+    values are counted in long form, so that no task holds the distinct values
+    of a whole column, which a built-in ``mode`` aggregate would.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast(as_type).alias("value")) for c in columns])
-    long = df.select(F.explode(cells).alias("cell")).select("cell.*").filter(F.col("value").isNotNull())
-    counted = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("column_name").agg(
-        F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value"))).alias("mode_value"),
-        F.max("n").alias("n"),
+    none = {"double": F.lit(None).cast("double"), "string": F.lit(None).cast("string")}
+    cells = [(c, F.col(f"`{c}`").cast("double"), none["string"]) for c in numbers]
+    cells += [(c, none["double"], F.col(f"`{c}`").cast("string")) for c in texts]
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), n.alias("number"), t.alias("text")) for c, n, t in cells])).alias("cell")
+    ).select("cell.*")
+    known = long.filter(F.col("number").isNotNull() | F.col("text").isNotNull())
+    counted = known.groupBy("column_name", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.struct("number", "text"), F.struct(-F.col("n"), F.col("number"), F.col("text")))
+    return (
+        counted.groupBy("column_name").agg(best.alias("best"), F.max("n").alias("n"))
+        .select("column_name", F.col("best.number").alias("number"), F.col("best.text").alias("text"), "n")
     )
 
 

@@ -38,16 +38,16 @@ class FillSpec:
 
 
 def fit_fill(train: DataFrame, spec: FillSpec) -> dict:
-    """Fill value per column: one job for the means, one for each kind of mode."""
+    """Fill value per column: one job for the means, one for the modes."""
     values = _each(
         train,
         {c: half_even(F.avg(F.col(f"`{c}`"))) for c in spec.rounded_mean}
         | {c: F.avg(F.col(f"`{c}`")) for c in spec.mean},
     )
     values |= {c: 0.0 for c in spec.zero}
-    for columns, kind in ((spec.mode, "double"), (spec.mode_text, "string")):
-        if columns:
-            values |= {r["column_name"]: r["mode_value"] for r in modes(train, columns, kind).collect()}
+    if spec.mode or spec.mode_text:
+        found = modes(train, spec.mode, spec.mode_text).collect()
+        values |= {r["column_name"]: r["number"] if r["text"] is None else r["text"] for r in found}
     return values
 
 

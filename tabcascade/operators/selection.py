@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF_ROWS = 1_000_000
+LEAF_ROWS = 100_000
 MAX_STEP_DIGITS = 4
 
 

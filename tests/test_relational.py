@@ -89,8 +89,9 @@ def test_city_population(spark):
 
 def test_modes_take_smallest_on_ties(spark):
     df = spark.createDataFrame([(2.0, "b"), (2.0, "b"), (1.0, "a"), (1.0, "a"), (None, None), (10.0, "c")], "n double, t string")
-    assert rows(modes(df, ["n"], "double"), "column_name", "mode_value", "n") == [("n", 1.0, 2)]
-    assert rows(modes(df, ["t"], "string"), "column_name", "mode_value", "n") == [("t", "a", 2)]
+    assert rows(modes(df, ["n"], ["t"]), "column_name", "number", "text", "n") == [("n", 1.0, None, 2), ("t", None, "a", 2)]
+    tens = spark.createDataFrame([(9,), (10,)], "n int")
+    assert modes(tens, ["n"]).first()["number"] == 9.0 and modes(tens, texts=["n"]).first()["text"] == "10"
     assert rows(null_audit(df), "column_name", "n_null", "n_rows") == [("n", 1, 6), ("t", 1, 6)]
 
 
