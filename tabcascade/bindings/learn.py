@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.bindings.base import EVENTS, Tables, query
+from tabcascade.bindings.base import EVENTS, EVENTS_SQL, Tables, query
 from tabcascade.functions import binary_label
 from tabcascade.operators.aggregates import confidence_histogram, row_confidence
 from tabcascade.operators.folds import group_folds, stratified_folds
@@ -46,6 +46,7 @@ from tabcascade.plans.models import (
 )
 from tabcascade.plans.selection import eliminate, top_k_sweep
 from tabcascade.plans.tuning import (
+    class_loss_curves,
     cross_validate,
     fixed,
     grid,
@@ -157,6 +158,14 @@ def rounds(t: Tables):
     return score_table(t, rows, "fold int, round int, loss double, is_best boolean")
 
 
+@query("K6_boosting_rounds_classes")
+def class_rounds(t: Tables):
+    curves = class_loss_curves(tiny_boost("label", 0), fold_rows(t, 2), "fold", "label", 3)
+    best = stop_round(curves, patience=2)
+    rows = [(i // 2, i % 2, r + 1, float(v), r + 1 == best) for i, c in enumerate(curves) for r, v in enumerate(c)]
+    return score_table(t, rows, "class int, fold int, round int, loss double, is_best boolean")
+
+
 @query("K7_staged_tuning")
 def staged(t: Tables):
     steps = [fixed(max_depth=[2, 3], min_child_weight=[1, 5]), fixed(gamma=[0.0, 0.1])]
@@ -413,6 +422,15 @@ def sums(t: Tables):
     return broken(add_probabilities(forest().fit(rows), rows, names), f"abs({' + '.join(names)} - 1) < 1e-9")
 
 
+@query("M2_class_probabilities", "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM (SELECT * FROM " + EVENTS_SQL + ") WHERE label > 0")
+def boosted_probabilities(t: Tables):
+    """They sum to one, and the predicted class has the largest."""
+    rows = reason_rows(t)
+    model = boosted_trees({"n_estimators": 2, "max_depth": 3, "seed": 1}, "label", classes=3).fit(rows)
+    scored = add_probabilities(model, rows, ["p0", "p1", "p2"], "prediction")
+    return broken(scored, "abs(p0 + p1 + p2 - 1) < 1e-9 AND greatest(p0, p1, p2) = CASE prediction WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END")
+
+
 @query("M15_cascade_consistent", ALL_HOLD)
 def consistent(t: Tables):
     df = hold(learn_rows(t))

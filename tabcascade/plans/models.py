@@ -22,7 +22,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabcascade.plans.params import tree_boost_params
@@ -166,10 +166,24 @@ def add_prediction(model, df: DataFrame, out: str, shift: int = 0) -> DataFrame:
     return scored.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("prediction") + shift).cast("int").alias(out))
 
 
+def class_probabilities(scored: DataFrame) -> Column:
+    """Array of class probabilities of a scored frame.
+
+    One-vs-rest has margins only. Boosted trees turn a margin m into
+    1 / (1 + exp(-2 m)); over the classes these are made to sum to one.
+    """
+    if "probability" in scored.columns:
+        return vector_to_array(F.col("probability"))
+    odds = F.transform(vector_to_array(F.col("rawPrediction")), lambda m: 1 / (1 + F.exp(-2 * m)))
+    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(odds, lambda x: x / total)
+
+
 def add_probabilities(model, df: DataFrame, names: Sequence[str], out: str | None = None) -> DataFrame:
+    """One column per class probability, and the prediction where ``out`` names it."""
     scored = model.transform(df)
-    p = vector_to_array(F.col("probability"))
-    extra = [p[i].alias(n) for i, n in enumerate(names)]
+    scored = scored.withColumn("_p", class_probabilities(scored))
+    extra = [F.col("_p")[i].alias(n) for i, n in enumerate(names)]
     if out:
         extra.append(F.col("prediction").cast("int").alias(out))
     return scored.select(*[F.col(f"`{c}`") for c in df.columns], *extra)

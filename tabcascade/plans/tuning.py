@@ -215,6 +215,15 @@ def loss_curves(estimator: GBTClassifier, df: DataFrame, fold: str, label: str,
     return curves
 
 
+def class_loss_curves(estimator: GBTClassifier, df: DataFrame, fold: str, label: str, classes: int) -> list[list[float]]:
+    """The same for several classes, one against the rest: curves of all folds and classes."""
+    folds, curves = fold_numbers(df, fold), []
+    for c in range(classes):
+        one = df.withColumn(label, (F.col(label) == c).cast("int"))
+        curves += loss_curves(estimator, one, fold, label, folds)
+    return curves
+
+
 def stop_round(curves: Sequence[Sequence[float]], patience: int = 50) -> int:
     """Round with the lowest mean loss before ``patience`` rounds pass without a new low."""
     length = min(len(c) for c in curves)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tabcascade.functions import code_label, decode_label, half_even, nan_to_null, order_code, quotient, tokens_to_null
 from tabcascade.operators.aggregates import city_population, modes, null_audit
 from tabcascade.operators.relational import assemble, cascade_merge, enrich, fill_from_lookup, last_value_lookup, predictors
+from tabcascade.sources.files import save_bucketed
 
 
 def rows(df, *columns):
@@ -71,6 +72,21 @@ def test_assemble_keeps_ids(spark):
     assert rows(assemble(ids, [one, two], "id"), "id", "x", "y") == [("a", 1, None), ("b", None, 2)]
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    for name in ("ids", "people", "bills"):
+        save_bucketed(spark.range(100).withColumn(name, F.col("id") % 7), f"bucketed_{name}", "id", 4)
+    ids, people, bills = [spark.table(f"bucketed_{name}") for name in ("ids", "people", "bills")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = assemble(ids, [people, bills], "id")
+        assert joined.count() == 100
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("ids", "people", "bills"):
+            spark.sql(f"DROP TABLE bucketed_{name}")
+
+
 def test_cascade_merge(spark):
     first = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "id string, y int")
     second = spark.createDataFrame([("c", 4), ("b", 2)], "id string, y int")
