@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabcascade.session import hold
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-HOT_SHARE = 0.01
+HOT_KEYS = 100
 NULL_SPREAD = 1024
 
 
@@ -93,7 +93,7 @@ def enrich(
     key: str,
     needed: Column | None = None,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-    hot_share: float = HOT_SHARE,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Left-join a lookup with one row per key onto facts of any skew.
 
@@ -103,9 +103,9 @@ def enrich(
 
     * rows with a missing key, or for which ``needed`` is false, cannot match
       and are spread over ``NULL_SPREAD`` salt values;
-    * keys that hold more than ``hot_share`` of the needing rows, of which
-      there are at most ``1 / hot_share``, have their lookup rows broadcast and
-      are spread the same way.
+    * the ``hot_keys`` most frequent keys have their lookup rows broadcast and
+      are spread the same way. No other key can hold more than one part in
+      ``hot_keys`` of the rows.
 
     Every fact row comes out exactly once.
     """
@@ -118,10 +118,12 @@ def enrich(
         )
         return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`") for c in names])
 
-    wanting = df.filter(needed & F.col(f"`{key}`").isNotNull())
-    floor = max(1.0, wanting.count() * hot_share)
-    hot_keys = [r[0] for r in wanting.groupBy(key).count().filter(F.col("count") > floor).select(key).collect()]
-    is_hot = F.col(f"`{key}`").isin(hot_keys) if hot_keys else F.lit(False)
+    hot: list = []
+    if hot_keys:
+        wanting = df.filter(needed & F.col(f"`{key}`").isNotNull())
+        largest = wanting.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(hot_keys)
+        hot = [r[0] for r in largest.collect()]
+    is_hot = F.col(f"`{key}`").isin(hot) if hot else F.lit(False)
     # The task number spreads copies of one row, the row hash spreads one task's
     # rows; neither depends on row order, so a retried task repeats the salt.
     mixed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) % NULL_SPREAD + F.spark_partition_id()
@@ -131,11 +133,11 @@ def enrich(
     cold = with_suffix(rows, [key], "_cold").withColumn("_salt", F.lit(0).cast("bigint"))
     joined = salted.join(cold, [key, "_salt"], "left")
     values = {c: F.col(f"`{c}_cold`") for c in names}
-    if hot_keys:
-        hot = with_suffix(rows.filter(is_hot), [key], "_hot").withColumn("_found", F.lit(True))
-        hot = hot.withColumnRenamed(key, "_probe")
+    if hot:
+        hot_rows = with_suffix(rows.filter(is_hot), [key], "_hot").withColumn("_found", F.lit(True))
+        hot_rows = hot_rows.withColumnRenamed(key, "_probe")
         joined = joined.withColumn("_probe", F.when(needed, F.col(f"`{key}`")))
-        joined = joined.join(F.broadcast(hot), "_probe", "left")
+        joined = joined.join(F.broadcast(hot_rows), "_probe", "left")
         values = {c: F.when(F.col("_found"), F.col(f"`{c}_hot`")).otherwise(v) for c, v in values.items()}
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(c) for c, v in values.items()])
 

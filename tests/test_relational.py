@@ -23,10 +23,11 @@ def test_enrich_paths_agree(spark):
     lookup = spark.createDataFrame([(i, f"n{i}") for i in range(0, 50, 2)] + [(7, "seven"), (None, "none")], "k int, name string")
     small = enrich(facts, lookup, "k")
     large = enrich(facts, lookup, "k", broadcast_limit=0)
-    cold = enrich(facts, lookup, "k", broadcast_limit=0, hot_share=2.0)
+    cold = enrich(facts, lookup, "k", broadcast_limit=0, hot_keys=0)
+    few = enrich(facts, lookup, "k", broadcast_limit=0, hot_keys=3)
     names = {i: f"n{i}" for i in range(0, 50, 2)} | {7: "seven"}
     want = sorted(((r.k, r.v, names.get(r.k)) for r in facts.collect()), key=repr)
-    for df in (small, large, cold):
+    for df in (small, large, cold, few):
         assert df.columns == ["k", "v", "name"]
         assert rows(df, "k", "v", "name") == want
 
