@@ -85,13 +85,14 @@ def sketch(items: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 
 
 def _sets(width: int, percent: int):
-    """(doc_id, n_shingles, cls, row_hash, keys); keys only for the first row of a class in a task."""
+    """(doc_id, n_shingles, cls, row_hash, sketch, keys); the last two only for the first row of a
+    class in a task, else null and empty."""
     emit = SketchKeys(percent)
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            n, cls, rows, keys = [], [], [], []
+            n, cls, rows, sketches, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 items = shingles(text, width)
                 c = xxhash.xxh64_intdigest(items.tobytes())
@@ -102,29 +103,36 @@ def _sets(width: int, percent: int):
                     if len(seen) < 500_000:
                         seen.add(c)
                     keys.append(emit(items).view(np.int64))
+                    sketches.append(sketch(items).tobytes())
                 else:
                     keys.append(np.empty(0, np.int64))
+                    sketches.append(None)
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["doc_id", "n_shingles", "cls", "row_hash", "keys"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(rows, pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                ["doc_id", "n_shingles", "cls", "row_hash", "sketch", "keys"],
             )
 
     return run
 
 
 def _class_sets(width: int):
-    """(cls, sketch, items) of the given documents."""
+    """(cls, items) of the given documents, each class once in a task."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["cls", "n", "sketch", "items"],
-            )
+            cls, items = [], []
+            for text in batch.column(1).to_pylist():
+                raw = shingles(text, width).tobytes()
+                c = xxhash.xxh64_intdigest(raw)
+                if c not in seen:
+                    if len(seen) < 500_000:
+                        seen.add(c)
+                    cls.append(c)
+                    items.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(items, pa.binary())], ["cls", "items"])
 
     return run
 
@@ -176,7 +184,8 @@ def _with_partner(percent: int):
                     hit[k] = True
                     hit[found] = True
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * int(hit.sum()), pa.int64()), pa.array([rows[k][4] for k in np.flatnonzero(hit)], pa.int64())], ["g", "cls"])
+                g, cls, n, bits = zip(*((r[0], r[4], r[5], r[6]) for r, h in zip(rows, hit, strict=True) if h), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["g", "cls", "n", "sketch"])
 
     return run
 
@@ -222,26 +231,25 @@ def _in_blocks(members: DataFrame, weight: str, limit: int) -> DataFrame:
 def link_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, cls, row_hash; links: a, b between classes, a spanning forest)."""
     rows = text_rows(docs, id_col, text_col)
-    sets = shared(rows.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, cls long, row_hash long, keys array<long>"), "sets")
+    sets = shared(rows.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, cls long, row_hash long, sketch binary, keys array<long>"), "sets")
     keys = sets.select(F.explode("keys").alias("key"), "cls")
     # Each class of a block's value meets the first one; sorted streams, no buffered groups.
     ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
     stars = shared(ordered.mapInArrow(_stars, "g long, cls long").distinct(), "stars")
     members = stars.unionByName(stars.select("g", F.col("g").alias("cls")).distinct())
-    classes = members.select("cls").distinct()
-    reps = sets.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(classes, "cls", "left_semi")
-    reps = shared(reps.select("doc_id"), "reps")
-    texts = rows.join(small_enough(reps, reps.count(), 16), rows["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
-    class_sets = texts.mapInArrow(_class_sets(width), "cls long, n long, sketch binary, items binary")
-    class_sets = shared(class_sets.dropDuplicates(["cls"]), "class-sets")
-    schema = ["g", "i", "j"]
-    sketched = members.join(class_sets.select("cls", "n", "sketch"), "cls").select("g", "cls", "n", "sketch").withColumn("one", F.lit(1))
+    sketches = sets.where("sketch IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketched = members.join(sketches, "cls").select("g", "cls", "n", "sketch").withColumn("one", F.lit(1))
     blocks = _in_blocks(sketched, "one", 20_000).select("g", "i", "j", "side", "cls", "n", "sketch")
-    near = blocks.repartition(*schema).sortWithinPartitions(*schema, "cls").mapInArrow(_with_partner(percent), "g long, cls long").distinct()
-    near = shared(near, "near")
-    full = near.join(class_sets, "cls").select("g", "cls", "n", "sketch", "items")
-    blocks = _in_blocks(full, "n", BLOCK_SHINGLES).select("g", "i", "j", "side", "cls", "n", "sketch", "items")
-    links = blocks.repartition(*schema).sortWithinPartitions(*schema, "cls").mapInArrow(_links(percent), "a long, b long")
+    schema = ["g", "i", "j"]
+    near = blocks.repartition(*schema).sortWithinPartitions(*schema, "cls").mapInArrow(_with_partner(percent), "g long, cls long, n long, sketch binary")
+    near = shared(near.dropDuplicates(["g", "cls"]), "near")
+    # Only now the shingles themselves, of the classes that may have a partner.
+    reps = sets.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(near.select("cls").distinct(), "cls", "left_semi")
+    reps = shared(reps.select("doc_id").distinct(), "reps")
+    texts = rows.join(small_enough(reps, reps.count(), 16), rows["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
+    class_sets = texts.mapInArrow(_class_sets(width), "cls long, items binary")
+    full = _in_blocks(near, "n", BLOCK_SHINGLES).join(class_sets, "cls").select("g", "i", "j", "side", "cls", "n", "sketch", "items")
+    links = full.repartition(*schema).sortWithinPartitions(*schema, "cls").mapInArrow(_links(percent), "a long, b long")
     return sets.select("doc_id", "n_shingles", "cls", "row_hash"), shared(links.distinct(), "links")
 
 
@@ -279,8 +287,10 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     documents, links = link_classes(docs, width, percent, id_col, text_col)
     roots = components(links)
-    placed = documents.join(roots, documents["cls"] == roots["node"], "left").select("doc_id", "n_shingles", "row_hash", F.coalesce("root", "cls").alias("root"))
-    lowest = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("members")).where("members > 1")
-    told = placed.join(lowest, "root", "left")
-    own = (F.col("n_shingles") == 0) | F.col("lowest").isNull()
-    return told.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"), "row_hash")
+    # Per class first: what is joined to the documents is one row a class.
+    classes = documents.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("members"))
+    classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = classes.groupBy("root").agg(F.min("lowest").alias("component_id"), F.sum("members").alias("members")).where("members > 1 AND component_id IS NOT NULL")
+    placed = shared(classes.select("cls", "root").join(roots, "root").select("cls", "component_id"), "placed")
+    told = documents.join(placed, "cls", "left")
+    return told.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row_hash")
