@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import MEMO_WORDS, grams, hashed, mix, text_hash, text_rows, words
+from tabcascade.llm.common import MEMO_WORDS, chunks, grams, hashed, mix, text_hash, text_rows, words
 
 EDIT_PERCENT = 20
 WALKS, TABLES, PLACES = 6, 8, 2
 BLOCK_ITEMS = 20_000
 MAX_GRAM = 4
+CHUNK_BYTES = 4 << 20
+_BREAK = np.array([0x5EED_0F_B4EA4], np.uint64)
 _STRIP = b".,;:!?\"'()[]{}<>"
 
 
@@ -74,22 +76,44 @@ def walks(rows: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np.nd
     return out
 
 
-def sampled_keys(rows: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """(rows, WALKS * TABLES) keys of windows compared with an item of ``n`` words.
+def walk_steps(n: int) -> int:
+    """Steps that are sampled for an item of ``n`` words: the walk takes two a word on average,
+    and most have not ended after three quarters of that."""
+    return max(PLACES, 3 * n // 2)
 
-    Places are drawn where the walk has not ended: up to 3n / 2, twice the item's length being
-    the mean number of steps.
-    """
-    steps, out = max(PLACES, 3 * n // 2), []
+
+def sampled_keys(rows: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(rows, WALKS * TABLES) keys of windows that are compared with items of ``sizes`` words."""
+    out = np.empty((len(rows), WALKS * TABLES), np.uint64)
+    steps = walk_steps(int(sizes.max())) if len(sizes) else 0
+    kinds = [(int(n), np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
     for w in range(WALKS):
-        rng = np.random.default_rng(1000 * w + n)
         seen = walks(rows, lengths, w, steps)
-        for _ in range(TABLES):
-            key = np.full(len(rows), w + 1, np.uint64)
-            for place in rng.choice(steps, PLACES, replace=False):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[:, place])
-            out.append(key)
-    return np.stack(out, 1)
+        for n, at in kinds:
+            rng = np.random.default_rng(1000 * w + n)
+            for t in range(TABLES):
+                key = np.full(len(at), w + 1, np.uint64)
+                for place in rng.choice(walk_steps(n), PLACES, replace=False):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[at, place])
+                out[at, w * TABLES + t] = key
+    return out
+
+
+def closest(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
+    """(edits, start, words) of the run of ``part`` with the fewest word edits to the item."""
+    edits, end = _align(item, part, np.zeros(len(part) + 1, np.int64))
+    _, words = _align(item[::-1], part[:end][::-1], np.arange(end + 1))
+    return edits, end - words, words
+
+
+def _align(item: np.ndarray, part: np.ndarray, row: np.ndarray) -> tuple[int, int]:
+    """Fewest edits and the first place where a run of ``part`` ends; ``row`` is the cost of each
+    start. Skipped words of ``part`` are a running minimum."""
+    place = np.arange(len(part) + 1)
+    for i, x in enumerate(item, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (part != x))
+        row = np.minimum.accumulate(np.r_[i, best] - place) + place
+    return int(row.min()), int(row.argmin())
 
 
 @dataclass
@@ -99,14 +123,14 @@ class Items:
     ids: list[int]
     codes: list[np.ndarray]
     edits: list[int]
-    keys: list[np.ndarray]
+    keys: np.ndarray
     lookup: dict[int, dict[int, list[tuple[int, int]]]]
     marks: dict[int, np.ndarray]
     need: list[int]
 
     @classmethod
     def build(cls, rows: list[tuple[int, bytes]], percent: int) -> "Items":
-        ids, codes, edits, keys = [], [], [], []
+        ids, codes, edits = [], [], []
         lookup: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item, text in rows:
             c = item_words(text)
@@ -119,30 +143,49 @@ class Items:
             ids.append(item)
             codes.append(c)
             edits.append(e)
-            keys.append(sampled_keys(c[None, :], np.array([len(c)]), len(c))[0])
         marks = {}
         for g, known in lookup.items():
-            marks[g] = np.zeros(1 << 22, bool)
-            marks[g][np.fromiter((v >> 42 for v in known), np.int64, len(known))] = True
+            bits = min(26, max(16, (64 * len(known)).bit_length()))
+            marks[g] = np.zeros(1 << bits, bool)
+            marks[g][np.fromiter((v >> (64 - bits) for v in known), np.int64, len(known))] = True
         need = [runs_kept(len(c), e, run_length(len(c), e)) for c, e in zip(codes, edits, strict=True)]
-        return cls(ids, codes, edits, keys, lookup, marks, need)
-
-    def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, first word, words, edits) of the best window of each item found in a text."""
-        codes = item_words(text)
-        starts: dict[int, list[int]] = {}
+        sizes = np.array([len(c) for c in codes], np.int64)
+        rows = np.zeros((len(codes), int(sizes.max()) if len(codes) else 1), np.uint64)
+        for k, c in enumerate(codes):
+            rows[k, : len(c)] = c
+        return cls(ids, codes, edits, sampled_keys(rows, sizes, sizes), lookup, marks, need)
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, first word, words, edits): the best window of each item found in a text."""
+        parts = [item_words(t) for t in texts]
+        counts = np.array([len(p) for p in parts], np.int64)
+        # a word that no item has stands between texts, so that no run crosses them
+        codes = np.concatenate([x for p in parts for x in (p, _BREAK)]) if parts else _BREAK
+        begin = np.cumsum(counts + 1) - counts - 1
+        starts: dict[tuple[int, int], list[int]] = {}
         for g, known in self.lookup.items():
             values = grams(codes, g)
-            for p in np.flatnonzero(self.marks[g][(values >> np.uint64(42)).astype(np.int64)]):
-                for item, offset in known.get(int(values[p]), ()):
-                    starts.setdefault(item, []).append(int(p) - offset)
+            marks = self.marks[g]
+            shift = np.uint64(64 - (len(marks).bit_length() - 1))
+            hits = np.flatnonzero(marks[(values >> shift).astype(np.int64)])
+            docs = np.searchsorted(begin, hits, "right") - 1
+            for p, d, value in zip(hits.tolist(), docs.tolist(), values[hits].tolist(), strict=True):
+                for item, offset in known.get(value, ()):
+                    starts.setdefault((d, item), []).append(p - offset)
+        windows: list[tuple[int, int, int]] = []
+        for (d, item), near in starts.items():
+            low, high, e = int(begin[d]), int(begin[d] + counts[d]), self.edits[item]
+            if len(self.codes[item]) > counts[d] + e:
+                continue
+            dense = self._dense(item, sorted(near))
+            windows += [(d, item, s) for s in sorted({max(low, s) for p in dense for s in range(p - e, p + e + 1) if s < high})]
         found = []
-        for item, near in starts.items():
-            near = self._dense(item, sorted(near))
-            best = self._verify(codes, item, near) if near else None
-            if best is not None:
-                found.append((self.ids[item], *best))
-        return sorted(found)
+        for part in (windows[k : k + 20_000] for k in range(0, len(windows), 20_000)):
+            found += self._verify(codes, begin, counts, part)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, item, edits, start, n in found:
+            best[d, item] = min(best.get((d, item), (edits, start, n)), (edits, start, n))
+        return sorted((d, self.ids[item], start, n, edits) for (d, item), (edits, start, n) in best.items())
 
     def _dense(self, item: int, near: list[int]) -> set[int]:
         """The starts with enough shared runs around them: those of one window lie within
@@ -156,35 +199,28 @@ class Items:
                 out.update(near[k : k + need])
         return out
 
-    def _verify(self, codes: np.ndarray, item: int, near: set[int]) -> tuple[int, int, int] | None:
-        n, e = len(self.codes[item]), self.edits[item]
-        if n > len(codes) + e:
-            return None
-        first = sorted({s for p in near for s in range(p - e, p + e + 1) if -e <= s <= len(codes) - 1})
-        first = sorted({max(0, s) for s in first})
-        begin = np.array(first, np.int64)
-        lengths = np.minimum(n, len(codes) - begin)
-        at = begin[:, None] + np.arange(n)
-        rows = codes[np.minimum(at, len(codes) - 1)]
-        hits = np.flatnonzero((sampled_keys(rows, lengths, n) == self.keys[item]).any(1))
-        best = None
-        for k in hits.tolist():
-            d, words = self._closest(codes, item, int(begin[k]))
-            if d <= e and (best is None or d < best[2]):
-                best = (int(begin[k]), words, d)
-        return best
-
-    def _closest(self, codes: np.ndarray, item: int, start: int) -> tuple[int, int]:
-        """Least edits of the item to a text part that begins at ``start``, and that part's words."""
-        c, e = self.codes[item], self.edits[item]
-        part = codes[start : start + len(c) + e]
-        row, place = np.arange(len(part) + 1), np.arange(len(part) + 1)
-        for i, x in enumerate(c, 1):
-            best = np.minimum(row[1:] + 1, row[:-1] + (part != x))
-            row = np.minimum.accumulate(np.r_[i, best] - place) + place
-            if row.min() > e:
-                return e + 1, 0
-        return int(row.min()), int(row.argmin())
+    def _verify(self, codes: np.ndarray, begin: np.ndarray, counts: np.ndarray, windows: list[tuple[int, int, int]]):
+        """Of (text, item, start), those that share a key with their item and hold it; starts of
+        one item that lie together are aligned at once."""
+        d, item, start = np.array(windows, np.int64).T
+        sizes = np.array([len(self.codes[i]) for i in item.tolist()], np.int64)
+        lengths = np.minimum(sizes, begin[d] + counts[d] - start)
+        rows = codes[np.minimum(start[:, None] + np.arange(int(sizes.max())), len(codes) - 1)]
+        hits = np.flatnonzero((sampled_keys(rows, lengths, sizes) == self.keys[item]).any(1))
+        out, k = [], 0
+        while k < len(hits):
+            first = last = hits[k]
+            i, t = int(item[first]), int(d[first])
+            n, e = len(self.codes[i]), self.edits[i]
+            while k + 1 < len(hits) and item[hits[k + 1]] == i and d[hits[k + 1]] == t and start[hits[k + 1]] - start[last] <= n:
+                k += 1
+                last = hits[k]
+            k += 1
+            low, high = int(start[first]), min(int(begin[t] + counts[t]), int(start[last]) + n + e)
+            edits, at, n_words = closest(self.codes[i], codes[low:high])
+            if edits <= e:
+                out.append((t, i, edits, low + at - int(begin[t]), n_words))
+        return out
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int = BLOCK_ITEMS):
@@ -216,7 +252,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT,
         def run(batches, sent=sent):
             items = sent.value
             for batch in batches:
-                out = [(doc, *hit, text_hash(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in items.find(text)]
+                out: list[tuple] = []
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for part in chunks(list(pairs), lambda r: len(r[1]), CHUNK_BYTES):
+                    out += [(part[d][0], *hit, text_hash(part[d][1])) for d, *hit in items.find([t for _, t in part])]
                 if out:
                     cols = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())], ["doc_id", "item_id", "start_word", "n_words", "edits", "row_hash"])
