@@ -153,14 +153,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where("size > 1")
         .select(F.sha2("bare", 256).alias("text_sha256"), "size", F.bitwise_not("best.inverse").alias("keeper"))
     )
-    told = digests.join(classes, "text_sha256", "left")
-    same = Window.partitionBy("text_sha256", "doc_id").orderBy(F.desc("n_chars"))
+    # Rows that repeat an id are numbered before the join, by id and digest: no large groups.
+    same = Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("n_chars"))
+    told = digests.withColumn("place", F.row_number().over(same)).join(classes, "text_sha256", "left")
     keeper = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keeper"))
     return told.select(
         "doc_id",
         keeper.alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(keeper) & (F.row_number().over(same) == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(keeper) & (F.col("place") == 1)).alias("kept"),
         "text_sha256",
         "row_hash",
     )
