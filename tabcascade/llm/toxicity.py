@@ -22,8 +22,10 @@ from tabcascade.llm.quality import labelled_sample
 WORD_ROWS, CHAR_ROWS = 8192, 4096
 EMBED, HIDDEN = 14, 10
 WINDOW, STRIDE = 40, 20
-SAMPLE = 600
-EPOCHS = 6
+SAMPLE = 800
+EPOCHS = 8
+BATCH = 32
+DECAY = 2e-4
 CHUNK_BYTES = 1 << 21
 MEMO_WORDS = 250_000
 THRESHOLD = 0.5
@@ -119,12 +121,14 @@ class ToxicityModel:
             p |= {f"w{d}": normal(EMBED**-0.5, EMBED, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": normal(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN)}
         return cls(p | {"attend": normal(0.3, 2 * HIDDEN), "out": normal(0.5, 2 * HIDDEN), "bias": np.zeros(1, np.float32)})
 
-    def embed(self, vocabulary: list[bytes]):
+    def embed(self, vocabulary: list[bytes], known: np.ndarray | None = None):
+        """Input vectors of words; where ``known`` is 0 a word is read by its letters alone."""
         rows, tri, first = word_rows(vocabulary)
+        known = np.ones((len(rows), 1), np.float32) if known is None else known
         if not len(rows):
-            return np.zeros((0, EMBED), np.float32), (rows, tri, first, np.empty(0, np.int64))
+            return np.zeros((0, EMBED), np.float32), (rows, tri, np.empty(0, np.int64), known)
         sizes = np.diff(np.r_[first, len(tri)])
-        return self.params["word"][rows] + np.add.reduceat(self.params["char"][tri], first) / sizes[:, None].astype(np.float32), (rows, tri, first, sizes)
+        return self.params["word"][rows] * known + np.add.reduceat(self.params["char"][tri], first) / sizes[:, None].astype(np.float32), (rows, tri, sizes, known)
 
     def run(self, vectors: np.ndarray, codes: np.ndarray):
         """Logits of windows (n, WINDOW) of word numbers, -1 for none, and what the gradient needs."""
@@ -169,7 +173,7 @@ class ToxicityModel:
 
     def gradient(self, dlogit: np.ndarray, kept, words) -> dict[str, np.ndarray]:
         p, (x, codes, mask, seen, h, a, pool) = self.params, kept
-        rows, tri, first, sizes = words
+        rows, tri, sizes, known = words
         g = {"out": pool.T @ dlogit, "bias": np.array([dlogit.sum()], np.float32)}
         dpool = dlogit[:, None] * p["out"]
         da = np.einsum("bh,tbh->tb", dpool, h)
@@ -186,7 +190,7 @@ class ToxicityModel:
             g[f"w{d}"], g[f"c{d}"] = x.T @ per_word, per_word.sum(0)
             dx += per_word @ p[f"w{d}"].T
         dx = dx[:-1]
-        g["word"] = gru.row_sums(rows, dx, WORD_ROWS)
+        g["word"] = gru.row_sums(rows, (dx * known).astype(np.float32), WORD_ROWS)
         g["char"] = gru.row_sums(tri, np.repeat(dx / sizes[:, None], sizes, 0).astype(np.float32), CHAR_ROWS)
         return g
 
@@ -200,7 +204,8 @@ class ToxicityModel:
 
 
 def fit_network(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 3, rate: float = 0.01) -> ToxicityModel:
-    """Two epochs on windows drawn from each document, then on each document's highest window."""
+    """Two epochs on windows drawn from each document, then on each document's highest window. Half
+    of the words, drawn anew for each step, are read by their letters alone."""
     model = ToxicityModel.start(seed)
     if not len(texts) or labels.min() == labels.max():
         flat = {k: v * 0 for k, v in model.params.items()}
@@ -221,13 +226,15 @@ def fit_network(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, se
             logits = model.logits(gates, numbers)
             order = np.lexsort((-logits, doc))
             chosen = order[begin]
-        for some in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 64)):
+        for some in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
             own, local = np.unique(numbers[chosen[some]], return_inverse=True)
             shift = int(len(own) > 0 and own[0] < 0)
-            vectors, words = model.embed([vocabulary[w] for w in own[shift:]])
+            vectors, words = model.embed([vocabulary[w] for w in own[shift:]], (rng.random((len(own) - shift, 1)) < 0.5).astype(np.float32))
             logit, kept = model.run(vectors, local.reshape(len(some), WINDOW) - shift)
             d = ((gru.sigmoid(logit) - labels[some]) * weight[some] / len(some)).astype(np.float32)
-            adam.update(model.params, model.gradient(d, kept, words))
+            grads = model.gradient(d, kept, words)
+            grads |= {k: grads[k] + DECAY * model.params[k] for k in ("word", "char")}
+            adam.update(model.params, grads)
     return model
 
 
