@@ -16,17 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcascade.llm import gru
-from tabcascade.llm.common import MEMO_WORDS, chunks, hashed, shared, text_rows, words
+from tabcascade.llm.common import MEMO_WORDS, chunks, shared, text_rows, words
 
 HIDDEN = 16
-CLASSES, CLASS_SIZE = 64, 32
+CLASSES, CLASS_SIZE = 48, 32
 VOCABULARY = CLASSES * CLASS_SIZE
-TAIL = 32
+TAIL = 16
 SYMBOLS = VOCABULARY + TAIL
 STEPS = 32
 FREQUENT = 1_000_000
@@ -34,9 +35,9 @@ ROUNDS, SHARE = 2, 24
 TRAIN_DOCS = 48
 RATE = 0.01
 CHUNK_BYTES = 8 << 20
+BLOCK = 8192  # rows of an output block, so that its logits stay in the cache
 SMOOTH = 0.1
 END = np.uint64(TAIL - 1)  # the end token; no word hashes to it in practice
-_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _tail_class(word: bytes) -> int:
@@ -47,7 +48,7 @@ class TokenHashes(dict):
     """Word -> its 64-bit hash with the tail class in the lowest bits."""
 
     def __missing__(self, word: bytes) -> int:
-        value = int(hashed([word])[0]) & ~(TAIL - 1) | _tail_class(word)
+        value = xxhash.xxh64_intdigest(word) & ~(TAIL - 1) | _tail_class(word)
         if len(self) < MEMO_WORDS:
             self[word] = value
         return value
@@ -158,23 +159,25 @@ def output_logs(h: np.ndarray, symbols: np.ndarray, p: dict[str, np.ndarray]) ->
     """Natural log-probability of each symbol from states (rows, HIDDEN): its class, and in the
     vocabulary the word within it."""
     cls = _classes(symbols)
-    z = h @ p["wc"]
-    z += p["bc"]
-    z -= z.max(1, keepdims=True)
-    out = z[np.arange(len(z)), cls].astype(np.float64)
-    np.exp(z, z)
-    out -= np.log(z.sum(1))
-    order = np.argsort(cls, kind="stable")
+    # A state is within -1..1, so a logit is within its column's weights; where those are small,
+    # as they are unless training ran away, the exponentials need no shift.
+    tame = max(float(np.abs(w).sum(-2).max() + np.abs(b).max()) for w, b in ((p["wc"], p["bc"]), (p["ww"], p["bw"]))) < 80
+
+    def chosen(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+        if not tame:
+            z -= z.max(1, keepdims=True)
+        said = z[np.arange(len(z)), column].astype(np.float64)
+        np.exp(z, z)
+        return said - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+    h = np.hstack([h, np.ones((len(h), 1), h.dtype)])
+    out = chosen(h @ np.vstack([p["wc"], p["bc"]]), cls)
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         at = order[cuts[c] : cuts[c + 1]]
         if len(at):
-            z = h[at] @ p["ww"][c]
-            z += p["bw"][c]
-            z -= z.max(1, keepdims=True)
-            out[at] += z[np.arange(len(at)), symbols[at] % CLASS_SIZE]
-            np.exp(z, z)
-            out[at] -= np.log(z.sum(1))
+            out[at] += chosen(h[at] @ np.vstack([p["ww"][c], p["bw"][c]]), symbols[at] % CLASS_SIZE)
     return out
 
 
@@ -213,7 +216,8 @@ def model_logs(symbols: np.ndarray, counts: np.ndarray, p: dict[str, np.ndarray]
             np.tanh(n, n)
             h = n + rec[:k] * (h - n)
         doc_of = np.concatenate(doc)
-        logs = output_logs(np.concatenate(states), np.concatenate(said), p)
+        h_of, said_of = np.concatenate(states), np.concatenate(said)
+        logs = np.concatenate([output_logs(h_of[a : a + BLOCK], said_of[a : a + BLOCK], p) for a in range(0, len(said_of), BLOCK)])
         total += np.bincount(doc_of, logs, len(counts))
     return total
 
@@ -231,7 +235,7 @@ def train_window(p: dict[str, np.ndarray], symbols: np.ndarray, mask: np.ndarray
     dz *= weight[:, None]
     g = {"wc": h.T @ dz, "bc": dz.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
     dh = dz @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         at = order[cuts[c] : cuts[c + 1]]
