@@ -312,14 +312,13 @@ def top_features(t: Tables):
     """Project to the most important features."""
     df = learn_rows(t)
     model = forest().fit(hold(with_features(df, FEATURE_NAMES, ["label"])))
-    return df.select("event_id", *ranked_features(gain_importance(model, FEATURE_NAMES))[:3])
+    return df.select("event_id", *ranked_features(split_importance(model, FEATURE_NAMES))[:3])
 
 
 @query("M13_feature_elimination")
 def elimination(t: Tables):
     df = hold(stratified_folds(learn_rows(t).withColumn("label", binary_label("label")), "event_id", "label", 2))
-    names = FEATURE_NAMES[:4]
-    out = eliminate(lambda: RandomForestClassifier(labelCol="label", numTrees=3, maxDepth=4, seed=1), df, names, "label", "fold", ConfusionEvaluator("accuracy"))
+    out = eliminate(lambda: RandomForestClassifier(labelCol="label", numTrees=3, maxDepth=4, seed=1), df, FEATURE_NAMES, "label", "fold", ConfusionEvaluator("accuracy"))
     return score_table(t, [(f, r, out.best_size) for f, r in out.ranking.items()], "feature string, ranking int, best_size int")
 
 
@@ -327,7 +326,7 @@ def elimination(t: Tables):
 def sweep(t: Tables):
     df = second_stage_rows(learn_rows(t), "label")
     df = hold(group_folds(over_sample(df, "event_id", "label", 326), "event_id", "label", 2))
-    ranking = gain_importance(forest().fit(with_features(df, FEATURE_NAMES, ["label"])), FEATURE_NAMES)
+    ranking = split_importance(forest().fit(with_features(df, FEATURE_NAMES, ["label"])), FEATURE_NAMES)
     scores = top_k_sweep(forest, df, ranking, [2, 4], "label", "fold", ConfusionEvaluator("accuracy"))
     return score_table(t, [(k, float(s)) for k, s in scores.items()], "k int, mean_score double")
 

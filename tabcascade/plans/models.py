@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabcascade.plans.params import tree_boost_params
+from tabcascade.plans.params import tree_boost_params, tree_depth
 from tabcascade.session import cut_lineage, use_checkpoint_dir
 
 FEATURES = "features"
@@ -62,7 +62,7 @@ def logistic(label: str, rows: int, c: float = 1.0, classes: int = 2, weight: st
 def random_forest(label: str, trees: int = 100, depth: int = 30, seed: int = 0, features: str = FEATURES,
                   **params) -> RandomForestClassifier:
     return RandomForestClassifier(
-        labelCol=label, featuresCol=features, numTrees=trees, maxDepth=min(30, depth), seed=seed, **params
+        labelCol=label, featuresCol=features, numTrees=trees, maxDepth=tree_depth(depth), seed=seed, **params
     )
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+# The deepest tree that Spark grows.
+MAX_DEPTH = 30
+
 NAMES = (
     "seed",
     "learning_rate",
@@ -70,6 +73,13 @@ def checked(params: Mapping) -> dict:
     return dict(params)
 
 
+def tree_depth(depth: float) -> int:
+    """The depth of a tree; Spark grows none deeper than 30, so a deeper one is refused."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth}: Spark's trees are at most {MAX_DEPTH} deep, choose one up to that")
+    return int(depth)
+
+
 def tree_boost_params(params: Mapping) -> dict:
     """Names and ranges of ``GBTClassifier``.
 
@@ -83,7 +93,7 @@ def tree_boost_params(params: Mapping) -> dict:
     if "n_estimators" in p:
         out["maxIter"] = int(p["n_estimators"])
     if "max_depth" in p:
-        out["maxDepth"] = min(30, int(p["max_depth"]))
+        out["maxDepth"] = tree_depth(p["max_depth"])
     if "min_child_weight" in p:
         out["minInstancesPerNode"] = max(1, round(p["min_child_weight"]))
     if "gamma" in p:

@@ -66,7 +66,7 @@ def accuracy(df, prediction="prediction"):
     "make",
     [
         lambda: boosted_trees({"n_estimators": 3, "max_depth": 3}, "label", classes=3),
-        lambda: random_forest("label", trees=10, depth=80, seed=1),
+        lambda: random_forest("label", trees=10, depth=30, seed=1),
         lambda: logistic("label", 600, c=10.0, classes=3),
     ],
 )
@@ -181,3 +181,10 @@ def test_params():
     with pytest.raises(ValueError):
         tree_boost_params({"in_child_weight": 4})
     assert GBTClassifier(**tree_boost_params(START)).getMaxDepth() == 5
+
+
+def test_deeper_trees_than_spark_grows_are_refused():
+    with pytest.raises(ValueError, match="at most 30"):
+        random_forest("label", depth=80)
+    with pytest.raises(ValueError, match="at most 30"):
+        boosted_trees({"max_depth": 31}, "label")
