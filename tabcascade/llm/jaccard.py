@@ -8,8 +8,11 @@ common rule, need not be joined on. Sets meet in the blocks' values, are compare
 sketch and then verified on the shingles themselves.
 
 Copies are one class. Sets that meet in a block form a group around its first class; a group is
-compared in blocks of bounded size, which return a spanning forest of the links and not all
-pairs. Components of the forests are those of all links.
+compared in parts of bounded size, which return a spanning forest and not all pairs. Two like sets
+meet in many groups, so the groups compare sketches only. Their forests join the sets into
+components of which no link leaves any, and the shingles travel once for each component. There
+the links are verified, again as a spanning forest. Components of the forests are those of all
+links.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tabcascade.llm.common import components, mix, shared, shingles, small_enough, text_hash, text_rows
 
+GROUP_CLASSES = 20_000
 BLOCK_SHINGLES = 1_500_000
-SKETCH_WORDS = 16
+SKETCH_WORDS = 64
 _SEED = 0xA24BAED4963EE407
 
 
@@ -78,12 +82,22 @@ class SketchKeys:
         return mix(mix(value[keep] + np.uint64(_SEED * (band + 1) & (2**64 - 1))) + keep.astype(np.uint64))
 
 
-def sketch(items: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
-    """Parity sketch of ``64 * words`` bits."""
-    bits = np.bincount((mix(items) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parity sketch of about one bit per shingle, a power of two of 64-bit words."""
+    words = 1
+    while words < SKETCH_WORDS and 64 * words < len(items):
+        words *= 2
+    bits = np.bincount((mix(items) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def stacked(sketches: list[np.ndarray]) -> np.ndarray:
+    """One row per sketch, all folded to the length of the shortest: halves of a parity sketch add
+    up to the sketch of half the length."""
+    words = min(map(len, sketches))
+    return np.stack([x if len(x) == words else np.bitwise_xor.reduce(x.reshape(-1, words)) for x in sketches])
+
+
 def _sets(width: int, percent: int):
     """(doc_id, n_shingles, cls, row_hash, sketch, keys); the last two only for the first row of a
     class in a task, else null and empty."""
@@ -137,17 +151,6 @@ def _class_sets(width: int):
     return run
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-
 def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int, first: int, start: int) -> np.ndarray:
     """Positions from ``start`` whose size and sketch allow a link with ``first``."""
     differ = np.bitwise_count(sketches[start:] ^ sketches[first]).sum(1, dtype=np.int64)
@@ -170,62 +173,74 @@ def _runs(batches, columns: int):
         yield rows
 
 
-def _with_partner(percent: int):
-    """Of a block of a group, the members whose sketch allows a link with another member."""
+def _forest(sketches: np.ndarray, sizes: np.ndarray, percent: int, linked=None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows whose sketches allow a link and that ``linked`` confirms."""
+    tree, out = np.arange(len(sizes)), []
+    for k in range(len(sizes) - 1):
+        if len(out) == len(sizes) - 1:
+            break
+        found = _near(sketches, sizes, percent, k, k + 1)
+        for x in found[tree[found] != tree[k]]:
+            if tree[x] != tree[k] and (linked is None or linked(k, x)):
+                tree[tree == tree[x]] = tree[k]
+                out.append((k, int(x)))
+    return out
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _near_pairs(percent: int):
+    """Of a part of a group, a spanning forest of the pairs whose sketches allow a link."""
 
     def run(batches):
+        out = []
         for rows in _runs(batches, 3):
-            sketches = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
-            sizes = np.array([r[5] for r in rows], np.int64)
-            hit = np.zeros(len(rows), bool)
-            for k in range(len(rows) - 1):
-                found = _near(sketches, sizes, percent, k, k + 1)
-                if len(found):
-                    hit[k] = True
-                    hit[found] = True
-            if hit.any():
-                g, cls, n, bits = zip(*((r[0], r[4], r[5], r[6]) for r, h in zip(rows, hit, strict=True) if h), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["g", "cls", "n", "sketch"])
+            sketches = stacked([np.frombuffer(r[5], np.uint64) for r in rows])
+            found = _forest(sketches, np.array([r[4] for r in rows], np.int64), percent)
+            out += [(rows[a][3], rows[b][3]) for a, b in found]
+            if len(out) > 100_000:
+                yield _pairs(list(dict.fromkeys(out)))
+                out = []
+        if out:
+            yield _pairs(list(dict.fromkeys(out)))
 
     return run
 
 
 def _links(percent: int):
-    """Verified links of a block of a group: a spanning forest, found in order of the rows."""
+    """Verified links of a part of a component, as a spanning forest."""
 
     def run(batches):
         for rows in _runs(batches, 3):
-            items = [np.frombuffer(r[7], np.uint64) for r in rows]
-            sketches = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
-            sizes = np.array([r[5] for r in rows], np.int64)
-            forest, out = _Forest(len(rows)), []
-            for k in range(len(rows) - 1):
-                for x in _near(sketches, sizes, percent, k, k + 1):
-                    a, b = forest.root(k), forest.root(int(x))
-                    if a == b:
-                        continue
-                    both = len(np.intersect1d(items[k], items[x], assume_unique=True))
-                    if 100 * both >= percent * (sizes[k] + sizes[x] - both):
-                        forest.up[b] = a
-                        out.append((rows[k][4], rows[int(x)][4]))
+            items = [np.frombuffer(r[4], np.uint64) for r in rows]
+            sizes = np.array([len(x) for x in items], np.int64)
+
+            def linked(k, x, items=items, sizes=sizes):
+                both = len(np.intersect1d(items[k], items[x], assume_unique=True))
+                return 100 * both >= percent * (sizes[k] + sizes[x] - both)
+
+            out = _forest(stacked([sketch(x) for x in items]), sizes, percent, linked)
             if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield _pairs([(rows[a][3], rows[b][3]) for a, b in out])
 
     return run
 
 
-def _in_blocks(members: DataFrame, weight: str, limit: int) -> DataFrame:
-    """Rows (g, i, j, side, cls, ...): each two blocks of a group's members meet once.
+def _in_parts(members: DataFrame, weight, limit: int) -> DataFrame:
+    """Rows (g, i, j, cls): each two parts of a group's members meet once.
 
-    ``weight`` sums over a block to about ``limit``; nearly all groups are one block.
+    ``weight`` sums over a part to about ``limit``; nearly all groups are one part.
     """
-    sizes = members.groupBy("g").agg(F.sum(weight).alias("total"), F.count("*").alias("count")).where("count > 1")
-    sizes = sizes.select("g", F.ceil(F.col("total") / limit).cast("int").alias("parts"))
-    dealt = members.join(sizes, "g").withColumn("p", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    total = members.groupBy("g").agg(F.sum(weight).alias("total")).where(F.col("total") > limit)
+    large = shared(total.select("g", F.ceil(F.col("total") / limit).cast("int").alias("parts")), "large")
+    dealt = members.join(small_enough(large, large.count(), 16), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     others = F.expr("filter(sequence(0, parts - 1), q -> parts = 1 or q <> p)")
     meet = F.explode(F.transform(others, lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"))))
-    return dealt.withColumn("meet", meet).select("g", "meet.i", "meet.j", F.col("p").alias("side"), "cls", *[c for c in members.columns if c not in ("g", "cls")])
+    return dealt.withColumn("meet", meet).select("g", "meet.i", "meet.j", "cls")
 
 
 def link_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -238,18 +253,17 @@ def link_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
     stars = shared(ordered.mapInArrow(_stars, "g long, cls long").distinct(), "stars")
     members = stars.unionByName(stars.select("g", F.col("g").alias("cls")).distinct())
     sketches = sets.where("sketch IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    sketched = members.join(sketches, "cls").select("g", "cls", "n", "sketch").withColumn("one", F.lit(1))
-    blocks = _in_blocks(sketched, "one", 20_000).select("g", "i", "j", "side", "cls", "n", "sketch")
-    schema = ["g", "i", "j"]
-    near = blocks.repartition(*schema).sortWithinPartitions(*schema, "cls").mapInArrow(_with_partner(percent), "g long, cls long, n long, sketch binary")
-    near = shared(near.dropDuplicates(["g", "cls"]), "near")
+    part = ["g", "i", "j"]
+    parts = _in_parts(members, F.lit(1), GROUP_CLASSES).join(sketches, "cls").select(*part, "cls", "n", "sketch")
+    near = parts.repartition(*part).sortWithinPartitions(*part, "cls").mapInArrow(_near_pairs(percent), "a long, b long")
+    close = shared(components(near).select(F.col("root").alias("g"), F.col("node").alias("cls")), "close")
     # Only now the shingles themselves, of the classes that may have a partner.
-    reps = sets.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(near.select("cls").distinct(), "cls", "left_semi")
+    reps = sets.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(close.select("cls"), "cls", "left_semi")
     reps = shared(reps.select("doc_id").distinct(), "reps")
     texts = rows.join(small_enough(reps, reps.count(), 16), rows["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
     class_sets = texts.mapInArrow(_class_sets(width), "cls long, items binary")
-    full = _in_blocks(near, "n", BLOCK_SHINGLES).join(class_sets, "cls").select("g", "i", "j", "side", "cls", "n", "sketch", "items")
-    links = full.repartition(*schema).sortWithinPartitions(*schema, "cls").mapInArrow(_links(percent), "a long, b long")
+    full = _in_parts(close.join(sketches.select("cls", "n"), "cls"), F.col("n"), BLOCK_SHINGLES).join(class_sets, "cls").select(*part, "cls", "items")
+    links = full.repartition(*part).sortWithinPartitions(*part, "cls").mapInArrow(_links(percent), "a long, b long")
     return sets.select("doc_id", "n_shingles", "cls", "row_hash"), shared(links.distinct(), "links")
 
 
