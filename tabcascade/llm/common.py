@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tabcascade.session import ensure_checkpoint_dir
 
 BROADCAST_BYTES = 32 << 20
-MEMO_WORDS = 400_000
+#: A worker keeps what its operators remember, one after the other, so that each has little.
+MEMO_WORDS = 100_000
 
 
 def shared(df: DataFrame, name: str) -> DataFrame:

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcascade.llm import gru
-from tabcascade.llm.common import MEMO_WORDS, chunks, shared, text_rows, words
+from tabcascade.llm.common import chunks, shared, text_rows, words
 
+MEMO_WORDS = 400_000
 HIDDEN = 16
 CLASSES, CLASS_SIZE = 48, 32
 VOCABULARY = CLASSES * CLASS_SIZE

@@ -22,7 +22,7 @@ from tabcascade.llm.common import shared, text_rows
 MAX_TOKENS = 2048
 SEPARATOR = 0
 GROUP_PIECES = 20_000
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 100_000
 # A chunk of these letters with trailing marks is one run of letters and one run of marks for
 # the tokenizer, has no other composed form and one lower case.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@]*)")

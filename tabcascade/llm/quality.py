@@ -24,7 +24,7 @@ NONZERO = 4
 WINDOW = 2
 HIDDEN = 24
 SAMPLE = 4_000
-MEMO = 200_000
+MEMO = 100_000
 THRESHOLD = 0.7
 _PART = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9\x80-\xff]+")
 SHAPES = 6  # leading classes: capitals, capitalised, digits, marks by length, long words
