@@ -151,12 +151,12 @@ def _class_sets(width: int):
     return run
 
 
-def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int, first: int, start: int) -> np.ndarray:
-    """Positions from ``start`` whose size and sketch allow a link with ``first``."""
-    differ = np.bitwise_count(sketches[start:] ^ sketches[first]).sum(1, dtype=np.int64)
-    total = sizes[start:] + sizes[first]
-    low, high = np.minimum(sizes[start:], sizes[first]), np.maximum(sizes[start:], sizes[first])
-    return start + np.flatnonzero((differ <= max_difference(total, percent)) & (low * 100 >= high * percent))
+def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int, k: int, others: np.ndarray) -> np.ndarray:
+    """Those of the rows ``others`` whose size and sketch allow a link with row ``k``."""
+    low, high = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
+    others = others[low * 100 >= high * percent]
+    differ = np.bitwise_count(sketches[others] ^ sketches[k]).sum(1, dtype=np.int64)
+    return others[differ <= max_difference(sizes[others] + sizes[k], percent)]
 
 
 def _runs(batches, columns: int):
@@ -179,8 +179,9 @@ def _forest(sketches: np.ndarray, sizes: np.ndarray, percent: int, linked=None)
     for k in range(len(sizes) - 1):
         if len(out) == len(sizes) - 1:
             break
-        found = _near(sketches, sizes, percent, k, k + 1)
-        for x in found[tree[found] != tree[k]]:
+        # Rows that are in one tree already need not be compared.
+        others = k + 1 + np.flatnonzero(tree[k + 1 :] != tree[k])
+        for x in _near(sketches, sizes, percent, k, others) if len(others) else ():
             if tree[x] != tree[k] and (linked is None or linked(k, x)):
                 tree[tree == tree[x]] = tree[k]
                 out.append((k, int(x)))
