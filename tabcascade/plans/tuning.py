@@ -19,7 +19,8 @@ Build = Callable[[Params], Estimator]
 
 
 def fold_numbers(df: DataFrame, fold: str) -> list[int]:
-    return sorted(r[0] for r in df.select(fold).distinct().collect())
+    """The folds of the rows; rows without a fold (their label is unknown) are neither fitted nor scored."""
+    return sorted(r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().collect())
 
 
 def fold_split(df: DataFrame, fold: str, held_out: int) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from tabcascade.operators.sampling import (
     under_then_top_up,
 )
 from tabcascade.operators.selection import find_cuts, items_of
+from tabcascade.plans.tuning import fold_numbers, fold_split
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +168,11 @@ def test_group_with_a_third_of_the_rows(spark):
         per_group = folded.groupBy("g").agg(F.countDistinct("fold").alias("n"))
         assert per_group.filter("n <> 1").count() == 0
         assert folded.select("fold").distinct().count() == 5
+
+
+def test_rows_without_a_fold_are_left_out(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 1)], "id long, fold int")
+    assert fold_numbers(rows, "fold") == [0, 1]
+    for held_out in (0, 1):
+        train, validation = fold_split(rows, "fold", held_out)
+        assert 3 not in [r.id for r in train.union(validation).collect()]
