@@ -6,8 +6,8 @@ The network predicts the class of the next token, then the word within a vocabul
 word of a tail class has its smoothed share of the class's count. So each word that can occur
 has a probability and they sum to at most one.
 
-The network is trained inside the partitions by truncated backpropagation and averaged after
-each round. Documents are scored whole: their state is carried from window to window.
+The network is trained on all training documents by truncated backpropagation, inside
+partitions of about equally many tokens, and averaged after each round. Documents are scored whole: their state is carried from window to window.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ TAIL = 16
 SYMBOLS = VOCABULARY + TAIL
 STEPS = 32
 FREQUENT = 1_000_000
-ROUNDS, SHARE = 2, 24
+ROUNDS = 2
+PART_TOKENS = 1 << 21  # a partition's share of a round
 TRAIN_DOCS = 48
 RATE = 0.01
 CHUNK_BYTES = 8 << 20
@@ -269,10 +270,21 @@ def train_documents(p: dict[str, np.ndarray], adam: gru.Adam, symbols: np.ndarra
             adam.update(p, grads)
 
 
-def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, share: int = SHARE, seed: int = 7) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` rounds. In each, every partition trains on its own documents
-    (one in ``share``, others each round, by a hash of the text) and the partitions' parameters
-    are averaged by their tokens. The sums are taken as whole numbers, in any order the same."""
+def dealt(docs: DataFrame, r: int, rounds: int, total: int, seed: int = 7) -> DataFrame:
+    """The rows of round ``r``, each row of ``docs`` in one of the rounds by a hash of id and text.
+    Another hash deals and orders them in partitions of about ``PART_TOKENS`` of the ``total``
+    tokens, so that files and cores do not matter."""
+    parts = max(1, round(total / rounds / PART_TOKENS))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(rounds).cast("long")) == r)
+    chosen = chosen.withColumn("place", F.xxhash64("doc_id", "text", F.lit(seed + 1)))
+    return chosen.repartition(parts, "place").sortWithinPartitions("place", "doc_id", "text").select("doc_id", "text")
+
+
+def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, seed: int = 7) -> dict[str, np.ndarray]:
+    """Parameters after ``rounds`` rounds, which together have every row of ``docs`` once. In
+    each, every partition trains on its rows and the partitions' parameters are averaged by
+    their tokens; one with far more tokens than the others starts anew after each
+    2 * ``PART_TOKENS``. The sums are taken as whole numbers, in any order the same."""
     p = start_params(lexicon, seed)
     if not lexicon.total:
         return p
@@ -281,8 +293,15 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, share: int =
     for r in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((p, lexicon))
 
-        def run(batches, sent=sent, r=r):
+        def run(batches, sent=sent):
             start, lex = sent.value
+
+            def moved(own, seen):
+                far = np.concatenate([(own[k] - start[k]).ravel() for k in shapes]).astype(np.float64)
+                value = np.rint(far * one).astype(np.int64) * seen
+                cell = np.flatnonzero(value)
+                return pa.RecordBatch.from_arrays([pa.array(np.r_[cell, -1]), pa.array(np.r_[value[cell], seen])], ["cell", "value"])
+
             own, adam, seen = {k: v.copy() for k, v in start.items()}, gru.Adam(start, RATE), 0
             for batch in batches:
                 for part in chunks(batch.column(1).to_pylist(), len, CHUNK_BYTES):
@@ -290,14 +309,13 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, share: int =
                     symbols, _, _ = lex.look(flat)
                     seen += len(flat)
                     train_documents(own, adam, symbols, counts)
+                    if seen >= 2 * PART_TOKENS:
+                        yield moved(own, seen)
+                        own, adam, seen = {k: v.copy() for k, v in start.items()}, gru.Adam(start, RATE), 0
             if seen:
-                moved = np.concatenate([(own[k] - start[k]).ravel() for k in shapes]).astype(np.float64)
-                value = np.rint(moved * one).astype(np.int64) * seen
-                cell = np.flatnonzero(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[cell, -1]), pa.array(np.r_[value[cell], seen])], ["cell", "value"])
+                yield moved(own, seen)
 
-        chosen = docs.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(share * rounds).cast("long")) == r)
-        sums = chosen.mapInArrow(run, "cell long, value long").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        sums = dealt(docs, r, rounds, lexicon.total, seed).mapInArrow(run, "cell long, value long").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         cell, value = np.asarray(sums.column("cell")), np.asarray(sums.column("value"))
         weight = float(value[cell < 0].sum()) if len(cell) else 0.0
         if weight:
@@ -308,7 +326,7 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, share: int =
     return p
 
 
-def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     ``learn`` is a condition on a column named ``doc_id`` that says which rows are learned from;
@@ -321,7 +339,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     learned = rows.where(learn)
     counts = shared(count_tokens(learned), "counts")
     lexicon = learn_lexicon(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((train(learned, lexicon, rounds, share), lexicon))
+    sent = docs.sparkSession.sparkContext.broadcast((train(learned, lexicon, rounds), lexicon))
 
     def run(batches):
         p, lex = sent.value

@@ -244,3 +244,20 @@ def test_nothing_learned_and_empty_table(spark):
     got = gru_lm.score(docs, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) for r in got) and len(got) == 2
     assert gru_lm.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_network_learns_from_every_training_document(spark):
+    """Copies of one text, which a hash of the text alone takes whole or not at all."""
+    docs = gru_lm.text_rows(table(spark, [(i, "one two three four " * 9) for i in range(60)]))
+    lexicon = gru_lm.learn_lexicon(gru_lm.count_tokens(docs))
+    rounds = [{r.doc_id for r in gru_lm.dealt(docs, r, 2, lexicon.total).collect()} for r in range(2)]
+    assert not rounds[0] & rounds[1] and rounds[0] | rounds[1] == set(range(60)) and min(map(len, rounds)) > 10
+    start, p = gru_lm.start_params(lexicon), gru_lm.train(docs, lexicon)
+    assert not np.array_equal(start["u"], p["u"])
+
+
+def test_training_does_not_depend_on_the_layout(spark, data):
+    docs = gru_lm.text_rows(spark.read.parquet(f"{data}/documents.parquet"))
+    lexicon = gru_lm.learn_lexicon(gru_lm.count_tokens(docs))
+    one, seven = (gru_lm.train(docs.repartition(n, "doc_id"), lexicon) for n in (1, 7))
+    assert all(np.array_equal(one[k], seven[k]) for k in one)
