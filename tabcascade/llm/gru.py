@@ -100,11 +100,18 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
-    def update(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray], clip: float = 5.0) -> None:
+    def update(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], clip: float = 5.0) -> None:
+        """One step; a gradient may be (rows, their gradient), then other rows stay as they are."""
         self.step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = np.sqrt(sum(float((g * g).sum()) for g in (g[1] if isinstance(g, tuple) else g for g in grads.values())))
         scale = min(1.0, clip / (norm + 1e-12))
         for k, g in grads.items():
+            if isinstance(g, tuple):
+                at, g = g[0], g[1] * scale
+                m, v = 0.9 * self.m[k][at] + 0.1 * g, 0.999 * self.v[k][at] + 0.001 * g * g
+                self.m[k][at], self.v[k][at] = m, v
+                params[k][at] -= (self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)).astype(params[k].dtype)
+                continue
             g = g * scale
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.999 * self.v[k] + 0.001 * g * g

@@ -1,7 +1,7 @@
 """Language-model scoring: a gated recurrent model with a class-factored output.
 
 Words are counted over all training documents. The most frequent ones are the vocabulary, in
-classes of equal size; every other word belongs to one of a few tail classes by its last bytes.
+classes of equal size, and more with more distinct words; every other word belongs to one of a few tail classes by its last bytes.
 The network predicts the class of the next token, then the word within a vocabulary class; a
 word of a tail class has its smoothed share of the class's count. So each word that can occur
 has a probability and they sum to at most one.
@@ -26,9 +26,10 @@ from tabcascade.llm.common import chunks, shared, text_rows, words
 
 MEMO_WORDS = 400_000
 HIDDEN = 16
-CLASSES, CLASS_SIZE = 48, 32
+CLASSES, CLASS_SIZE = 64, 32  # at least; see vocabulary_shape
 VOCABULARY = CLASSES * CLASS_SIZE
-TAIL = 16
+GROWTH = 16
+TAIL = 32
 SYMBOLS = VOCABULARY + TAIL
 STEPS = 32
 FREQUENT = 1_000_000
@@ -88,7 +89,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """What the counts say. ``known`` are the sorted hashes of frequent words (at most
     ``FREQUENT``, because each has at least that share of all tokens), with their counts and
-    vocabulary numbers (-1: none). Tail classes have their tokens and distinct words."""
+    vocabulary numbers (-1: none). Tail classes have their tokens and distinct words. ``shape``
+    is the vocabulary's classes and their size."""
 
     known: np.ndarray
     counts: np.ndarray
@@ -97,28 +99,42 @@ class Lexicon:
     tail_words: np.ndarray
     total: int
     distinct: int
+    shape: tuple[int, int] = (CLASSES, CLASS_SIZE)
+
+    @property
+    def vocabulary(self) -> int:
+        return self.shape[0] * self.shape[1]
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, count, whether the count is known here) of token hashes."""
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         hit = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
         number = np.where(hit, self.number[at] if len(self.known) else -1, -1)
-        symbol = np.where(number >= 0, number, VOCABULARY + (h % np.uint64(TAIL)).astype(np.int64))
+        symbol = np.where(number >= 0, number, self.vocabulary + (h % np.uint64(TAIL)).astype(np.int64))
         return symbol, np.where(hit, self.counts[at] if len(self.known) else 0, 0), hit
 
 
+def vocabulary_shape(distinct: int, frequent: int) -> tuple[int, int]:
+    """Classes and their size for about GROWTH * sqrt(distinct) of the frequent words, in as many
+    classes as a class has words."""
+    size = max(VOCABULARY, min(frequent, int(np.ceil(GROWTH * np.sqrt(distinct)))))
+    classes = max(CLASSES, int(np.ceil(np.sqrt(size))))
+    return classes, max(CLASS_SIZE, -(-size // classes))
+
+
 def learn_lexicon(counts: DataFrame) -> Lexicon:
     """From (h, c). The driver gets the frequent words and the sums of the tail classes."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.where(F.col("c") * FREQUENT >= total).toArrow() if total else None
     h = np.asarray(frequent.column("h")).view(np.uint64) if frequent else np.empty(0, np.uint64)
     c = np.asarray(frequent.column("c")) if frequent else np.empty(0, np.int64)
+    classes, size = vocabulary_shape(distinct, len(h))
     order = np.lexsort((h, -c))
-    order = np.r_[order[h[order] == END], order[h[order] != END]][:VOCABULARY]
+    order = np.r_[order[h[order] == END], order[h[order] != END]][: classes * size]
     number = np.full(len(h), -1, np.int64)
     # neighbours in frequency go to different classes, so that classes have like shares
     rank = np.arange(len(order))
-    number[order] = rank % CLASSES * CLASS_SIZE + rank // CLASSES
+    number[order] = rank % classes * size + rank // classes
     tail_tokens, tail_words = np.zeros(TAIL), np.zeros(TAIL)
     if total:
         for row in counts.groupBy(F.expr(f"h & {TAIL - 1}").alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
@@ -127,23 +143,24 @@ def learn_lexicon(counts: DataFrame) -> Lexicon:
         tail_tokens -= np.bincount(listed, c[order], TAIL)
         tail_words -= np.bincount(listed, minlength=TAIL)
     by = np.argsort(h)
-    return Lexicon(h[by], c[by], number[by], tail_tokens, tail_words, int(total), int(distinct))
+    return Lexicon(h[by], c[by], number[by], tail_tokens, tail_words, int(total), int(distinct), (classes, size))
 
 
 def start_params(lexicon: Lexicon, seed: int = 7) -> dict[str, np.ndarray]:
     """Random recurrence; output biases are the counted shares."""
     rng = np.random.default_rng(seed)
-    share = np.zeros(VOCABULARY)
+    classes, size = lexicon.shape
+    share = np.zeros(lexicon.vocabulary)
     share[lexicon.number[lexicon.number >= 0]] = lexicon.counts[lexicon.number >= 0]
-    by_class = np.r_[share.reshape(CLASSES, CLASS_SIZE).sum(1), lexicon.tail_tokens] + 0.5
-    within = np.where(share > 0, np.log(np.maximum(share, 1)), -30).reshape(CLASSES, CLASS_SIZE)
+    by_class = np.r_[share.reshape(classes, size).sum(1), lexicon.tail_tokens] + 0.5
+    within = np.where(share > 0, np.log(np.maximum(share, 1)), -30).reshape(classes, size)
     normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
     return {
-        "gates": normal(0.3, SYMBOLS, 3 * HIDDEN),
+        "gates": normal(0.3, lexicon.vocabulary + TAIL, 3 * HIDDEN),
         "u": normal(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN),
-        "wc": normal(0.05, HIDDEN, CLASSES + TAIL),
+        "wc": normal(0.05, HIDDEN, classes + TAIL),
         "bc": np.log(by_class / by_class.sum()).astype(np.float32),
-        "ww": normal(0.05, CLASSES, HIDDEN, CLASS_SIZE),
+        "ww": normal(0.05, classes, HIDDEN, size),
         "bw": (within - within.max(1, keepdims=True)).astype(np.float32),
     }
 
@@ -153,14 +170,15 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _classes(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < VOCABULARY, symbols // CLASS_SIZE, symbols - VOCABULARY + CLASSES)
+def _classes(symbols: np.ndarray, classes: int = CLASSES, size: int = CLASS_SIZE) -> np.ndarray:
+    return np.where(symbols < classes * size, symbols // size, symbols - classes * size + classes)
 
 
 def output_logs(h: np.ndarray, symbols: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
     """Natural log-probability of each symbol from states (rows, HIDDEN): its class, and in the
     vocabulary the word within it."""
-    cls = _classes(symbols)
+    classes, _, size = p["ww"].shape
+    cls = _classes(symbols, classes, size)
     # A state is within -1..1, so a logit is within its column's weights; where those are small,
     # as they are unless training ran away, the exponentials need no shift.
     tame = max(float(np.abs(w).sum(-2).max() + np.abs(b).max()) for w, b in ((p["wc"], p["bc"]), (p["ww"], p["bw"]))) < 80
@@ -175,11 +193,11 @@ def output_logs(h: np.ndarray, symbols: np.ndarray, p: dict[str, np.ndarray]) ->
     h = np.hstack([h, np.ones((len(h), 1), h.dtype)])
     out = chosen(h @ np.vstack([p["wc"], p["bc"]]), cls)
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    cuts = np.searchsorted(cls[order], np.arange(classes + 1))
+    for c in range(classes):
         at = order[cuts[c] : cuts[c + 1]]
         if len(at):
-            out[at] += chosen(h[at] @ np.vstack([p["ww"][c], p["bw"][c]]), symbols[at] % CLASS_SIZE)
+            out[at] += chosen(h[at] @ np.vstack([p["ww"][c], p["bw"][c]]), symbols[at] % size)
     return out
 
 
@@ -224,33 +242,39 @@ def model_logs(symbols: np.ndarray, counts: np.ndarray, p: dict[str, np.ndarray]
     return total
 
 
-def train_window(p: dict[str, np.ndarray], symbols: np.ndarray, mask: np.ndarray, h0: np.ndarray):
+def train_window(p: dict[str, np.ndarray], symbols: np.ndarray, mask: np.ndarray, h0: np.ndarray, sparse: bool = False):
     """Gradients of the mean negative log-probability of one window (steps, batch), truncated at
-    its start, and the state after it."""
+    its start, and the state after it. ``sparse``: the gates' as (rows that occur, gradient)."""
     steps, batch = symbols.shape
     states, kept = gru.forward(p["gates"][symbols], p["u"], h0, mask)
     h = states[:-1].reshape(-1, HIDDEN)
     flat, weight = symbols.reshape(-1), (mask.reshape(-1) / max(1, mask.sum())).astype(np.float32)
-    cls = _classes(flat)
+    classes, _, size = p["ww"].shape
+    cls = _classes(flat, classes, size)
     dz = np.exp(_log_softmax(h @ p["wc"] + p["bc"]))
     dz[np.arange(len(dz)), cls] -= 1
     dz *= weight[:, None]
     g = {"wc": h.T @ dz, "bc": dz.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
     dh = dz @ p["wc"].T
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    cuts = np.searchsorted(cls[order], np.arange(classes + 1))
+    for c in range(classes):
         at = order[cuts[c] : cuts[c + 1]]
         if len(at):
             dw = np.exp(_log_softmax(h[at] @ p["ww"][c] + p["bw"][c]))
-            dw[np.arange(len(at)), flat[at] % CLASS_SIZE] -= 1
+            dw[np.arange(len(at)), flat[at] % size] -= 1
             dw *= weight[at, None]
             g["ww"][c], g["bw"][c] = h[at].T @ dw, dw.sum(0)
             dh[at] += dw @ p["ww"][c].T
     # the state before token t is the one after token t - 1
     dstates = np.concatenate([dh.reshape(steps, batch, HIDDEN)[1:], np.zeros((1, batch, HIDDEN), np.float32)])
     dgates, g["u"] = gru.backward(dstates, states, kept, p["u"], mask)
-    g["gates"] = gru.row_sums(flat, dgates.reshape(-1, 3 * HIDDEN), SYMBOLS)
+    dgates = dgates.reshape(-1, 3 * HIDDEN)
+    if sparse:
+        own, back = np.unique(flat, return_inverse=True)
+        g["gates"] = own, gru.row_sums(back, dgates, len(own))
+    else:
+        g["gates"] = gru.row_sums(flat, dgates, len(p["gates"]))
     return g, states[-1]
 
 
@@ -266,7 +290,7 @@ def train_documents(p: dict[str, np.ndarray], adam: gru.Adam, symbols: np.ndarra
             at = t + np.arange(STEPS)[:, None]
             mask = at < counts[some]
             window = np.where(mask, symbols[np.minimum(begin[some] + at, len(symbols) - 1)], 0)
-            grads, h = train_window(p, window, mask, h)
+            grads, h = train_window(p, window, mask, h, sparse=True)
             adam.update(p, grads)
 
 
@@ -354,9 +378,9 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                 symbol, count, hit = lex.look(own)
                 doc = np.repeat(np.arange(len(n)), n)
                 logs = np.where(hit, np.log10(count + SMOOTH), 0.0)[back]
-                tail = (symbol >= VOCABULARY)[back]
+                tail = (symbol >= lex.vocabulary)[back]
                 model = model_logs(symbol[back], n, p) / np.log(10)
-                model += np.bincount(doc, np.where(tail, logs - tail_log[np.where(tail, symbol[back] - VOCABULARY, 0)], 0.0), len(n))
+                model += np.bincount(doc, np.where(tail, logs - tail_log[np.where(tail, symbol[back] - lex.vocabulary, 0)], 0.0), len(n))
                 rare = ~hit[back]
                 ends = np.cumsum(np.bincount(doc[rare], minlength=len(n)))
                 yield pa.RecordBatch.from_arrays(

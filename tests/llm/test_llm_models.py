@@ -261,3 +261,17 @@ def test_training_does_not_depend_on_the_layout(spark, data):
     lexicon = gru_lm.learn_lexicon(gru_lm.count_tokens(docs))
     one, seven = (gru_lm.train(docs.repartition(n, "doc_id"), lexicon) for n in (1, 7))
     assert all(np.array_equal(one[k], seven[k]) for k in one)
+
+
+def test_vocabulary_grows_with_the_distinct_words(spark):
+    counts = spark.range(1, 40_001).select((F.col("id") * 1024).alias("h"), F.lit(3).cast("long").alias("c"))
+    lexicon = gru_lm.learn_lexicon(counts)
+    assert lexicon.vocabulary >= 3200 and (lexicon.number >= 0).sum() == lexicon.vocabulary
+    assert gru_lm.learn_lexicon(counts.limit(100)).shape == (64, 32)
+    p = gru_lm.start_params(lexicon)
+    everything = np.arange(lexicon.vocabulary + gru_lm.TAIL)
+    h = np.repeat(np.random.default_rng(3).normal(0, 0.5, (1, gru_lm.HIDDEN)).astype(np.float32), len(everything), 0)
+    assert np.exp(gru_lm.output_logs(h, everything, p)).sum() == pytest.approx(1, rel=1e-4)
+    symbols, mask = np.array([[5, 5], [3100, 7], [5, 2500]]), np.ones((3, 2), bool)
+    dense, thin = (gru_lm.train_window(p, symbols, mask, h[:2], sparse=s)[0]["gates"] for s in (False, True))
+    assert np.array_equal(dense[thin[0]], thin[1]) and len(dense) == len(everything) and np.count_nonzero(dense) == np.count_nonzero(thin[1])
