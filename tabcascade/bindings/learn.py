@@ -86,9 +86,8 @@ def binary_rows(t: Tables) -> DataFrame:
 
 
 def reason_rows(t: Tables) -> DataFrame:
-    """Stage-two rows, with two reasons and the rest, so that one-vs-rest stays short."""
-    df = second_stage_rows(learn_rows(t), "label").withColumn("label", F.least(F.col("label"), F.lit(2)).cast("int"))
-    return hold(with_features(df, FEATURE_NAMES, ["event_id", "label"]))
+    """Stage-two rows, with the five reasons."""
+    return hold(with_features(second_stage_rows(learn_rows(t), "label"), FEATURE_NAMES, ["event_id", "label"]))
 
 
 def tiny_boost(label: str, seed: int = 0, **params):
@@ -101,7 +100,7 @@ def tally(df: DataFrame, *by: str) -> DataFrame:
 
 def fold_rows(t: Tables, k: int = 3) -> DataFrame:
     """Over-sampled stage-two rows; copies of a row share its fold."""
-    df = second_stage_rows(learn_rows(t), "label").withColumn("label", F.least(F.col("label"), F.lit(2)).cast("int"))
+    df = second_stage_rows(learn_rows(t), "label")
     df = group_folds(over_sample(df, "event_id", "label", 326), "event_id", "label", k)
     return hold(with_features(df, FEATURE_NAMES, ["event_id", "label", "fold"]))
 
@@ -160,7 +159,7 @@ def rounds(t: Tables):
 
 @query("K6_boosting_rounds_classes")
 def class_rounds(t: Tables):
-    curves = class_loss_curves(tiny_boost("label", 0), fold_rows(t, 2), "fold", "label", 3)
+    curves = class_loss_curves(tiny_boost("label", 0), fold_rows(t, 2), "fold", "label", 5)
     best = stop_round(curves, patience=2)
     rows = [(i // 2, i % 2, r + 1, float(v), r + 1 == best) for i, c in enumerate(curves) for r, v in enumerate(c)]
     return score_table(t, rows, "class int, fold int, round int, loss double, is_best boolean")
@@ -194,7 +193,7 @@ def rates(t: Tables):
 
 @query("K10_randomized_search")
 def randomized(t: Tables):
-    points = random_grid({"trees": [2, 4, 6, 8], "depth": [2, 4, 6], "minInstancesPerNode": [1, 2, 4]}, 3, seed=7)
+    points = random_grid({"trees": [2, 4, 6, 8], "depth": [2, 4, 6], "minInstancesPerNode": [1, 2, 4]}, 1000, seed=7)
     found = grid_search(forest, {}, points, fold_rows(t, 2), "fold", ConfusionEvaluator("f1_macro"))
     return found.table(t.spark)
 
@@ -203,7 +202,7 @@ def randomized(t: Tables):
 def refined(t: Tables):
     rows = fold_rows(t, 2)
     n = rows.count()
-    searches = refine(lambda p: logistic("label", n, p["c"], classes=3, max_iter=10), {}, "c", [0.01, 1.0], rows, "fold", ConfusionEvaluator("f1_macro"))
+    searches = refine(lambda p: logistic("label", n, p["c"], classes=5, max_iter=10), {}, "c", [0.01, 1.0], rows, "fold", ConfusionEvaluator("f1_macro"))
     return append_rows(*[s.table(t.spark) for s in searches])
 
 
@@ -219,7 +218,7 @@ def boosted_binary(t: Tables):
 @query("M2_boosted_classes")
 def boosted_classes(t: Tables):
     rows = reason_rows(t)
-    model = boosted_trees({"n_estimators": 2, "max_depth": 3, "seed": 1}, "label", classes=3).fit(rows)
+    model = boosted_trees({"n_estimators": 2, "max_depth": 3, "seed": 1}, "label", classes=5).fit(rows)
     return tally(add_prediction(model, rows, "prediction"), "label", "prediction")
 
 
@@ -250,8 +249,7 @@ def logistic_stages(t: Tables):
 
 @query("M5_kernel_svm")
 def svm(t: Tables):
-    rows = scaled_rows(t).withColumn("label", F.least(F.col("label"), F.lit(2)).cast("int"))
-    rows = weighted(fourier_features(rows, len(FEATURE_NAMES), gamma=0.1, size=32, seed=5))
+    rows = weighted(fourier_features(scaled_rows(t), len(FEATURE_NAMES), gamma=0.1, size=32, seed=5))
     model = kernel_svm("label", 1.0, rows.count(), weight="weight", max_iter=5).fit(rows)
     return tally(add_prediction(model, rows, "prediction"), "label", "prediction")
 
@@ -265,7 +263,7 @@ def forests(t: Tables):
 @query("M7_adaboost")
 def adaboost(t: Tables):
     rows = reason_rows(t)
-    model = fit_adaboost(rows, "label", classes=3, rounds=3, depth=2)
+    model = fit_adaboost(rows, "label", classes=5, rounds=3, depth=2)
     return tally(model.transform(rows), "label", "prediction")
 
 
@@ -284,7 +282,7 @@ def bags(t: Tables):
         bag = balanced_bag(df, "event_id", "label", 600, 120, seed).withColumn("label", binary_label("label"))
         return with_features(bag, FEATURE_NAMES, ["event_id", "label"])
 
-    models = seeded_bags([0, 1, 2], resample, lambda seed: tiny_boost("label", seed))
+    models = seeded_bags(range(15), resample, lambda seed: tiny_boost("label", seed))
     return tally(add_votes(models, with_features(df, FEATURE_NAMES, ["event_id", "label"]), [0, 1], "vote"), "label", "vote")
 
 
@@ -327,7 +325,7 @@ def sweep(t: Tables):
     df = second_stage_rows(learn_rows(t), "label")
     df = hold(group_folds(over_sample(df, "event_id", "label", 326), "event_id", "label", 2))
     ranking = split_importance(forest().fit(with_features(df, FEATURE_NAMES, ["label"])), FEATURE_NAMES)
-    scores = top_k_sweep(forest, df, ranking, [2, 4], "label", "fold", ConfusionEvaluator("accuracy"))
+    scores = top_k_sweep(forest, df, ranking, range(1, len(FEATURE_NAMES) + 1), "label", "fold", ConfusionEvaluator("accuracy"))
     return score_table(t, [(k, float(s)) for k, s in scores.items()], "k int, mean_score double")
 
 
@@ -337,7 +335,7 @@ def sweep(t: Tables):
 def two_stage_models(t: Tables, rows: DataFrame) -> Cascade:
     first = with_features(top_up(rows, "event_id", "label", 1126).withColumn("label", binary_label("label")), FEATURE_NAMES, ["label"])
     second = with_features(over_sample(second_stage_rows(rows, "label"), "event_id", "label", 326), FEATURE_NAMES, ["label"])
-    return fit_cascade(hold(first), hold(second), lambda: [tiny_boost("label", s) for s in (0, 1)], lambda: [forest({"seed": s}) for s in (0, 1, 2)], 5)
+    return fit_cascade(hold(first), hold(second), lambda: [tiny_boost("label", s) for s in range(15)], lambda: [forest({"seed": s}) for s in range(29)], 5)
 
 
 @query("M15_cascade")
@@ -425,9 +423,9 @@ def sums(t: Tables):
 def boosted_probabilities(t: Tables):
     """They sum to one, and the predicted class has the largest."""
     rows = reason_rows(t)
-    model = boosted_trees({"n_estimators": 2, "max_depth": 3, "seed": 1}, "label", classes=3).fit(rows)
-    scored = add_probabilities(model, rows, ["p0", "p1", "p2"], "prediction")
-    return broken(scored, "abs(p0 + p1 + p2 - 1) < 1e-9 AND greatest(p0, p1, p2) = CASE prediction WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END")
+    model = boosted_trees({"n_estimators": 2, "max_depth": 3, "seed": 1}, "label", classes=5).fit(rows)
+    scored = add_probabilities(model, rows, [f"p{i}" for i in range(5)], "prediction")
+    return broken(scored, "abs(p0 + p1 + p2 + p3 + p4 - 1) < 1e-9 AND greatest(p0, p1, p2, p3, p4) = element_at(array(p0, p1, p2, p3, p4), CAST(prediction AS INT) + 1)")
 
 
 @query("M15_cascade_consistent", ALL_HOLD)

@@ -188,3 +188,12 @@ def test_deeper_trees_than_spark_grows_are_refused():
         random_forest("label", depth=80)
     with pytest.raises(ValueError, match="at most 30"):
         boosted_trees({"max_depth": 31}, "label")
+
+
+def test_all_reasons_are_learned(spark, data):
+    from tabcascade.bindings.base import Tables
+    from tabcascade.bindings.learn import fold_rows, reason_rows
+
+    t = Tables(spark, data)
+    for rows in (reason_rows(t), fold_rows(t, 2)):
+        assert {r.label for r in rows.select("label").distinct().collect()} == set(range(5))
