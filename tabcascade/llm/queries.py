@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabcascade.llm import chat, decontaminate, exact_dedup, gru_lm, jaccard, markov_secrets, packing, quality, sharding, toxicity
+from tabcascade.llm import chat, decontaminate, exact_dedup, gru_lm, jaccard, markov_secrets, orc_tokens, packing, quality, sharding, toxicity
 from tabcascade.llm.common import buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,10 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_gru_lm(spark: SparkSession, folder: str) -> DataFrame:
     scored = gru_lm.score(table(spark, folder, "documents"), buckets("doc_id", 10) != 0)
     return scored.select("doc_id", (buckets("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    path = orc_tokens.new_folder(spark)
+    orc_tokens.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return orc_tokens.with_checksum(orc_tokens.read_tokens(spark, path))
