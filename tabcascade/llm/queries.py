@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabcascade.llm import chat, decontaminate, exact_dedup, gru_lm, jaccard, markov_secrets, orc_tokens, packing, quality, sharding, toxicity
+from tabcascade.llm import chat, collocations, decontaminate, exact_dedup, gru_lm, jaccard, markov_secrets, orc_tokens, packing, quality, sharding, toxicity
 from tabcascade.llm.common import buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,44 @@ def op10_gru_lm(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (buckets("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+ORACLE_SQL["op12_collocations"] = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang HAVING sum(len(w)) > 0),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, unnest(list_transform(range(1, least(5, len(w) - i + 2)), lambda m: {'m': m, 'p': array_to_string(w[i : i + m - 1], ' ')})) AS g FROM places),
+counts AS (SELECT lang, g.p AS phrase, any_value(g.m) AS m, count(*) AS c FROM grams GROUP BY lang, g.p HAVING count(*) >= 30),
+around AS (
+    SELECT lang, part, max(c) AS most FROM (
+        SELECT lang, array_to_string(string_split(phrase, ' ')[1 : m - 1], ' ') AS part, c FROM counts WHERE m > 2
+        UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[2 : m], ' ') AS part, c FROM counts WHERE m > 2
+    ) GROUP BY lang, part
+),
+candidates AS (
+    SELECT c.* FROM counts c LEFT JOIN around o ON c.lang = o.lang AND c.phrase = o.part
+    WHERE c.m > 1 AND (o.most IS NULL OR 100 * CAST(o.most AS HUGEINT) < 80 * CAST(c.c AS HUGEINT))
+),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+    SELECT t.lang, t.phrase, t.c AS a, t.k, x.c AS l, y.c AS r, CAST((2000000 * CAST(t.c AS HUGEINT)) // (CAST(x.c AS HUGEINT) + y.c) AS BIGINT) AS score
+    FROM cuts t JOIN counts x ON x.lang = t.lang AND x.phrase = array_to_string(string_split(t.phrase, ' ')[1 : t.k], ' ')
+    JOIN counts y ON y.lang = t.lang AND y.phrase = array_to_string(string_split(t.phrase, ' ')[t.k + 1 : t.m], ' ')
+),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE place = 1)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= 2000
+"""
+
+
 @query
 def op13_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = orc_tokens.new_folder(spark)
