@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 
 import numpy as np
 
-MEMO_PIECES = 150_000
-MEMO_CHARS = 40
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-# Texts of these characters are cut alike by every version of the Unicode tables.
-_PLAIN = re.compile(f"[\t\n\r -~{_LETTER}]*")
-# The public pattern of byte-level vocabularies, for plain texts.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+from tabcascade.llm.common import chunks
+from tabcascade.llm.piece_table import PieceTable, padded
+
+#: Bytes of text that are cut at once: the arrays of a slice stay in the processor's cache.
+SLICE = 1 << 18
+# Classes of bytes of plain texts: letters, digits, white space, anything else that prints. A text
+# of these bytes alone is cut alike by every version of the Unicode tables: ASCII and the
+# Latin-1 letters, whose first byte is 0xC3. All others are 0.
+_LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[0x80:0xC0] = _CLASS[0xC3] = _LETTER
 
 
 def byte_letters() -> list[str]:
@@ -25,27 +31,54 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class Recent(dict):
-    """Key -> what ``make`` says; about the last ``limit`` to twice as many keys are remembered.
+def plain(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of the texts between ``bounds`` have only bytes of the classes above."""
+    own = buffer[: bounds[-1]]
+    bad = _CLASS[own] == 0
+    signs = np.flatnonzero((own[:-1] == 0xC3) & ((own[1:] == 0x97) | (own[1:] == 0xB7)))  # no letters
+    bad[signs] = True
+    before = np.append(0, np.cumsum(bad))
+    return before[bounds[1:]] == before[bounds[:-1]]
 
-    A full generation becomes the old one. Keys that are met again move on to the next, so that
-    frequent keys stay and a long run of rare ones does not push them out.
-    """
 
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+def piece_starts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the public pattern of byte-level vocabularies cuts plain texts.
 
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= MEMO_CHARS:
-            self[key] = found
-        return found
+    Runs of one class are pieces, with a space before them if there is one. A longer run of white
+    space is one piece up to its last character, unless the text ends with it. After anything
+    but a space or a mark, an apostrophe and one of s, t, m, d, re, ve, ll are a piece.
+    """
+    own = buffer[: bounds[-1]]
+    if not len(own):
+        return np.empty(0, np.int64)
+    kind = _CLASS[own]
+    white = kind == _SPACE
+    start = np.ones(len(own), bool)
+    start[1:] = (kind[1:] != kind[:-1]) & (own[:-1] != 32)
+    follows = np.zeros(len(own), bool)
+    follows[:-1] = ~white[1:]
+    follows[bounds[1:][np.diff(bounds) > 0] - 1] = False
+    first_white = np.ones(len(own), bool)
+    first_white[1:] = ~white[:-1]
+    start[white] = (first_white | follows)[white]
+    firsts = bounds[:-1][np.diff(bounds) > 0]
+    start[firsts] = True
+    # contractions
+    ends = np.repeat(bounds[1:], np.diff(bounds)) if (own == 39).any() else None
+    if ends is not None:
+        at = np.flatnonzero((own == 39) & start)
+        one, two = buffer[at + 1], buffer[at + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        size = np.where(short, 2, np.where(long, 3, 0))
+        held = (size > 0) & (at + size <= ends[at])
+        at, size = at[held], size[held]
+        start[at + 1] = False
+        after = at + size
+        inside = after < ends[at]
+        letters = inside & (kind[np.minimum(after, len(own) - 1)] == _LETTER)
+        start[after[letters]] = True
+    return np.flatnonzero(start)
 
 
 class ByteLevel:
@@ -56,7 +89,7 @@ class ByteLevel:
     characters beyond Latin-1 or a special string go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, plain_specials: bool, memo: int = MEMO_PIECES):
+    def __init__(self, path: str, plain_specials: bool):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,20 +101,39 @@ class ByteLevel:
         usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         model = told["model"]
         self.by_piece = bool(usual and told["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout"))
-        added = [t for t in told["added_tokens"] if not (plain_specials and t["special"])]
-        self.marks = [t["content"] for t in added]
+        self.marks = [t["content"].encode() for t in told["added_tokens"] if not (plain_specials and t["special"])]
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = Recent(self._piece, memo)
+        self.pieces = PieceTable(self._piece)
 
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
+    def _piece(self, piece: bytes) -> bytes:
+        mapped = piece.decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit numbers, one after the other."""
-        if self.by_piece and _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text)."""
+        parts = [self._slice(part) for part in chunks(texts, len, SLICE)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        buffer, bounds = padded(texts)
+        cut = plain(buffer, bounds) if self.by_piece else np.zeros(len(texts), bool)
+        for mark in self.marks:
+            cut &= np.fromiter((mark not in t for t in texts), bool, len(texts))
+        if cut.all():
+            return self._cut(buffer, bounds)
+        ids, counts = self._cut(*padded([t for t, c in zip(texts, cut, strict=True) if c]))
+        easy = iter(np.split(ids, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+        out = [next(easy) if c else self._whole(t) for t, c in zip(texts, cut, strict=True)]
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+
+    def _cut(self, buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = piece_starts(buffer, bounds)
+        ids, counts = self.pieces.ids(buffer, starts, np.diff(np.append(starts, bounds[-1])))
+        before = np.append(0, np.cumsum(counts, dtype=np.int64))
+        return ids, np.diff(before[np.searchsorted(starts, bounds)])
 
     def entries(self) -> list[bytes]:
         """Bytes of each id."""

@@ -58,20 +58,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     def encode(batches):
         part, start = TaskContext.get().partitionId(), 0
         tokens = loaded(tokenizer_path, False)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for small in _by_bytes(batch):
-                ids = [tokens.encode(t.decode("utf-8", "replace")) + end for t in small.column(1).to_pylist()]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                ends = np.cumsum(sizes)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                flat, sizes = tokens.encode(small.column(1).to_pylist())
+                ends = np.cumsum(sizes + 1)
+                ids = np.insert(flat, ends - np.arange(1, len(ends) + 1), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(ids), part, np.int32)),
+                        pa.array(np.full(len(sizes), part, np.int32)),
                         small.column(0),
-                        pa.array(start + ends - sizes),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat),
+                        pa.array(start + ends - sizes - 1),
+                        pa.array(sizes + 1),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids, pa.int32())),
                     ],
                     ["part", "doc_id", "part_start", "n_tokens", "ids"],
                 )
