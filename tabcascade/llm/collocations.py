@@ -27,18 +27,21 @@ MIN_COUNT = 30
 TOP = 2000
 UNKNOWN_LANG = "und"
 #: Bytes of text that a task cuts into words at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Entries of partial stripes that a task holds.
 HELD = 1_000_000
 #: Entries a row of a partial stripe.
 ROW_ENTRIES = 256
 #: A bit table has 16 bits for each frequent phrase, up to 32 MB.
 BITS_EACH, MAX_BITS = 16, 1 << 28
-#: Stripes of frequent prefixes are cut by a hash of the next word: at most HOT_SHARE prefixes of
-#: each length hold more than 1 / HOT_SHARE of all words.
-HOT_COUNT, HOT_SHARE, HOT_SEGMENTS, EMPTY_SEGMENTS = 20_000, 200_000, 256, 8192
-
-STRIPES = "lang string, prefix binary, seg int, words array<binary>, counts array<long>"
+#: A stripe is cut into segments by a hash of the next word, one for each SEGMENT_COUNT
+#: occurrences of its prefix, up to MAX_SEGMENTS. At most SHARE prefixes of each length are
+#: frequent enough for a second segment. The empty prefix has EMPTY_SEGMENTS.
+SEGMENT_COUNT, SHARE, MAX_SEGMENTS, EMPTY_SEGMENTS = 200_000, 200_000, 4096, 8192
+
+CODED = "lang string, words binary, ids binary"
+#: Words of a stripe are joined by spaces, their counts are little-endian 64-bit numbers.
+STRIPES = "lang string, prefix binary, seg int, words binary, counts binary"
 _BREAK = b"\xff"  # a byte that no text has
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _BREAK * 10)
 
@@ -61,6 +64,42 @@ def cut_words(texts: list[bytes]) -> list[bytes]:
     return _BREAK.join(texts).lower().translate(_CUT).replace(_BREAK, b" \xff ").split()
 
 
+def coded_texts(docs: DataFrame) -> DataFrame:
+    """Texts (lang, bytes) of a task's chunk and language as numbers of its distinct words.
+
+    The words are joined by spaces, the first is the end of a piece; of each number there are
+    four planes of bytes, lowest first, which compress well.
+    """
+
+    def coded(lang: str, texts: list[bytes]) -> pa.RecordBatch:
+        numbers, words = Numbers(), cut_words(texts)
+        ids = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
+        planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes()
+        columns = [pa.array([lang], pa.string()), pa.array([b" ".join(numbers.words)], pa.binary()), pa.array([planes], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "words", "ids"])
+
+    def run(batches):
+        by_lang: dict[str, list[bytes]] = {}
+        size = 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    for own, texts in by_lang.items():
+                        yield coded(own, texts)
+                    by_lang, size = {}, 0
+        for own, texts in by_lang.items():
+            yield coded(own, texts)
+
+    return docs.mapInArrow(run, CODED)
+
+
+def _decoded(words: bytes, planes: bytes) -> tuple[list[bytes], np.ndarray]:
+    ids = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+    return words.split(b" "), ids
+
+
 def _merged(columns: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns in the order of the first row, then the next, and their summed counts.
 
@@ -125,8 +164,9 @@ class BitTable:
 class Partial:
     """Partial stripes of one task, as sorted runs of word numbers."""
 
-    def __init__(self, width: int, frequent: BitTable | None, hot: np.ndarray):
-        self.width, self.frequent, self.hot = width, frequent, hot
+    def __init__(self, width: int, frequent: BitTable | None, hot: tuple[np.ndarray, np.ndarray]):
+        self.width, self.frequent = width, frequent
+        self.hot, self.segments = hot
         self.start()
 
     def start(self) -> None:
@@ -141,23 +181,24 @@ class Partial:
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
         return self.hashes
 
-    def add(self, lang: str, texts: list[bytes]) -> None:
-        words = cut_words(texts)
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+    def add(self, lang: str, words: list[bytes], local: np.ndarray) -> None:
+        """Count the runs of ``width`` words of a chunk."""
+        number = self.langs.setdefault(lang, len(self.langs))
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
         k = self.width
-        if len(ids) < k:
+        if len(local) < k:
             return
         if k == 1:
-            at = np.flatnonzero(ids)
+            counts = np.bincount(local, minlength=len(words))[1:]
+            self.parts.append((np.stack([np.full(len(counts), number, np.int32), numbers[1:]]), counts))
         else:
+            ids = numbers[local]
             # both parts of one word less must be whole and may have to be frequent
             known = ids != 0
             whole = np.logical_and.reduce([known[j : len(ids) - k + 2 + j] for j in range(k - 1)])
             may = whole & self.frequent.holds(_phrase_hash(self._word_hashes()[ids], k - 1, lang))
             at = np.flatnonzero(may[:-1] & may[1:])
-        number = self.langs.setdefault(lang, len(self.langs))
-        columns = np.stack([np.full(len(at), number, np.int32)] + [ids[at + j] for j in range(k)])
-        self.parts.append(_merged(columns))
+            self.parts.append(_merged(np.stack([np.full(len(at), number, np.int32)] + [ids[at + j] for j in range(k)])))
         self.held += self.parts[-1][0].shape[1]
 
     def full(self) -> bool:
@@ -186,8 +227,10 @@ class Partial:
             for number, lang in enumerate(langs):
                 of = columns[0] == number
                 code[of] = _hash_columns([hashes[p[of]] for p in prefix], lang)
-            hot = np.isin(code, self.hot) if len(self.hot) else np.zeros(len(code), bool)
-            seg = np.where(hot, seg % HOT_SEGMENTS, 0)
+            place = np.searchsorted(self.hot, code)
+            place[place == len(self.hot)] = 0
+            cut = self.hot[place] == code if len(self.hot) else np.zeros(len(code), bool)
+            seg = np.where(cut, seg % (self.segments[place] if len(self.hot) else 1), 0)
         order = np.lexsort((columns[-1], seg, *prefix[::-1], columns[0]))
         columns, counts, seg = columns[:, order], counts[order], seg[order].astype(np.int32)
         fresh = np.ones(len(counts), bool)
@@ -210,13 +253,26 @@ class Partial:
                     pa.array([langs[i] for i in columns[0][own]], pa.string()),
                     prefixes,
                     pa.array(seg[own]),
-                    pa.ListArray.from_arrays(offsets, table.take(pa.array(columns[-1][own[0] : stop]))),
-                    pa.ListArray.from_arrays(offsets, pa.array(counts[own[0] : stop])),
+                    pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(pa.array(columns[-1][own[0] : stop]))), b" "),
+                    _raw_counts(offsets, counts[own[0] : stop]),
                 ],
                 ["lang", "prefix", "seg", "words", "counts"],
             )
 
 
+def _raw_counts(offsets: pa.Array, counts: np.ndarray) -> pa.Array:
+    places = np.asarray(offsets) * np.int32(8)
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(counts, "<i8"))])
+
+
+def _entries(words: pa.Array, counts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(word, count, row) of each entry of stripes."""
+    sizes = np.asarray(pc.binary_length(counts), np.int64) // 8
+    lists = pc.split_pattern(words.filter(pa.array(sizes > 0)), pattern=" ")
+    raw = b"".join(counts.to_pylist())
+    return lists.flatten(), pa.array(np.frombuffer(raw, "<i8")), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def _hash_columns(word_hashes: list[np.ndarray], lang: str) -> np.ndarray:
     """As :func:`_phrase_hash`, of phrases given word by word."""
     width = len(word_hashes)
@@ -224,30 +280,19 @@ def _hash_columns(word_hashes: list[np.ndarray], lang: str) -> np.ndarray:
     return mix(grams(flat, width)[::width] ^ _lang_hash(lang)) if len(flat) else flat
 
 
-def partial_stripes(docs: DataFrame, width: int, frequent, hot) -> DataFrame:
-    """Partial stripes of the prefixes of ``width`` - 1 words; ``docs`` has lang and text (bytes)."""
+def partial_stripes(coded: DataFrame, width: int, frequent, hot) -> DataFrame:
+    """Partial stripes of the prefixes of ``width`` - 1 words."""
 
     def run(batches):
         held = Partial(width, frequent.value if frequent is not None else None, hot.value)
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            size = 0
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    for own, texts in by_lang.items():
-                        held.add(own, texts)
-                    by_lang, size = {}, 0
-                    if held.full():
-                        yield from held.rows()
-            for own, texts in by_lang.items():
-                held.add(own, texts)
-            if held.full():
-                yield from held.rows()
+            for lang, words, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.add(lang, *_decoded(words, ids))
+                if held.full():
+                    yield from held.rows()
         yield from held.rows()
 
-    return docs.mapInArrow(run, STRIPES)
+    return coded.mapInArrow(run, STRIPES)
 
 
 def merge_stripes(partial: DataFrame, least: int) -> DataFrame:
@@ -268,16 +313,15 @@ def merge_stripes(partial: DataFrame, least: int) -> DataFrame:
             column = table.column(name)
             fresh[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, len(table) - 1)))
         number = np.cumsum(fresh) - 1
-        lists, counts = (table.column(n).combine_chunks() for n in ("words", "counts"))
-        parent = number[np.asarray(pc.list_parent_indices(lists))]
-        flat = pa.table({"key": parent, "word": lists.flatten(), "count": counts.flatten()})
+        words, counts, row = _entries(*(table.column(n).combine_chunks() for n in ("words", "counts")))
+        flat = pa.table({"key": number[row], "word": words, "count": counts})
         summed = flat.group_by(["key", "word"], use_threads=False).aggregate([("count", "sum")]).rename_columns(["key", "word", "count"])
         return table.select(key).filter(pa.array(fresh)), summed.take(pa.array(np.argsort(np.asarray(summed.column("key")), kind="stable")))
 
     def as_rows(heads: pa.Table, entries: pa.Table) -> pa.Table:
         offsets = pa.array(np.searchsorted(np.asarray(entries.column("key")), np.arange(len(heads) + 1)), pa.int32())
-        words = pa.ListArray.from_arrays(offsets, entries.column("word").combine_chunks())
-        return heads.append_column("words", words).append_column("counts", pa.ListArray.from_arrays(offsets, entries.column("count").combine_chunks()))
+        words = pc.binary_join(pa.ListArray.from_arrays(offsets, entries.column("word").combine_chunks()), b" ")
+        return heads.append_column("words", words).append_column("counts", _raw_counts(offsets, np.asarray(entries.column("count"))))
 
     def finish(heads: pa.Table, entries: pa.Table):
         numbers, counts = np.asarray(entries.column("key")), np.asarray(entries.column("count"))
@@ -308,9 +352,19 @@ def merge_stripes(partial: DataFrame, least: int) -> DataFrame:
 
 def _phrases(stripes: DataFrame) -> DataFrame:
     """(lang, phrase, count) of the entries of stripes."""
-    entry = stripes.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    space = F.when(F.length("prefix") > 0, F.concat("prefix", F.lit(" ").cast("binary"), "e.words")).otherwise(F.col("e.words"))
-    return entry.select("lang", space.cast("string").alias("phrase"), F.col("e.counts").alias("count"))
+
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                words, counts, row = _entries(batch.column("words"), batch.column("counts"))
+                prefix = batch.column("prefix").take(pa.array(row))
+                phrase = pc.binary_join_element_wise(prefix, words, b" ")
+                phrase = pc.if_else(pc.equal(pc.binary_length(prefix), 0), words, phrase)
+                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row)), phrase, counts], ["lang", "phrase", "count"])
+
+    entries = stripes.select("lang", "prefix", "words", "counts").mapInArrow(run, "lang string, phrase binary, count long")
+    return entries.withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def _hashes_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -341,48 +395,51 @@ def _bit_table(phrases: DataFrame, rows: int, width: int, max_bits: int) -> BitT
     return BitTable(bits, np.asarray(found["slot"]), np.asarray(found["value"]).view(np.uint64))
 
 
-def _hot_hashes(phrases: DataFrame, words: int, width: int, hot_count: int) -> np.ndarray:
-    """Sorted hashes of the phrases that are frequent enough for stripes in segments."""
-    least = max(hot_count, words // HOT_SHARE + 1)
+def _hot_prefixes(phrases: DataFrame, words: int, width: int, segment_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, segments) of the phrases whose stripes are cut; at most ``SHARE`` of them."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes_of(batch, width).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes_of(batch, width).view(np.int64)), batch.column("count")], ["h", "count"])
 
-    found = phrases.where(F.col("count") >= least).select("lang", "phrase").mapInArrow(run, "h long").toArrow()
-    return np.sort(np.asarray(found["h"]).view(np.uint64))
+    often = phrases.where(F.col("count") >= max(segment_count, words // SHARE + 1))
+    found = often.select("lang", "phrase", "count").mapInArrow(run, "h long, count long").toArrow()
+    hashes, counts = np.asarray(found["h"]).view(np.uint64), np.asarray(found["count"])
+    order = np.argsort(hashes)
+    return hashes[order], np.minimum(1 + counts // segment_count, MAX_SEGMENTS)[order]
 
 
-def stripes(docs: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, max_bits: int = MAX_BITS, hot_count: int = HOT_COUNT, text_col: str = "text", lang_col: str = "lang") -> tuple[list[DataFrame], DataFrame]:
+def stripes(docs: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, max_bits: int = MAX_BITS, segment_count: int = SEGMENT_COUNT, text_col: str = "text", lang_col: str = "lang") -> tuple[list[DataFrame], DataFrame]:
     """([stripes of prefixes of 0, 1, ... words], (lang, n)), in the shared folder.
 
     Words are runs of ``[^\\x20\\x09]`` between ``[.,;:!?\\x0A-\\x0D]``, A-Z lower-cased. Null texts
     are empty and add nothing; a null language is ``und``. Columns other than the two named are
-    not read. An empty table has no stripes. A frequent phrase whose language has under ``least``
-    of everything gives no entries but counts in n.
+    not read. An empty table has no stripes. Words of languages without any frequent phrase are
+    in their n alone.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
+    coded = shared(coded_texts(rows), "coded", compression="zstd")
     out: list[DataFrame] = []
-    frequent, hot = None, sc.broadcast(np.empty(0, np.uint64))
+    frequent, hot = None, sc.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64)))
     sums = words = None
     for width in range(1, max_words + 1):
-        found = shared(merge_stripes(partial_stripes(rows, width, frequent, hot), least), f"stripes-{width}")
+        found = shared(merge_stripes(partial_stripes(coded, width, frequent, hot), least), f"stripes-{width}")
         if width == 1:
             sums = found.groupBy("lang").agg(F.sum("total").alias("n"))
             words = sums.agg(F.sum("n")).first()[0] or 0
-        found = found.where(F.size("words") > 0)
+        found = found.where(F.length("words") > 0)
         out.append(found)
         phrases = _phrases(found)
         known = phrases.count()
         if not known:
             break
         frequent = sc.broadcast(_bit_table(phrases, known, width, max_bits))
-        hot = sc.broadcast(_hot_hashes(phrases, words, width, hot_count))
+        hot = sc.broadcast(_hot_prefixes(phrases, words, width, segment_count))
     return out, sums
 
 

@@ -17,11 +17,11 @@ BROADCAST_BYTES = 32 << 20
 MEMO_WORDS = 100_000
 
 
-def shared(df: DataFrame, name: str) -> DataFrame:
+def shared(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the folder that all executors see and read it back."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
