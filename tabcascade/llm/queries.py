@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabcascade.llm import chat, collocations, decontaminate, exact_dedup, gru_lm, jaccard, markov_secrets, orc_tokens, packing, quality, sharding, toxicity
+from tabcascade.llm import alignment, chat, collocations, decontaminate, exact_dedup, gru_lm, jaccard, markov_secrets, orc_tokens, packing, quality, sharding, toxicity
 from tabcascade.llm.common import buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,12 @@ def op10_gru_lm(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (buckets("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    byte_level, pieces = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, folder, "documents"), byte_level, pieces)[0]
+
+
 @query
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(table(spark, folder, "documents"))
