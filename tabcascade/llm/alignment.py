@@ -44,12 +44,15 @@ class SpacePieces:
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         probe = "ﬁ  Ａé ²\t　\n x  "
         as_is = self.model.normalize(probe) == "▁" + probe.replace(" ", "▁")
-        self.by_run = as_is and not any("▁" in name.lstrip("▁") for name in names)
+        self.space = self.model.piece_to_id("▁")
+        self.by_run = as_is and names[self.space] == "▁" and not any("▁" in name.lstrip("▁") for name in names)
         self.entries = [bytes([int(n[3:5], 16)]) if self.model.is_byte(k) else n.replace("▁", " ").encode() for k, n in enumerate(names)]
         self.table = PieceTable(self._run)
 
     def _run(self, run: bytes) -> bytes:
-        return np.array(self.model.encode(run[1:].decode("utf-8", "replace")), "<i4").tobytes()
+        # an empty text gets no space of its own, a run of one space is that space
+        ids = self.model.encode(run[1:].decode("utf-8", "replace")) if len(run) > 1 else [self.space]
+        return np.array(ids, "<i4").tobytes()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); texts begin with the space."""

@@ -33,6 +33,8 @@ ORC = {
     "compression": "zstd",
     "orc.stripe.size": str(64 << 20),
     "orc.row.index.stride": "1000",
+    # the writer looks at a stripe's size every so many rows; rows may be long
+    "orc.rows.between.memory.checks": "100",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }

@@ -104,7 +104,7 @@ class PieceTable:
         if not known.all():
             new = np.flatnonzero(~known)
             # many new pieces come in portions, so that the table is never full
-            for part in np.array_split(new, max(1, -(-len(new) // (self.limit // 4)))):
+            for part in np.array_split(new, max(1, -(-len(new) // max(1, self.limit // 4)))):
                 if self.known + len(part) > self.limit * 3 // 2:
                     self.clear()
                     return self._piecewise(buffer, starts, sizes)
