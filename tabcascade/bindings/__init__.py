@@ -7,6 +7,7 @@ from tabcascade.bindings import (
     clean,
     inference,
     learn,
+    planted,
     prepare,
     relational,
     sampling,
@@ -15,4 +16,4 @@ from tabcascade.bindings import (
 )
 from tabcascade.bindings.base import REGISTRY
 
-__all__ = ["REGISTRY", "aggregate", "clean", "inference", "learn", "prepare", "relational", "sampling", "scores", "sources"]
+__all__ = ["REGISTRY", "aggregate", "clean", "inference", "learn", "planted", "prepare", "relational", "sampling", "scores", "sources"]

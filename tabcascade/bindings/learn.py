@@ -20,6 +20,7 @@ from tabcascade.operators.sampling import (
     top_up,
     with_class_weight,
 )
+from tabcascade.plans.boosting import GradientBoost, find_rounds, rounds_by_rate
 from tabcascade.plans.ensembles import (
     Cascade,
     add_votes,
@@ -46,17 +47,13 @@ from tabcascade.plans.models import (
 )
 from tabcascade.plans.selection import eliminate, top_k_sweep
 from tabcascade.plans.tuning import (
-    class_loss_curves,
     cross_validate,
     fixed,
     grid,
     grid_search,
-    loss_curves,
     random_grid,
-    rate_sweep,
     refine,
     staged_search,
-    stop_round,
 )
 from tabcascade.session import hold
 
@@ -94,6 +91,14 @@ def tiny_boost(label: str, seed: int = 0, **params):
     return boosted_trees({"n_estimators": 3, "max_depth": 3, "learning_rate": 0.1, **params, "seed": seed}, label)
 
 
+# A handful of rounds; all other settings are those of the query.
+SMALL = {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.1}
+
+
+def newton(params=(), classes: int = 2) -> GradientBoost:
+    return GradientBoost({**SMALL, **dict(params)}, "label", classes)
+
+
 def tally(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
@@ -144,34 +149,19 @@ def cross_validated(t: Tables):
 @query("K5_grid_search")
 def searched(t: Tables):
     points = grid({"max_depth": [2, 4], "gamma": [0.0, 0.1]})
-    found = grid_search(lambda p: tiny_boost("label", **p), {"n_estimators": 2}, points, binary_fold_rows(t), "fold", ConfusionEvaluator("f1_micro"))
+    found = grid_search(lambda p: newton(p), {"n_estimators": 2}, points, binary_fold_rows(t), "fold", ConfusionEvaluator("f1_micro"))
     return found.table(t.spark)
 
 
 @query("K6_boosting_rounds")
 def rounds(t: Tables):
-    estimator = tiny_boost("label", 0, n_estimators=5)
-    curves = loss_curves(estimator, binary_fold_rows(t), "fold", "label")
-    best = stop_round(curves, patience=2)
-    rows = [(f, i + 1, float(v), i + 1 == best) for f, c in enumerate(curves) for i, v in enumerate(c)]
-    return score_table(t, rows, "fold int, round int, loss double, is_best boolean")
+    """Misses on the rows held out, after each round."""
+    return find_rounds(binary_fold_rows(t), "fold", "label", 2, {**SMALL, "n_estimators": 5}, patience=2, block=3).table(t.spark)
 
 
 @query("K6_boosting_rounds_classes")
 def class_rounds(t: Tables):
-    curves = class_loss_curves(tiny_boost("label", 0), fold_rows(t, 2), "fold", "label", 5)
-    best = stop_round(curves, patience=2)
-    rows = [(i // 2, i % 2, r + 1, float(v), r + 1 == best) for i, c in enumerate(curves) for r, v in enumerate(c)]
-    return score_table(t, rows, "class int, fold int, round int, loss double, is_best boolean")
-
-
-@query("K7_staged_tuning")
-def staged(t: Tables):
-    steps = [fixed(max_depth=[2, 3], min_child_weight=[1, 5]), fixed(gamma=[0.0, 0.1])]
-    best, history = staged_search(
-        lambda p: tiny_boost("label", **p), {"n_estimators": 2, "max_depth": 2}, steps, binary_fold_rows(t, 2), "fold", ConfusionEvaluator("f1")
-    )
-    return score_table(t, [(s.number, str(s.best), float(s.score), s.accepted) for s in history], "stage int, best string, score double, accepted boolean")
+    return find_rounds(fold_rows(t, 2), "fold", "label", 5, SMALL, patience=2, block=3).table(t.spark)
 
 
 @query("K8_keep_if_not_worse")
@@ -187,8 +177,8 @@ def not_worse(t: Tables):
 
 @query("K9_rate_sweep")
 def rates(t: Tables):
-    best = rate_sweep(tiny_boost("label", 0, n_estimators=3), [0.1, 0.01], binary_fold_rows(t, 2), "fold", "label")
-    return score_table(t, [(r, n) for r, n in best.items()], "learning_rate double, rounds int")
+    found = rounds_by_rate(binary_fold_rows(t, 2), "fold", "label", 2, SMALL, [0.1, 0.01], patience=2, block=3)
+    return score_table(t, [(r, s.best) for r, s in found.items()], "learning_rate double, rounds int")
 
 
 @query("K10_randomized_search")
@@ -200,9 +190,9 @@ def randomized(t: Tables):
 
 @query("K11_refined_search")
 def refined(t: Tables):
-    rows = fold_rows(t, 2)
-    n = rows.count()
-    searches = refine(lambda p: logistic("label", n, p["c"], classes=5, max_iter=10), {}, "c", [0.01, 1.0], rows, "fold", ConfusionEvaluator("f1_macro"))
+    searches = refine(
+        lambda p, n: logistic("label", n, p["c"], classes=5, max_iter=10), {}, "c", [0.01, 1.0], fold_rows(t, 2), "fold", ConfusionEvaluator("f1_macro"), with_rows=True
+    )
     return append_rows(*[s.table(t.spark) for s in searches])
 
 
@@ -212,14 +202,13 @@ def refined(t: Tables):
 @query("M1_boosted_binary")
 def boosted_binary(t: Tables):
     rows = binary_rows(t)
-    return tally(add_prediction(tiny_boost("label", 1126).fit(rows), rows, "prediction"), "label", "prediction")
+    return tally(add_prediction(newton({"min_child_weight": 5.5, "gamma": 0.9}).fit(rows), rows, "prediction"), "label", "prediction")
 
 
 @query("M2_boosted_classes")
 def boosted_classes(t: Tables):
     rows = reason_rows(t)
-    model = boosted_trees({"n_estimators": 2, "max_depth": 3, "seed": 1}, "label", classes=5).fit(rows)
-    return tally(add_prediction(model, rows, "prediction"), "label", "prediction")
+    return tally(add_prediction(newton({"n_estimators": 2}, 5).fit(rows), rows, "prediction"), "label", "prediction")
 
 
 def weighted(rows: DataFrame) -> DataFrame:
@@ -372,16 +361,21 @@ def pseudo_second(t: Tables):
     return tally(add_prediction(again, rows, "prediction"), "label", "prediction")
 
 
-@query("M18_fit_report")
-def fit_report(t: Tables):
-    """Rounds by early stopping, then fit, in-sample accuracy and importance."""
-    rows = binary_fold_rows(t, 2)
-    best = stop_round(loss_curves(tiny_boost("label", 0), rows, "fold", "label"), patience=50)
-    model = tiny_boost("label", 0, n_estimators=best).fit(rows)
+def report_of(t: Tables, rows: DataFrame, classes: int, params: dict, names: list[str], patience: int) -> list[tuple[str, str, float]]:
+    """Rounds by early stopping on held-out folds, then fit, in-sample accuracy and importance."""
+    best = find_rounds(rows, "fold", "label", classes, params, patience=patience, block=3).best
+    model = GradientBoost({**params, "n_estimators": best}, "label", classes).fit(rows)
     accuracy = ConfusionEvaluator("accuracy").evaluate(model.transform(rows))
     report = [("rounds", "", float(best)), ("accuracy", "", accuracy)]
-    report += [("splits", f, float(n)) for f, n in split_importance(model, FEATURE_NAMES).items()]
-    return score_table(t, report, "measure string, feature string, value double")
+    return report + [("splits", f, float(n)) for f, n in sorted(model.split_counts(names).items())]
+
+
+@query("M18_fit_report")
+def fit_report(t: Tables):
+    """Of both stages."""
+    first = report_of(t, binary_fold_rows(t, 2), 2, SMALL, FEATURE_NAMES, 50)
+    second = report_of(t, fold_rows(t, 2), 5, {**SMALL, "n_estimators": 2}, FEATURE_NAMES, 50)
+    return score_table(t, [(2, *r) for r in first] + [(5, *r) for r in second], "classes int, measure string, feature string, value double")
 
 
 # ---- what must hold for any fit: these have SQL -----------------------------------------------
@@ -419,13 +413,18 @@ def sums(t: Tables):
     return broken(add_probabilities(forest().fit(rows), rows, names), f"abs({' + '.join(names)} - 1) < 1e-9")
 
 
-@query("M2_class_probabilities", "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM (SELECT * FROM " + EVENTS_SQL + ") WHERE label > 0")
+@query(
+    "M2_class_probabilities",
+    "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken, 3 AS n_rounds, 0 AS n_rises FROM (SELECT * FROM " + EVENTS_SQL + ") WHERE label > 0",
+)
 def boosted_probabilities(t: Tables):
-    """They sum to one, and the predicted class has the largest."""
+    """They sum to one, the predicted class has the largest, and the training loss falls every round."""
     rows = reason_rows(t)
-    model = boosted_trees({"n_estimators": 2, "max_depth": 3, "seed": 1}, "label", classes=5).fit(rows)
+    model = newton({"n_estimators": 3}, 5).fit(rows)
     scored = add_probabilities(model, rows, [f"p{i}" for i in range(5)], "prediction")
-    return broken(scored, "abs(p0 + p1 + p2 + p3 + p4 - 1) < 1e-9 AND greatest(p0, p1, p2, p3, p4) = element_at(array(p0, p1, p2, p3, p4), CAST(prediction AS INT) + 1)")
+    rises = sum(b >= a for a, b in zip(model.losses, model.losses[1:], strict=False))
+    rule = "abs(p0 + p1 + p2 + p3 + p4 - 1) < 1e-9 AND greatest(p0, p1, p2, p3, p4) = element_at(array(p0, p1, p2, p3, p4), CAST(prediction AS INT) + 1)"
+    return broken(scored, rule).select("n_rows", "n_broken", F.lit(len(model.losses) - 1).alias("n_rounds"), F.lit(rises).alias("n_rises"))
 
 
 @query("M15_cascade_consistent", ALL_HOLD)

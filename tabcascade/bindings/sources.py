@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabcascade.bindings.base import ORDERS_SQL, PREDICTED, Tables, orders, query, scratch
-from tabcascade.bindings.learn import FEATURE_NAMES, binary_rows, broken, forest, learn_rows, tiny_boost
-from tabcascade.functions import binary_label
+from tabcascade.bindings.learn import FEATURE_NAMES, binary_rows, broken, forest, learn_rows, tiny_boost, two_stage_models
+from tabcascade.bindings.planted import planted_rows
 from tabcascade.operators.prepare import apply_scaling, fit_min_max, fit_standard
-from tabcascade.plans.ensembles import add_votes
+from tabcascade.operators.sampling import over_sample
+from tabcascade.plans.boosting import GradientBoost
+from tabcascade.plans.ensembles import add_votes, second_stage_rows
+from tabcascade.plans.ledger import side_by_side
 from tabcascade.plans.models import add_prediction, with_features
-from tabcascade.plans.params import registry
+from tabcascade.plans.nodes import StoredCascade
+from tabcascade.plans.params import all_settings, registry
+from tabcascade.session import hold
 from tabcascade.sources import load_models, read_csv, read_labels, save_models, write_clean, write_submission
 from tabcascade.sources.models import stored_params, unfitted
 
+REGISTRY_ROUNDS = 2
+
 CUSTOMER_CSV = [
     "c_custkey",
     "CASE WHEN c_custkey % 5 = 1 THEN 'NA' ELSE CAST(c_acctbal AS STRING) END AS c_acctbal",
@@ -94,10 +101,62 @@ def rebuild(t: Tables):
 
 @query("S8_registry_fit")
 def registry_fit(t: Tables):
-    """Two registered settings, with a handful of rounds, against all labelled rows."""
-    df = learn_rows(t).withColumn("label", binary_label("label"))
+    """The five registered five-class settings, each on its own over-sampled rows, vote on the reasons.
+
+    Depth, shares, child weight, gain, L1 term, rate and seed are those of the registry; of the
+    rounds the first ``REGISTRY_ROUNDS`` are grown.
+    """
+    df = hold(second_stage_rows(learn_rows(t), "label"))
     rows = with_features(df, FEATURE_NAMES, ["event_id", "label"])
-    models = [tiny_boost("label", **{**p, "n_estimators": 2, "max_depth": 3}).fit(rows) for s, p in registry().items() if s in (110, 1126)]
-    return add_votes(models, rows, [0, 1], "vote").groupBy("label", "vote").agg(F.count("*").alias("n"))
 
+    def fit(setting: dict):
+        own = with_features(over_sample(df, "event_id", "label", setting["seed"]), FEATURE_NAMES, ["label"])
+        return GradientBoost({**setting, "n_estimators": min(REGISTRY_ROUNDS, setting["n_estimators"])}, "label", 5).fit(own)
+
+    models = side_by_side(t.spark, [lambda p=p: fit(p) for p in registry().values()])
+    return add_votes(models, rows, list(range(5)), "vote").groupBy("label", "vote").agg(F.count("*").alias("n"))
+
+
+@query(
+    "S8_settings_split",
+    "SELECT family, seed, true AS splits, 0 AS light_leaves, 0 AS weak_splits FROM (VALUES "
+    + ", ".join(f"('{family}', {seed})" for family, seed in all_settings())
+    + ") AS s(family, seed)",
+)
+def settings_split(t: Tables):
+    """One round of every registered setting: does it split, and do its nodes keep to it.
+
+    A leaf is light if its sum of curvature is below ``min_child_weight``; a split of two leaves
+    is weak if it gains less than ``gamma``. Sums are taken from the rows in each leaf.
+    """
+    rows = planted_rows(t, "two")
+
+    def judge(name: tuple[str, int], setting: dict) -> tuple[str, int, bool, int, int]:
+        # all features, so that no seed draws only those that say nothing
+        model = GradientBoost({**setting, "n_estimators": 1, "colsample_bytree": 1.0}, "label").fit(rows)
+        tree = model.trees[0][0]
+        leaves = [n for n in range(len(tree.feature)) if tree.feature[n] < 0]
+        light = sum(tree.value[n, 2] < float(setting["min_child_weight"]) - 1e-6 for n in leaves)
+        alpha = float(setting.get("reg_alpha", 0.0))
+
+        def worth(n: int) -> float:
+            return max(0.0, abs(tree.value[n, 1]) - alpha) ** 2 / (tree.value[n, 2] + 1)
+
+        ends = [n for n in range(len(tree.feature)) if tree.feature[n] >= 0 and {int(tree.left[n]), int(tree.right[n])} <= set(leaves)]
+        weak = sum(worth(int(tree.left[n])) + worth(int(tree.right[n])) - worth(n) < setting["gamma"] - 1e-9 for n in ends)
+        return (*name, len(leaves) > 1, int(light), int(weak))
 
+    found = side_by_side(t.spark, [lambda n=n, p=p: judge(n, p) for n, p in all_settings().items()], 8)
+    return t.spark.createDataFrame(found, "family string, seed int, splits boolean, light_leaves int, weak_splits int")
+
+
+@query("S6_stored_cascade", "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken, 44 AS n_members FROM events")
+def stored_cascade(t: Tables):
+    """15 + 29 stored models in one pass over the rows, against the members' own predictions."""
+    df = hold(learn_rows(t))
+    rows = with_features(df, FEATURE_NAMES, ["event_id", "label"])
+    both, folder = two_stage_models(t, df), scratch(t.spark, "family")
+    first, second = save_models(both.first, f"{folder}/first"), save_models(both.second, f"{folder}/second")
+    fast = StoredCascade.load(t.spark, first, second, 5)
+    scored = both.score(fast.score(rows, "fast"), "slow")
+    return broken(scored, "fast = slow").withColumn("n_members", F.lit(len(fast.first) + len(fast.second)))

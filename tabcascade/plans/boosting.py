@@ -128,9 +128,12 @@ def begin(df: DataFrame, label: str, classes: int, params: Mapping, features: st
         F.monotonically_increasing_id().alias("_row"),
         F.array(*[F.lit(0.0)] * outputs).alias("_m"),
     )
+    told = rows.schema["_x"].metadata.get("ml_attr", {}).get("num_attrs")
     rows = cut_lineage(rows)
-    first = rows.select("_x").first()
-    return Growth(rows, classes, settings_of(params), len(first[0]) if first else 0)
+    if told is None:
+        first = rows.select("_x").first()
+        told = len(first[0]) if first else 0
+    return Growth(rows, classes, settings_of(params), told)
 
 
 def _sample(params: Mapping, number: int) -> Column:

@@ -7,25 +7,34 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator
 from pyspark.ml.base import Model
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabcascade.functions import binary_label, shift_label
 from tabcascade.operators.voting import with_vote
+from tabcascade.plans.ledger import Ledger, key_of, side_by_side
 from tabcascade.plans.models import FEATURES, add_prediction
 
 
-def fit_all(estimators: Sequence[Estimator], df: DataFrame) -> list[Model]:
-    return [e.fit(df) for e in estimators]
+def fit_all(estimators: Sequence[Estimator], df: DataFrame, parallelism: int = 4) -> list[Model]:
+    """All fits on the same rows, a few side by side."""
+    return side_by_side(df.sparkSession, [lambda e=e: e.fit(df) for e in estimators], parallelism)
 
 
 def seeded_bags(
     seeds: Sequence[int],
     resample: Callable[[int], DataFrame],
     build: Callable[[int], Estimator],
+    parallelism: int = 4,
+    ledger: Ledger | None = None,
+    name: str = "bag",
 ) -> list[Model]:
-    """One model per seed, each on its own resampled rows."""
-    return [build(seed).fit(resample(seed)) for seed in seeds]
+    """One model per seed, each on its own resampled rows; with a ledger they are stored and resumed."""
+    spark = SparkSession.active()
+    jobs = {key_of(name=name, seed=seed): (lambda seed=seed: build(seed).fit(resample(seed))) for seed in seeds}
+    if ledger is not None:
+        return list(ledger.models(jobs, parallelism).values())
+    return side_by_side(spark, list(jobs.values()), parallelism)
 
 
 def add_votes(models: Sequence, df: DataFrame, labels: Sequence[int], out: str, shift: int = 0,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import re
+import uuid
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
@@ -25,8 +25,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabcascade.plans.nodes import stored_split_counts
 from tabcascade.plans.params import tree_boost_params, tree_depth
-from tabcascade.session import cut_lineage, use_checkpoint_dir
+from tabcascade.session import cut_lineage, ensure_checkpoint_dir, use_checkpoint_dir
 
 FEATURES = "features"
 
@@ -41,7 +42,10 @@ def with_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str], na
 
 
 def boosted_trees(params: Mapping, label: str, classes: int = 2, features: str = FEATURES) -> Estimator:
-    """Boosted trees; more than two classes are fitted one against the rest."""
+    """Spark's boosted trees; more than two classes are fitted one against the rest.
+
+    :class:`boosting.GradientBoost` grows all classes together and knows all settings.
+    """
     spark = SparkSession.getActiveSession()
     if spark is not None:
         use_checkpoint_dir(spark)
@@ -206,10 +210,18 @@ def gain_importance(model, names: Sequence[str]) -> dict[str, float]:
 
 
 def split_importance(model, names: Sequence[str]) -> dict[str, int]:
-    """How many tree nodes split on a feature; unused features are absent."""
+    """How many tree nodes split on a feature; unused features are absent.
+
+    Counted by Spark in the node tables that the model's writer puts into the shared folder.
+    """
+    if hasattr(model, "split_counts"):
+        return model.split_counts(names)
+    spark = SparkSession.active()
     counts: Counter = Counter()
     for m in _members(model):
-        counts.update(int(i) for i in re.findall(r"If \(feature (\d+)", m.toDebugString))
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/nodes-{uuid.uuid4().hex}"
+        m.save(path)
+        counts.update(stored_split_counts(spark, path))
     return {names[i]: n for i, n in counts.items()}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -86,6 +87,21 @@ class Member:
         return np.argmax(self.scores(x), axis=1)
 
 
+def _told(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/metadata").first()[0])
+
+
+def tree_path(spark: SparkSession, path: str) -> str:
+    """The folder of the tree model itself; of a stored pipeline its only stage."""
+    told = _told(spark, path)
+    if not told["class"].endswith(".PipelineModel"):
+        return path
+    uids = told["paramMap"]["stageUids"]
+    if len(uids) != 1:
+        raise ValueError(f"{path}: a pipeline of {len(uids)} stages")
+    return f"{path}/stages/0_{uids[0]}"
+
+
 def node_rows(spark: SparkSession, path: str) -> DataFrame:
     """(tree, node, feature, threshold, left_child, right_child, prediction, stats) of a stored tree model."""
     rows = spark.read.parquet(f"{path}/data")
@@ -104,7 +120,8 @@ def stored_member(spark: SparkSession, path: str) -> Member:
     Its node table is as large as the model, which one driver fitted and every task holds when
     it scores; rows of data are not read.
     """
-    kind = spark.read.json(f"{path}/metadata").first()["class"].rsplit(".", 1)[1]
+    path = tree_path(spark, path)
+    kind = _told(spark, path)["class"].rsplit(".", 1)[1]
     nodes = node_rows(spark, path).toPandas().sort_values(["tree", "node"])
     if (nodes["categories"] >= 0).any():
         raise ValueError(f"{path}: splits over categories are not read")
@@ -132,7 +149,7 @@ def stored_member(spark: SparkSession, path: str) -> Member:
 
 def stored_split_counts(spark: SparkSession, path: str) -> dict[int, int]:
     """How many nodes of a stored model split on each feature, counted where the nodes lie."""
-    inner = node_rows(spark, path).where("left_child >= 0")
+    inner = node_rows(spark, tree_path(spark, path)).where("left_child >= 0")
     return {r["feature"]: r["count"] for r in inner.groupBy("feature").count().collect()}
 
 

@@ -6,16 +6,17 @@ import itertools
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabcascade.plans.ledger import Ledger, key_of, side_by_side
+
 Params = Mapping[str, object]
-Build = Callable[[Params], Estimator]
+#: From a setting; with ``with_rows`` from a setting and the number of training rows.
+Build = Callable[..., Estimator]
 
 
 def fold_numbers(df: DataFrame, fold: str) -> list[int]:
@@ -34,23 +35,38 @@ def fold_scores(
     fold: str,
     evaluator: Evaluator,
     folds: Sequence[int] | None = None,
-    parallelism: int = 2,
+    parallelism: int = 4,
+    ledger: Ledger | None = None,
+    name: str = "",
+    with_rows: bool = False,
 ) -> list[tuple[int, int, float]]:
     """(setting, fold, score) for each setting fitted without each fold.
 
-    A few fits run side by side so that the cluster stays busy while one of
-    them waits for its last tasks.
+    A few fits run side by side so that the cluster stays busy while one of them waits for its
+    last tasks. With a ledger, scores of an earlier run under the same ``name`` are taken over.
+    ``with_rows`` gives ``build`` the number of rows that a fit learns from.
     """
     folds = fold_numbers(df, fold) if folds is None else list(folds)
-
-    def one(job):
-        i, held_out = job
+    if not folds:
+        return []
+    sizes: dict[int, int] = {}
+    if with_rows:
+        per_fold = {r[0]: r[1] for r in df.where(F.col(fold).isNotNull()).groupBy(fold).count().collect()}
+        sizes = {f: sum(per_fold.values()) - per_fold.get(f, 0) for f in folds}
+
+    def one(i: int, held_out: int) -> float:
         train, validation = fold_split(df, fold, held_out)
-        return i, held_out, evaluator.evaluate(build(settings[i]).fit(train).transform(validation))
+        estimator = build(settings[i], sizes[held_out]) if with_rows else build(settings[i])
+        return evaluator.evaluate(estimator.fit(train).transform(validation))
 
     jobs = list(itertools.product(range(len(settings)), folds))
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return pool.map(one, jobs, chunksize=1)
+    if ledger is None:
+        scores = side_by_side(df.sparkSession, [lambda j=j: one(*j) for j in jobs], parallelism)
+    else:
+        keys = [key_of(name=name, setting=dict(settings[i]), fold=f) for i, f in jobs]
+        known = ledger.scored({k: (lambda j=j: one(*j)) for k, j in zip(keys, jobs, strict=True)}, parallelism)
+        scores = [known[k] for k in keys]
+    return [(i, f, s) for (i, f), s in zip(jobs, scores, strict=True)]
 
 
 def cross_validate(build: Build, params: Params, df: DataFrame, fold: str, evaluator: Evaluator, **how) -> list[float]:
@@ -119,6 +135,7 @@ class Stage:
     best: dict
     score: float
     accepted: bool
+    is_max: bool = True
 
 
 def staged_search(
@@ -143,7 +160,8 @@ def staged_search(
         taken = found.best_score >= score
         if taken:
             current, score = {**current, **found.best}, found.best_score
-        history.append(Stage(number, dict(found.best), found.best_score, taken))
+        top = found.best_score >= max(mean_scores(found.scores).values())
+        history.append(Stage(number, dict(found.best), found.best_score, taken, top))
     return current, history
 
 
@@ -167,81 +185,72 @@ def fixed(**options: Sequence) -> Callable[[Params], dict]:
     return lambda current: dict(options)
 
 
-# The seven steps of the five-class tuning.
-def seven_steps() -> list[Callable[[Params], dict]]:
-    half_steps = [-1.5, -1, -0.5, 0, 0.5, 1, 1.5]
+def rounded(values: Sequence[float], unit: float, least: int = 1) -> list[int]:
+    """Numbers of rounds in another unit, without repeats."""
+    return sorted({max(least, round(v / unit)) for v in values})
+
+
+def around_rounds(steps: Sequence[float], unit: float = 1) -> Callable[[Params], dict]:
+    return lambda current: {"n_estimators": rounded([current["n_estimators"] * unit + s for s in steps], unit)}
+
+
+# The steps of the five-class tuning, of the one after under- and over-sampling, and of the
+# first stage. ``unit`` is the number of rounds that count as one.
+def _common_steps(first: Callable[[Params], dict], second: Callable[[Params], dict]) -> list[Callable[[Params], dict]]:
     shares = [0.6, 0.7, 0.8, 0.9]
     return [
-        fixed(max_depth=[3, 5, 7, 9], min_child_weight=[1, 3, 5, 7]),
-        together(around("max_depth", [-1, 0, 1], 1), around("min_child_weight", half_steps, 0)),
+        first,
+        second,
         fixed(gamma=[0.0, 0.1, 0.2, 0.3, 0.4]),
         fixed(subsample=shares, colsample_bytree=shares),
         together(
             around("subsample", [-0.1, -0.05, 0, 0.05, 0.1], 0.05),
             around("colsample_bytree", [-0.1, -0.05, 0, 0.05, 0.1], 0.05),
         ),
-        fixed(learning_rate=[0.1, 0.01, 0.001], n_estimators=[200, 400, 600]),
-        around("n_estimators", list(range(-180, 190, 20)), 1),
     ]
 
 
-def refine(build: Build, base: Params, name: str, values: Sequence[float], df: DataFrame, fold: str,
-           evaluator: Evaluator, rounds: int = 2, factor: float = 3.0, **how) -> list[Search]:
-    """Search a scale, then again more narrowly around its best value."""
-    searches = []
-    for _ in range(rounds):
-        found = grid_search(build, base, [{name: v} for v in values], df, fold, evaluator, **how)
-        searches.append(found)
-        best = found.best[name]
-        values = [best / factor, best, best * factor]
-        factor = factor**0.5
-    return searches
+HALF_STEPS = [-1.5, -1, -0.5, 0, 0.5, 1, 1.5]
 
 
-# ---- boosting rounds ------------------------------------------------------------------------
+def _depth_and_weight() -> tuple[Callable[[Params], dict], Callable[[Params], dict]]:
+    wide = fixed(max_depth=[3, 5, 7, 9], min_child_weight=[1, 3, 5, 7])
+    return wide, together(around("max_depth", [-1, 0, 1], 1), around("min_child_weight", HALF_STEPS, 0))
 
 
-def loss_curves(estimator: GBTClassifier, df: DataFrame, fold: str, label: str, folds: Sequence[int] | None = None) -> list[list[float]]:
-    """Validation loss after each round, one curve per held-out fold.
-
-    Each fold is fitted once with all rounds; the curve comes from its own
-    prefix sums, not from refits.
-    """
-    folds = fold_numbers(df, fold) if folds is None else list(folds)
-    curves = []
-    for held_out in folds:
-        train, validation = fold_split(df, fold, held_out)
-        model = estimator.fit(train)
-        curves.append(list(model.evaluateEachIteration(validation.select(label, estimator.getFeaturesCol()))))
-    return curves
-
+def seven_steps(unit: float = 1) -> list[Callable[[Params], dict]]:
+    return [
+        *_common_steps(*_depth_and_weight()),
+        fixed(learning_rate=[0.1, 0.01, 0.001], n_estimators=rounded([200, 400, 600, 800, 1000], unit)),
+        around_rounds(list(range(-180, 190, 20)), unit),
+    ]
 
-def class_loss_curves(estimator: GBTClassifier, df: DataFrame, fold: str, label: str, classes: int) -> list[list[float]]:
-    """The same for several classes, one against the rest: curves of all folds and classes."""
-    folds, curves = fold_numbers(df, fold), []
-    for c in range(classes):
-        one = df.withColumn(label, (F.col(label) == c).cast("int"))
-        curves += loss_curves(estimator, one, fold, label, folds)
-    return curves
 
+def nine_steps(unit: float = 1) -> list[Callable[[Params], dict]]:
+    def alphas(current: Params) -> dict:
+        return {"reg_alpha": sorted({current["reg_alpha"] * f for f in (0.5, 1.0, 1.5, 2.0, 5.0, 10.0)})}
 
-def stop_round(curves: Sequence[Sequence[float]], patience: int = 50) -> int:
-    """Round with the lowest mean loss before ``patience`` rounds pass without a new low."""
-    length = min(len(c) for c in curves)
-    mean = [sum(c[i] for c in curves) / len(curves) for i in range(length)]
-    best = 0
-    for i, loss in enumerate(mean):
-        if loss < mean[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+    return [
+        *_common_steps(*_depth_and_weight()),
+        fixed(reg_alpha=[0.0, 1e-5, 1e-2, 0.1, 1.0, 100.0]),
+        alphas,
+        fixed(learning_rate=[0.1, 0.01, 0.001], n_estimators=rounded(range(100, 1000, 100), unit)),
+        around_rounds(list(range(-80, 90, 10)), unit),
+    ]
 
 
-def best_rounds(estimator: GBTClassifier, df: DataFrame, fold: str, label: str, patience: int = 50) -> int:
-    return stop_round(loss_curves(estimator, df, fold, label), patience)
+def first_stage_steps() -> list[Callable[[Params], dict]]:
+    return _common_steps(fixed(min_child_weight=[1]), around("min_child_weight", HALF_STEPS, 0))
 
 
-def rate_sweep(estimator: GBTClassifier, rates: Sequence[float], df: DataFrame, fold: str, label: str, patience: int = 50) -> dict[float, int]:
-    """Best number of rounds for each learning rate."""
-    return {r: best_rounds(estimator.copy({estimator.stepSize: r}), df, fold, label, patience) for r in rates}
+def refine(build: Build, base: Params, name: str, values: Sequence[float], df: DataFrame, fold: str,
+           evaluator: Evaluator, rounds: int = 2, factor: float = 3.0, **how) -> list[Search]:
+    """Search a scale, then again more narrowly around its best value."""
+    searches = []
+    for _ in range(rounds):
+        found = grid_search(build, base, [{name: v} for v in values], df, fold, evaluator, **how)
+        searches.append(found)
+        best = found.best[name]
+        values = [best / factor, best, best * factor]
+        factor = factor**0.5
+    return searches

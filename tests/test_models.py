@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tabcascade.operators.folds import stratified_folds
 from tabcascade.operators.metrics import ConfusionEvaluator
-from tabcascade.plans.ensembles import Cascade, add_votes, pseudo_label_first, pseudo_label_second, second_stage_rows
+from tabcascade.plans.ensembles import Cascade, add_votes, pseudo_label_first, pseudo_label_second, second_stage_rows, seeded_bags
+from tabcascade.plans.ledger import Ledger
 from tabcascade.plans.models import (
     add_prediction,
     boosted_trees,
@@ -22,7 +23,8 @@ from tabcascade.plans.models import (
     split_importance,
     with_features,
 )
-from tabcascade.plans.params import STANDARDISED_TUNING, START, registry, tree_boost_params
+from tabcascade.plans.params import NAMES as NAMES_OF_SETTINGS
+from tabcascade.plans.params import STANDARDISED_TUNING, START, all_settings, registry, tree_boost_params
 from tabcascade.plans.selection import eliminate
 from tabcascade.plans.tuning import (
     around,
@@ -31,9 +33,11 @@ from tabcascade.plans.tuning import (
     grid,
     grid_search,
     random_grid,
+    refine,
+    first_stage_steps,
+    nine_steps,
     seven_steps,
     staged_search,
-    stop_round,
 )
 from tabcascade.sources import load_models, save_models
 from tabcascade.sources.models import stored_params, unfitted
@@ -147,6 +151,50 @@ def test_grid_search_and_stages(packed, learnable):
     assert not history[1].accepted and best["depth"] >= 4
 
 
+def test_a_stopped_search_goes_on(spark, packed, learnable, tmp_path):
+    """The fifth fit fails; the next driver repeats only what is missing, with the same outcome."""
+    df = with_features(stratified_folds(learnable, "id", "label", 2), NAMES, ["label", "fold"]).cache()
+    points, fits, broken = grid({"depth": [1, 2, 3, 4]}), [], [True]
+
+    def build(p):
+        fits.append(p["depth"])
+        if broken[0] and len(fits) == 5:
+            raise RuntimeError("lost")
+        return random_forest("label", trees=2, depth=p["depth"], seed=1)
+
+    how = {"folds": [0, 1], "parallelism": 1, "name": "search"}
+    with pytest.raises(RuntimeError):
+        grid_search(build, {}, points, df, "fold", ConfusionEvaluator("accuracy"), ledger=Ledger(spark, f"{tmp_path}/l"), **how)
+    done = len(Ledger(spark, f"{tmp_path}/l").scores())
+    broken[0] = False
+    fits.clear()
+    found = grid_search(build, {}, points, df, "fold", ConfusionEvaluator("accuracy"), ledger=Ledger(spark, f"{tmp_path}/l"), **how)
+    assert 4 <= done < 8 and len(fits) == 8 - done
+    assert found.scores == grid_search(build, {}, points, df, "fold", ConfusionEvaluator("accuracy"), **how).scores
+    assert found.best == {"depth": 4} or found.best_score >= max(s for _, _, s in found.scores) - 0.2
+
+
+def test_bags_are_stored_and_resumed(spark, packed, tmp_path):
+    fits = []
+
+    def build(seed):
+        fits.append(seed)
+        return random_forest("label", trees=1, depth=3, seed=seed)
+
+    for _ in range(2):
+        models = seeded_bags(range(3), lambda seed: packed, build, ledger=Ledger(spark, str(tmp_path)))
+    assert sorted(fits) == [0, 1, 2] and len(models) == 3
+    assert accuracy(add_votes(models, packed, [0, 1, 2], "v"), "v") > 0.6
+
+
+def test_penalty_counts_the_training_rows(spark, learnable):
+    df = with_features(stratified_folds(learnable, "id", "label", 3), NAMES, ["label", "fold"]).cache()
+    seen = []
+    build = lambda p, n: seen.append(n) or logistic("label", n, p["c"], classes=3, max_iter=2)
+    refine(build, {}, "c", [1.0], df, "fold", ConfusionEvaluator("accuracy"), rounds=1, with_rows=True)
+    assert sorted(seen) == [400, 400, 400]
+
+
 def test_elimination_drops_the_noise(learnable):
     df = stratified_folds(learnable, "id", "label", 2).cache()
     out = eliminate(lambda: random_forest("label", 3, 4, 1), df, NAMES, "label", "fold", ConfusionEvaluator("accuracy"))
@@ -154,13 +202,6 @@ def test_elimination_drops_the_noise(learnable):
     assert sorted(out.selected()) == ["a", "b"]
 
 
-def test_stop_round():
-    falling = [1.0, 0.8, 0.7, 0.75, 0.76, 0.5]
-    assert stop_round([falling], patience=2) == 3
-    assert stop_round([falling], patience=50) == 6
-    assert stop_round([[1.0, 0.5], [0.2, 0.8]]) == 1
-
-
 def test_grids():
     assert grid({"a": [1, 2], "b": [3, 4]})[1] == {"a": 1, "b": 4}
     points = random_grid({"a": range(10), "b": range(10)}, 30, seed=1)
@@ -170,16 +211,23 @@ def test_grids():
     assert len(steps) == 7
     assert steps[1]({"max_depth": 5, "min_child_weight": 1.0})["min_child_weight"] == [0.0, 0.5, 1.0, 1.5, 2.0, 2.5]
     assert len(steps[6]({"n_estimators": 200})["n_estimators"]) == 19
+    assert [len(grid(s({"max_depth": 5, "min_child_weight": 3, "subsample": 0.8, "colsample_bytree": 0.8, "n_estimators": 400}))) for s in steps] == [16, 21, 5, 16, 25, 15, 19]
+    assert seven_steps(200)[5]({})["n_estimators"] == [1, 2, 3, 4, 5] and seven_steps(200)[6]({"n_estimators": 2})["n_estimators"] == [1, 2, 3]
+    nine = nine_steps()
+    assert len(nine) == 9 and nine[6]({"reg_alpha": 0.1})["reg_alpha"] == pytest.approx([0.05, 0.1, 0.15, 0.2, 0.5, 1.0]) and nine[6]({"reg_alpha": 0.0}) == {"reg_alpha": [0.0]}
+    assert len(nine[7]({})["n_estimators"]) == 9 and len(nine[8]({"n_estimators": 300})["n_estimators"]) == 17
+    assert len(first_stage_steps()) == 5
 
 
 def test_params():
     known = registry(STANDARDISED_TUNING)
     known[110]["max_depth"] = 99
     assert registry(STANDARDISED_TUNING)[110]["max_depth"] == 6
-    spark_names = tree_boost_params(registry()[1126])
-    assert spark_names["stepSize"] == 0.01 and spark_names["maxIter"] == 240 and spark_names["minInstancesPerNode"] == 6
-    with pytest.raises(ValueError):
-        tree_boost_params({"in_child_weight": 4})
+    assert len(all_settings()) == 18 and all(set(p) <= set(NAMES_OF_SETTINGS) for p in all_settings().values())
+    assert tree_boost_params({"learning_rate": 0.01, "n_estimators": 240, "min_child_weight": 1}) == {"stepSize": 0.01, "maxIter": 240}
+    for wrong in ({"in_child_weight": 4}, {"gamma": 0.3}, {"min_child_weight": 5.5}, {"reg_alpha": 10.0}):
+        with pytest.raises(ValueError):
+            tree_boost_params(wrong)
     assert GBTClassifier(**tree_boost_params(START)).getMaxDepth() == 5
 
 
