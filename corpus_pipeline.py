@@ -39,18 +39,27 @@ def _without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFr
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts, trained as in its query on these documents' labels."""
+    """Documents that the classifier accepts, trained as in its query on these documents' labels.
+
+    Null texts are scored as empty ones. Rows of one id and text share their score, so all of them
+    stay or go.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.learn_from(4, 2))
-    return quality.accepted_rows(docs, model)
+    gone = quality.score(docs, model).where("predicted = 0").select("doc_id", "row_hash").distinct()
+    return _without(docs, shared(gone, "rejected"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose texts are equal but for spaces."""
+    """One document of each group whose texts are equal but for spaces; null texts are empty ones."""
     return _kept(docs, exact_dedup.deduplicate(docs))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of documents linked by shingles of five words."""
+    """The smallest doc_id of each component of documents linked by shingles of five words.
+
+    Documents without words, or with null text, are alone and stay; a component without any id
+    stays whole.
+    """
     found = jaccard.join_components(docs, width=5, percent=80)
     first = F.row_number().over(Window.partitionBy("component_id", "doc_id").orderBy("row_hash"))
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
@@ -58,7 +67,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, shared(found.select("doc_id", "row_hash").distinct(), "leaks"))
 
