@@ -146,14 +146,18 @@ class Items:
         marks = {}
         for g, known in lookup.items():
             bits = min(26, max(16, (64 * len(known)).bit_length()))
-            marks[g] = np.zeros(1 << bits, bool)
-            marks[g][np.fromiter((v >> (64 - bits) for v in known), np.int64, len(known))] = True
+            flags = np.zeros(1 << bits, bool)
+            flags[np.fromiter((v >> (64 - bits) for v in known), np.int64, len(known))] = True
+            marks[g] = np.packbits(flags, bitorder="little")  # 8 MB at most
         need = [runs_kept(len(c), e, run_length(len(c), e)) for c, e in zip(codes, edits, strict=True)]
         sizes = np.array([len(c) for c in codes], np.int64)
-        rows = np.zeros((len(codes), int(sizes.max()) if len(codes) else 1), np.uint64)
-        for k, c in enumerate(codes):
-            rows[k, : len(c)] = c
-        return cls(ids, codes, edits, sampled_keys(rows, sizes, sizes), lookup, marks, need)
+        keys = np.empty((len(codes), WALKS * TABLES), np.uint64)
+        for some in _alike(sizes):
+            rows = np.zeros((len(some), int(sizes[some].max())), np.uint64)
+            for k, at in enumerate(some.tolist()):
+                rows[k, : sizes[at]] = codes[at]
+            keys[some] = sampled_keys(rows, sizes[some], sizes[some])
+        return cls(ids, codes, edits, keys, lookup, marks, need)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits): the best window of each item found in a text."""
@@ -166,8 +170,8 @@ class Items:
         for g, known in self.lookup.items():
             values = grams(codes, g)
             marks = self.marks[g]
-            shift = np.uint64(64 - (len(marks).bit_length() - 1))
-            hits = np.flatnonzero(marks[(values >> shift).astype(np.int64)])
+            place = values >> np.uint64(64 - (8 * len(marks)).bit_length() + 1)
+            hits = np.flatnonzero(marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
             docs = np.searchsorted(begin, hits, "right") - 1
             for p, d, value in zip(hits.tolist(), docs.tolist(), values[hits].tolist(), strict=True):
                 for item, offset in known.get(value, ()):
@@ -180,12 +184,15 @@ class Items:
             dense = self._dense(item, sorted(near))
             windows += [(d, item, s) for s in sorted({max(low, s) for p in dense for s in range(p - e, p + e + 1) if s < high})]
         found = []
-        for part in (windows[k : k + 20_000] for k in range(0, len(windows), 20_000)):
-            found += self._verify(codes, begin, counts, part)
+        # long items by themselves; the windows of one text and item stay together
+        windows.sort(key=lambda w: (len(self.codes[w[1]]), w))
+        sizes = np.array([len(self.codes[w[1]]) for w in windows], np.int64)
+        for part in _alike(sizes, np.array([w[:2] for w in windows], np.int64).reshape(-1, 2)):
+            found += self._verify(codes, begin, counts, [windows[k] for k in part.tolist()])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for d, item, edits, start, n in found:
             best[d, item] = min(best.get((d, item), (edits, start, n)), (edits, start, n))
-        return sorted((d, self.ids[item], start, n, edits) for (d, item), (edits, start, n) in best.items())
+        return [(d, self.ids[item], start, n, edits) for (d, item), (edits, start, n) in sorted(best.items())]
 
     def _dense(self, item: int, near: list[int]) -> set[int]:
         """The starts with enough shared runs around them: those of one window lie within
@@ -216,19 +223,36 @@ class Items:
                 k += 1
                 last = hits[k]
             k += 1
-            low, high = int(start[first]), min(int(begin[t] + counts[t]), int(start[last]) + n + e)
+            # the item may begin up to ``e`` words before the first window that shares a key
+            low, high = max(int(begin[t]), int(start[first]) - e), min(int(begin[t] + counts[t]), int(start[last]) + n + e)
             edits, at, n_words = closest(self.codes[i], codes[low:high])
             if edits <= e:
                 out.append((t, i, edits, low + at - int(begin[t]), n_words))
         return out
 
 
+def _alike(sizes: np.ndarray, group: np.ndarray | None = None, cells: int = 1 << 22) -> list[np.ndarray]:
+    """Rows in order of size, in parts whose matrix has about ``cells`` cells; equal rows of
+    ``group`` that lie together are not parted."""
+    order = np.argsort(sizes, kind="stable")
+    parts, start = [], 0
+    while start < len(order):
+        stop = start + 1
+        while stop < len(order) and (stop - start + 1) * int(sizes[order[stop]]) <= cells:
+            stop += 1
+        while group is not None and stop < len(order) and (group[order[stop]] == group[order[stop - 1]]).all():
+            stop += 1
+        parts.append(order[start:stop])
+        start = stop
+    return parts
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int = BLOCK_ITEMS):
     """The items in blocks of bounded size, one after the other."""
-    items = text_rows(benchmark, id_col, text_col).where("doc_id IS NOT NULL")
+    items = text_rows(benchmark, id_col, text_col)
     parts = max(1, -(-items.count() // block))
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts).cast("long")) == k).orderBy("doc_id", "text").collect()
+        rows = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts).cast("long")) == k).orderBy("doc_id", "text").collect()
         if rows:
             yield [(r.doc_id, bytes(r.text)) for r in rows]
 
@@ -239,7 +263,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT,
     A document holds an item when some run of its words is at most ``percent`` in a hundred of
     the item's words away from it, in word edits; the best window found is reported, the first of
     equals. Words are lower-cased and freed of punctuation. Null and empty texts hold nothing,
-    items without words or without id are never found. Repeated rows are searched each for
+    items without words are never found; an item without id is found under a null id, each such
+    row for itself. Repeated rows are searched each for
     itself; ``row_hash`` is the xxhash64 of the text. The search is whole-text; recall is that of
     the sampled keys.
     """

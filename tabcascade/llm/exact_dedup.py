@@ -142,9 +142,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = shared(repeated_fingerprints(digests, digests.count()), "repeated")
     suspects = digests.join(small_enough(repeated.select("fp"), repeated.count(), 16), "fp")
     suspects = shared(suspects, "suspects")
-    ids = suspects.select("doc_id").distinct()
-    # Byte verification: only texts of suspects travel, and equal ones meet as bytes.
-    texts = rows.join(small_enough(ids, suspects.count(), 16), rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    # Byte verification: only texts of suspects travel, and equal ones meet as bytes. Rows without id
+    # are told apart by their text's hash, so that they neither meet in one task nor are all drawn in.
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("row_hash")).alias("unnamed")
+    ids = suspects.select(F.col("doc_id").alias("id"), unnamed).distinct()
+    own = F.when(rows["doc_id"].isNull(), F.xxhash64("text"))
+    texts = rows.join(small_enough(ids, suspects.count(), 24), rows["doc_id"].eqNullSafe(ids["id"]) & own.eqNullSafe(ids["unnamed"]), "left_semi")
     bare = F.regexp_replace(F.col("text").cast("string"), "[\\x20\\x09-\\x0D]+", "")
     named = texts.select("doc_id", F.length(F.col("text").cast("string")).alias("n"), bare.alias("bare"))
     classes = (

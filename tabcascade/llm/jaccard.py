@@ -9,7 +9,7 @@ sketch and then verified on the shingles themselves.
 
 Copies are one class. Sets that meet in a block form a group around its first class; a group is
 compared in parts of bounded size, which return a spanning forest and not all pairs. Two like sets
-meet in many groups, so the groups compare sketches only. Their forests join the sets into
+meet in many groups, so the groups compare sketches only. What is near by them joins the sets into
 components of which no link leaves any, and the shingles travel once for each component. There
 the links are verified, again as a spanning forest. Components of the forests are those of all
 links.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabcascade.llm.common import components, mix, shared, shingles, small_enough, text_hash, text_rows
 
 GROUP_CLASSES = 20_000
+SMALL_PART = 64
 BLOCK_SHINGLES = 1_500_000
 SKETCH_WORDS = 64
 _SEED = 0xA24BAED4963EE407
@@ -193,20 +194,108 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+class _Members:
+    """Rows (g, i, j, cls, n, sketch) of whole parts, as flat arrays; sketches are runs of words."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.g, self.i, self.j, self.cls, self.n = (np.asarray(table.column(k)) for k in range(5))
+        raw = table.column(5).to_pylist()
+        self.words = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+        self.begin = np.cumsum(self.words) - self.words
+        self.bits = np.frombuffer(b"".join(raw), np.uint64)
+        new = np.ones(len(self.g), bool)
+        new[1:] = (self.g[1:] != self.g[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.starts, len(self.g)))
+        self.part = np.cumsum(new) - 1
+
+    def near(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether sizes and sketches of the rows ``a`` and ``b`` allow a link, pair by pair."""
+        low, high = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        out = low * 100 >= high * percent
+        at = np.flatnonzero(out)
+        kind = self.words[a[at]] * 1000 + self.words[b[at]]
+        for k in np.unique(kind).tolist():
+            some = at[kind == k]
+            x, y = (self._folded(rows[some], words, min(divmod(k, 1000))) for rows, words in ((a, k // 1000), (b, k % 1000)))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            out[some] = differ <= max_difference(self.n[a[some]] + self.n[b[some]], percent)
+        return out
+
+    def _folded(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        found = self.bits[self.begin[rows][:, None] + np.arange(words)]
+        return found if words == to else np.bitwise_xor.reduce(found.reshape(len(rows), -1, to), axis=1)
+
+    def sketch(self, row: int) -> np.ndarray:
+        return self.bits[self.begin[row] : self.begin[row] + self.words[row]]
+
+
+def _near_in(rows: _Members, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one part whose sketches allow a link; where many do, enough to connect them.
+
+    A part that is a whole group has its first class among the rows. All others are compared with
+    it at once. Of the pairs without it, those of two rows near it need no comparison; the rest is
+    compared pair by pair in small parts, and by growing trees in large ones.
+    """
+    lead = np.full(len(rows.starts), -1)
+    own = np.flatnonzero((rows.cls == rows.g) & (rows.i == rows.j))
+    lead[rows.part[own]] = own
+    mine = lead[rows.part]
+    others = np.flatnonzero((mine >= 0) & (mine != np.arange(len(mine))))
+    close = rows.near(mine[others], others, percent)
+    out = [(mine[others[close]], others[close])]
+    far = others[~close]
+    far_count = np.bincount(rows.part[far], minlength=len(rows.starts))
+    open_ = np.flatnonzero((rows.sizes > 2) & (far_count > 0) | (lead < 0) & (rows.sizes > 1))
+    small = open_[(rows.sizes[open_] <= SMALL_PART) & (lead[open_] >= 0)]
+    # each far row with every other row but the first class; two far rows once
+    far = far[np.isin(rows.part[far], small)]
+    width = rows.sizes[rows.part[far]]
+    for at in np.array_split(np.arange(len(far)), max(1, int(width.sum()) // 1_000_000)):
+        a = np.repeat(far[at], width[at])
+        b = np.repeat(rows.starts[rows.part[far[at]]], width[at]) + np.arange(len(a)) - np.repeat(np.cumsum(width[at]) - width[at], width[at])
+        is_far = np.zeros(len(mine), bool)
+        is_far[far] = True
+        keep = (b != mine[b]) & (~is_far[b] | (b > a))
+        a, b = a[keep], b[keep]
+        close = rows.near(a, b, percent)
+        out.append((a[close], b[close]))
+    for part in np.setdiff1d(open_, small).tolist():
+        start, size = int(rows.starts[part]), int(rows.sizes[part])
+        sketches = stacked([rows.sketch(start + k) for k in range(size)])
+        found = _forest(sketches, rows.n[start : start + size], percent)
+        if found:
+            a, b = np.array(found).T
+            out.append((start + a, start + b))
+    return out
+
+
 def _near_pairs(percent: int):
-    """Of a part of a group, a spanning forest of the pairs whose sketches allow a link."""
+    """Pairs of classes of a group whose sketches allow a link, a batch at a time."""
+
+    def pairs(rows: _Members):
+        found = _near_in(rows, percent)
+        a = rows.cls[np.concatenate([x for x, _ in found])]
+        b = rows.cls[np.concatenate([x for _, x in found])]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches):
-        out = []
-        for rows in _runs(batches, 3):
-            sketches = stacked([np.frombuffer(r[5], np.uint64) for r in rows])
-            found = _forest(sketches, np.array([r[4] for r in rows], np.int64), percent)
-            out += [(rows[a][3], rows[b][3]) for a, b in found]
-            if len(out) > 100_000:
-                yield _pairs(list(dict.fromkeys(out)))
-                out = []
-        if out:
-            yield _pairs(list(dict.fromkeys(out)))
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            last = [np.asarray(table.column(k))[-1] for k in range(3)]
+            same = np.logical_and.reduce([np.asarray(table.column(k)) == v for k, v in enumerate(last)])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            held = table.slice(cut)
+            if cut:
+                yield pairs(_Members(table.slice(0, cut)))
+        if held is not None:
+            yield pairs(_Members(held))
 
     return run
 
@@ -259,9 +348,9 @@ def link_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
     near = parts.repartition(*part).sortWithinPartitions(*part, "cls").mapInArrow(_near_pairs(percent), "a long, b long")
     close = shared(components(near).select(F.col("root").alias("g"), F.col("node").alias("cls")), "close")
     # Only now the shingles themselves, of the classes that may have a partner.
-    reps = sets.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(close.select("cls"), "cls", "left_semi")
-    reps = shared(reps.select("doc_id").distinct(), "reps")
-    texts = rows.join(small_enough(reps, reps.count(), 16), rows["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi")
+    reps = sets.where("n_shingles > 0").groupBy("cls").agg(F.min("row_hash").alias("row_hash")).join(close.select("cls"), "cls", "left_semi")
+    reps = shared(reps.select("row_hash").distinct(), "reps")
+    texts = rows.join(small_enough(reps, reps.count(), 16), F.xxhash64("text") == reps["row_hash"], "left_semi")
     class_sets = texts.mapInArrow(_class_sets(width), "cls long, items binary")
     full = _in_parts(close.join(sketches.select("cls", "n"), "cls"), F.col("n"), BLOCK_SHINGLES).join(class_sets, "cls").select(*part, "cls", "items")
     links = full.repartition(*part).sortWithinPartitions(*part, "cls").mapInArrow(_links(percent), "a long, b long")

@@ -29,7 +29,7 @@ ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 SIZE = len(ALPHABET)
 _CODE = np.full(256, SIZE, np.uint8)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(SIZE)
-MIN_RUN = 20
+MIN_RUN = 12  # a shorter run of random letters and digits does not reach MIN_TOTAL
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 # Natural logarithms: a prior against random strings, and the least gain per transition.
 MIN_TOTAL, MIN_MEAN = 14.0, 0.7

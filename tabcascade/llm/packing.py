@@ -8,78 +8,111 @@ a bin more than packing everything at once.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import shared, text_rows
+from tabcascade.llm.byte_tokens import byte_letters
+from tabcascade.llm.common import chunks, shared, text_rows
+from tabcascade.llm.piece_table import PieceTable, Recent, padded
 
 MAX_TOKENS = 2048
 SEPARATOR = 0
 GROUP_PIECES = 20_000
-MEMO_CHUNKS = 100_000
+MEMO_RUNS = 50_000
+#: Bytes of text that are tokenized at once.
+SLICE = 1 << 18
+# The normaliser and the way of cutting under which texts are cut at spaces.
+_NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # A chunk of these letters with trailing marks is one run of letters and one run of marks for
 # the tokenizer, has no other composed form and one lower case.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@]*)")
 
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+class ChunkTokens:
+    """Ids of texts under a tokenizer of the tokenizers library.
 
-
-class ChunkTokens(dict):
-    """UTF-8 chunk without spaces -> its ids as little-endian bytes.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks'
-    ids one after the other. Chunks of plain letters go straight to the merges; any other chunk
-    goes through the whole tokenizer. The first chunks seen are remembered, up to a limit.
+    Under the normaliser and cuts named above white space is dropped and nothing joins across it,
+    so a text's ids are its chunks' ids one after the other, and each chunk is encoded once.
+    Chunks of plain letters go straight to the merges; any other chunk, and every text under
+    another tokenizer, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
-        self.cores: dict[str, bytes] = {}
-
-    def run(self, word: str) -> bytes:
-        found = self.cores.get(word)
-        if found is None:
-            mapped = "".join(map(self.letters.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.cores) < MEMO_CHUNKS:
-                self.cores[word] = found
-        return found
-
-    def __missing__(self, chunk: bytes) -> bytes:
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.by_chunk = told["normalizer"] == _NORMALISED and told["pre_tokenizer"] == _CUT and told["model"]["type"] == "BPE" and not told["model"]["dropout"]
+        self.letters = dict(enumerate(byte_letters()))
+        self.runs = Recent(self._run, MEMO_RUNS)
+        self.chunks = PieceTable(self._chunk, limit=300_000)
+
+    def _run(self, run: str) -> bytes:
+        mapped = run.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         plain = _PLAIN.fullmatch(text)
         if plain:
-            ids = self.run(plain[1].lower()) + (self.run(plain[2]) if plain[2] else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < MEMO_CHUNKS:
-            self[chunk] = ids
-        return ids
+            return self.runs[plain[1].lower()] + (self.runs[plain[2]] if plain[2] else b"")
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text)."""
+        parts = [self._slice(part) for part in chunks(texts, len, SLICE)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_chunk:
+            found = [self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+            return np.array([k for ids in found for k in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+        buffer, bounds = padded(texts)
+        own = buffer[: bounds[-1]]
+        inside = (own != 32) & (own != 10)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        begins = bounds[:-1][np.diff(bounds) > 0]
+        first[begins] = inside[begins]
+        starts = np.flatnonzero(first)
+        gaps = np.append(np.flatnonzero(~inside), len(own))
+        ends = np.minimum(gaps[np.searchsorted(gaps, starts)], bounds[np.searchsorted(bounds, starts, "right")] if len(starts) else 0)
+        ids, counts = self.chunks.ids(buffer, starts, ends - starts)
+        before = np.append(0, np.cumsum(counts, dtype=np.int64))
+        return ids, np.diff(before[np.searchsorted(starts, bounds)])
 
 
 _loaded: dict[str, ChunkTokens] = {}
 
 
-def token_bytes(text: bytes, path: str) -> bytes:
-    """Ids of a UTF-8 text as little-endian unsigned 32-bit numbers, without special tokens."""
+def loaded(path: str) -> ChunkTokens:
+    """The encoder of this worker; only the last one is kept."""
     if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _loaded.clear()
         _loaded[path] = ChunkTokens(path)
-    return b"".join(map(_loaded[path].__getitem__, text.replace(b"\n", b" ").split(b" ")))
+    return _loaded[path]
+
+
+def token_bytes(text: bytes, path: str) -> bytes:
+    """Ids of a UTF-8 text as little-endian unsigned 32-bit numbers, without special tokens."""
+    return loaded(path).encode([text])[0].astype("<u4").tobytes()
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -97,11 +130,15 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = token_bytes(text, tokenizer_path) + end
-                for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at : at + 4 * max_tokens]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for some in chunks(rows, lambda r: len(r[1]), 4 << 20):
+                flat, counts = loaded(tokenizer_path).encode([t for _, t in some])
+                raw, ends = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+                for (doc, _), a, b in zip(some, (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
+                    ids = raw[a:b] + end
+                    for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
+                        part = ids[at : at + 4 * max_tokens]
+                        out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             cols = list(zip(*out, strict=True)) or [()] * 6
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())] + [pa.array(cols[i], pa.int64()) for i in (2, 3, 4)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -136,21 +173,21 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, attempts: int = 20) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty bins by moving and exchanging documents between bins that are not full.
 
     From the least filled bin, a document moves to a bin with room, or is exchanged for one or
     two smaller ones of another bin that then fits. Each step takes from a bin what a fuller or
-    equally useful one gains, so the sum of squared fills rises and the search ends. It stops at
-    the lower bound or after ``attempts`` bins in a row that could not be emptied.
+    equally useful one gains, so the sum of squared fills rises and the search ends. Every bin that
+    is not full is tried, until the lower bound is reached.
     """
     size = lengths.astype(int).tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-    alive, failed = len(bins), 0
+    alive = len(bins)
     for donor in open_bins:
-        if alive <= least or failed >= attempts:
+        if alive <= least:
             break
         if not bins[donor]:
             continue
@@ -163,7 +200,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, atte
                 if _step(item, donor, targets, bins, fill, size, capacity):
                     moved = True
                     break
-        alive, failed = (alive - 1, 0) if not bins[donor] else (alive, failed + 1)
+        alive -= not bins[donor]
     return [b for b in bins if b]
 
 
@@ -229,7 +266,9 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, group_pieces: int = GROU
             offset[members] = np.cumsum(n) - n
         return rows.drop_columns("part").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups).cast("long")))
+    # the row number spreads pieces without id or with the same one; the table is written, so it holds
+    own = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("part", F.pmod(own, F.lit(groups).cast("long")))
     schema = f"{PIECES}, sequence_id long, offset long"
     return dealt.groupBy("part").applyInArrow(run, schema)
 

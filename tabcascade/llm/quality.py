@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import buckets, text_rows
+from tabcascade.llm.common import buckets, text_hash, text_rows
 
 CLASSES = 2048
 DIM = 48
@@ -214,10 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda c: F.lit(True), sample:
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) of each row; null and empty texts are scored as no tokens.
+    """(doc_id, score, row_hash, predicted) of each row; null and empty texts are scored as no tokens.
 
     ``score`` is the calibrated probability of quality 1, ``predicted`` is 1 where it is at least
     ``threshold``. Repeated rows are scored each for itself, an empty table gives no rows.
+    ``row_hash`` is the xxhash64 of the whole text.
     """
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -228,27 +229,13 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id
             if not texts:
                 continue
             p = m.probability(np.stack([pooled(t, m.vectors) for t in texts]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
+            hashes = pa.array([text_hash(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), hashes], ["doc_id", "score", "row_hash"])
 
-    scored = text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    scored = text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, row_hash long")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def accepted_rows(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = sent.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            if texts:
-                p = m.probability(np.stack([pooled((t or "").encode(), m.vectors) for t in texts]))
-                yield batch.filter(pa.array(p >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def learn_from(mod: int, remainder: int):
     """Ids whose crc32 of their text, modulo ``mod``, is not ``remainder``."""
     return lambda c: buckets(c, mod) != remainder
