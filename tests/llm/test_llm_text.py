@@ -148,7 +148,7 @@ def test_local_search_improves_on_best_fit():
     for _ in range(50):
         sizes = rng.integers(20, 60, 60)
         first = [[i] for i in range(60)]
-        after = packing.local_search(first, sizes, 100, attempts=60)
+        after = packing.local_search(first, sizes, 100)
         assert sorted(i for b in after for i in b) == list(range(60)) and all(sizes[b].sum() <= 100 for b in after)
         best = packing.best_fit(sizes, 100)
         searched = packing.local_search([list(b) for b in best], sizes, 100)
