@@ -15,7 +15,7 @@ from tabcascade.operators.prepare import apply_scaling, fit_standard
 from tabcascade.operators.relational import append_rows, split_by_label
 from tabcascade.operators.sampling import (
     balanced_bag,
-    class_weights,
+    class_weight_table,
     over_sample,
     top_up,
     with_class_weight,
@@ -212,7 +212,7 @@ def boosted_classes(t: Tables):
 
 
 def weighted(rows: DataFrame) -> DataFrame:
-    return hold(with_class_weight(rows, "label", class_weights(rows, "label")))
+    return hold(with_class_weight(rows, "label", class_weight_table(rows, "label")))
 
 
 def scaled_rows(t: Tables) -> DataFrame:

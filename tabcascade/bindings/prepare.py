@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabcascade.bindings.base import ORDERS_SQL, Tables, orders, query
@@ -11,6 +12,8 @@ from tabcascade.operators.prepare import (
     apply_one_hot,
     apply_scaling,
     fit_fill,
+    encode_levels,
+    fit_level_table,
     fit_levels,
     fit_min_max,
     fit_standard,
@@ -79,6 +82,24 @@ def one_hot(t: Tables):
     return apply_one_hot(df, levels).drop("o_custkey", "price", "visits", "is_train")
 
 
+WIDE = "(SELECT *, CAST(o_custkey AS VARCHAR) AS buyer FROM " + ORDERS_SQL + ")"
+
+
+@query(
+    "F6_sparse_levels",
+    f"""SELECT priority, COUNT(*) AS n, COUNT(DISTINCT CASE WHEN known THEN buyer ELSE '' END) AS n_codes,
+      CAST(sum(CASE WHEN priority IS NULL THEN 0 ELSE 1 END + CASE WHEN known THEN 1 ELSE 0 END) AS BIGINT) AS n_set
+    FROM (SELECT *, buyer IN (SELECT buyer FROM {WIDE} WHERE {TRAIN}) AS known FROM {WIDE}) GROUP BY priority""",
+)
+def sparse_levels(t: Tables):
+    """A column with a level for each buyer beside a narrow one: distinct codes and set places per priority."""
+    df = orders(t).withColumn("buyer", F.col("o_custkey").cast("string"))
+    levels = fit_level_table(df.filter(TRAIN), ["priority", "buyer"], leaf_rows=50)
+    coded = encode_levels(df.select("o_orderkey", "priority", "buyer"), levels, row_key="o_orderkey").withColumn("flags", vector_to_array("encoded"))
+    ones = F.aggregate("flags", F.lit(0.0), lambda a, x: a + x)
+    return coded.groupBy("priority").agg(F.count("*").alias("n"), F.countDistinct("flags").alias("n_codes"), F.sum(ones.cast("long")).alias("n_set"))
+
+
 @query(
     "F7_z_score",
     f"""SELECT o_orderkey, round((price - m1) / s1, 6) AS price, round((visits - m2) / s2, 6) AS visits FROM {ORDERS_SQL},

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabcascade.bindings.base import EVENTS_SQL, Tables, events, query, seeded_sql
+from tabcascade.bindings.base import EVENTS_SQL, Tables, events, query, seeded_sql, sub
 from tabcascade.operators.folds import group_folds, stratified_folds
 from tabcascade.operators.sampling import (
     balanced_bag,
-    class_weights,
+    class_weight_table,
     keep_exactly,
     over_sample,
     stratified_fraction,
@@ -140,7 +140,7 @@ def third(t: Tables):
 )
 def weights(t: Tables):
     df = pairs(t)
-    return with_class_weight(df, "label", class_weights(df, "label")).withColumn("weight", F.round("weight", 6))
+    return with_class_weight(df, "label", class_weight_table(df, "label")).withColumn("weight", F.round("weight", 6))
 
 
 # ---- folds --------------------------------------------------------------------------------------
@@ -172,13 +172,27 @@ def folds_shuffled(t: Tables):
 
 
 def group_folds_sql(rows: str, group: str, k: int = 5) -> str:
-    """Light groups only: running row count per class against each k-th of the class."""
-    tests = " + ".join(f"CASE WHEN before >= n * {i} / {k} THEN 1 ELSE 0 END" for i in range(1, k))
-    return f"""WITH e AS {rows},
-    g AS (SELECT {group}, arg_min(label, (-n, label)) AS label, SUM(n) AS w FROM (SELECT {group}, label, COUNT(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1),
-    r AS (SELECT {group}, SUM(w) OVER (PARTITION BY label) AS n,
-      SUM(w) OVER (PARTITION BY label ORDER BY {seeded_sql(0, group)}, {group}) - w AS before FROM g),
-    f AS (SELECT {group}, CAST({tests} AS INT) AS fold FROM r)"""
+    """Heaviest groups first, groups of one weight dealt in turn from the emptiest fold on, class by class."""
+    code = seeded_sql(0, group)
+    turn = f"coalesce(('0x' || substr(md5(CAST(label AS VARCHAR)), 1, 8))::BIGINT % {k}, 0)"
+    deal = (
+        f"list_transform(list_sort(list_transform(range({k}), lambda i: {{'load': loads[i + 1], 'turn': (i - turn + {k}) % {k}, 'i': i}})), lambda x: x.i)"
+    )
+    return f"""WITH RECURSIVE e AS {rows},
+    g AS (SELECT {code} AS code, arg_min(label, (-n, label)) AS label, SUM(n) AS w FROM (SELECT {group}, label, COUNT(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1),
+    h AS (SELECT label, w, COUNT(*) AS c, row_number() OVER (PARTITION BY label ORDER BY w DESC) AS step FROM g GROUP BY label, w),
+    d AS (
+      SELECT DISTINCT label, CAST(0 AS BIGINT) AS step, CAST(0 AS HUGEINT) AS w, list_transform(range({k}), lambda i: CAST(0 AS HUGEINT)) AS loads, CAST([] AS BIGINT[]) AS deal, {turn} AS turn FROM h
+      UNION ALL
+      SELECT label, step, w, list_transform(range({k}), lambda i: loads[i + 1] + (c // {k}) * w + CASE WHEN list_position(deal, i) <= c % {k} THEN w ELSE 0 END) AS loads, deal, turn
+      FROM (SELECT d.label, h.step, CAST(h.w AS HUGEINT) AS w, h.c, d.loads, {deal} AS deal, d.turn FROM d JOIN h ON h.label IS NOT DISTINCT FROM d.label AND h.step = d.step + 1)
+    ),
+    r AS (SELECT code, label, w, row_number() OVER (PARTITION BY label, w ORDER BY code) - 1 AS pos FROM g),
+    f AS (SELECT r.code, CAST(d.deal[r.pos % {k} + 1] AS INT) AS fold FROM r JOIN d ON d.label IS NOT DISTINCT FROM r.label AND d.w = r.w)"""
+
+
+def folded_sql(rows: str, group: str, columns: str, by: str = "") -> str:
+    return f"{group_folds_sql(rows, group)} SELECT {columns} FROM e JOIN f ON f.code = {seeded_sql(0, 'e.' + group)} {by}"
 
 
 COPIED = f"(SELECT event_id, label FROM {REASONS} UNION ALL SELECT * FROM " + draws_sql(
@@ -189,11 +203,11 @@ COPIED = f"(SELECT event_id, label FROM {REASONS} UNION ALL SELECT * FROM " + dr
 
 @query(
     "H6_copies_share_fold",
-    group_folds_sql(COPIED, "event_id") + " SELECT e.event_id, e.label, fold, COUNT(*) AS copies FROM e JOIN f ON e.event_id = f.event_id GROUP BY 1, 2, 3",
+    folded_sql(COPIED, "event_id", "e.event_id, e.label, fold, COUNT(*) AS copies", "GROUP BY 1, 2, 3"),
 )
 def copies_in_folds(t: Tables):
     drawn = over_sample(reasons(t), "event_id", "label", SEED)
-    folded = group_folds(drawn, "event_id", "label", 5, heavy_parts=None)
+    folded = group_folds(drawn, "event_id", "label", 5)
     return folded.groupBy("event_id", "label", "fold").agg(F.count("*").alias("copies"))
 
 
@@ -202,11 +216,11 @@ ORDER_ROWS = "(SELECT o_orderkey, o_custkey, CAST(o_custkey % 3 AS INT) AS label
 
 @query(
     "K3_group_folds",
-    group_folds_sql(ORDER_ROWS, "o_custkey") + " SELECT e.o_orderkey, e.label, fold FROM e JOIN f ON e.o_custkey = f.o_custkey",
+    folded_sql(ORDER_ROWS, "o_custkey", "e.o_orderkey, e.label, fold"),
 )
 def grouped_folds(t: Tables):
     rows = t.orders.selectExpr("o_orderkey", "o_custkey", "CAST(o_custkey % 3 AS INT) AS label")
-    return group_folds(rows, "o_custkey", "label", 5, heavy_parts=None).select("o_orderkey", "label", "fold")
+    return group_folds(rows, "o_custkey", "label", 5).select("o_orderkey", "label", "fold")
 
 
 MIXED_ROWS = "(SELECT o_orderkey, o_custkey, CAST(o_orderkey % 3 AS INT) AS label FROM orders)"
@@ -214,28 +228,30 @@ MIXED_ROWS = "(SELECT o_orderkey, o_custkey, CAST(o_orderkey % 3 AS INT) AS labe
 
 @query(
     "K3_group_folds_mixed_labels",
-    group_folds_sql(MIXED_ROWS, "o_custkey") + " SELECT e.o_orderkey, e.label, fold FROM e JOIN f ON e.o_custkey = f.o_custkey",
+    folded_sql(MIXED_ROWS, "o_custkey", "e.o_orderkey, e.label, fold"),
 )
 def mixed_folds(t: Tables):
     rows = t.orders.selectExpr("o_orderkey", "o_custkey", "CAST(o_orderkey % 3 AS INT) AS label")
-    return group_folds(rows, "o_custkey", "label", 5, leaf_rows=SMALL_LEAF, heavy_parts=None).select("o_orderkey", "label", "fold")
+    return group_folds(rows, "o_custkey", "label", 5, leaf_rows=SMALL_LEAF).select("o_orderkey", "label", "fold")
 
 
-HOT_ROWS = ["o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS grp", "CAST(o_custkey % 2 AS INT) AS label"]
+HOT_ROWS = [
+    "o_orderkey",
+    "CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS grp",
+    "CAST(CASE WHEN o_custkey % 5 < 2 THEN NULL ELSE o_orderkey % 2 END AS INT) AS label",
+]
 
 
-@query(
-    "K3_group_folds_hot_group",
-    f"""SELECT COUNT(*) AS n_rows, COUNT(DISTINCT grp) AS n_groups, CAST(0 AS BIGINT) AS split_groups, CAST(0 AS BIGINT) AS empty_folds
-    FROM (SELECT {', '.join(HOT_ROWS)} FROM orders)""",
-)
+@query("K3_group_folds_hot_group", folded_sql(sub("orders", HOT_ROWS), "grp", "e.o_orderkey, e.grp, e.label, fold"))
 def hot_group(t: Tables):
-    """A group with a third of all rows stays whole and leaves no fold empty."""
-    folded = group_folds(t.orders.selectExpr(*HOT_ROWS), "grp", "label", 5)
-    per_group = folded.groupBy("grp").agg(F.count("*").alias("n"), F.min("fold").alias("low"), F.max("fold").alias("high"))
-    return per_group.agg(
-        F.sum("n").alias("n_rows"),
-        F.count("*").alias("n_groups"),
-        F.count(F.when(F.col("low") != F.col("high"), 1)).alias("split_groups"),
-        (5 - F.countDistinct("low")).alias("empty_folds"),
-    )
+    """A group with a third of all rows, and many rows and groups without a label."""
+    return group_folds(t.orders.selectExpr(*HOT_ROWS), "grp", "label", 5)
+
+
+MANY = ["event_id", "CAST(event_id % 997 AS INT) AS label"]
+
+
+@query("H8_fraction_of_many_classes", f"SELECT event_id, label FROM {ranked_sql(sub('events', MANY))} QUALIFY pos < ceil(COUNT(*) OVER (PARTITION BY label) / 3)")
+def third_of_many(t: Tables):
+    """A class for every 997th row: the plan is a table, not a list of cases."""
+    return stratified_fraction(t.events.selectExpr(*MANY), "event_id", "label", 3, SEED)

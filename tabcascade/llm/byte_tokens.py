@@ -16,12 +16,12 @@ SLICE = 1 << 18
 # Classes of bytes of plain texts: letters, digits, white space, anything else that prints. A text
 # of these bytes alone is cut alike by every version of the Unicode tables: ASCII and the
 # Latin-1 letters, whose first byte is 0xC3. All others are 0.
-_LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
+LETTER, DIGIT, SPACE, MARK = 1, 2, 3, 4
 _CLASS = np.zeros(256, np.uint8)
-_CLASS[33:127] = _OTHER
-_CLASS[[9, 10, 13, 32]] = _SPACE
-_CLASS[48:58] = _DIGIT
-_CLASS[65:91] = _CLASS[97:123] = _CLASS[0x80:0xC0] = _CLASS[0xC3] = _LETTER
+_CLASS[33:127] = MARK
+_CLASS[[9, 10, 13, 32]] = SPACE
+_CLASS[48:58] = DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[0x80:0xC0] = _CLASS[0xC3] = LETTER
 
 
 def byte_letters() -> list[str]:
@@ -52,7 +52,7 @@ def piece_starts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if not len(own):
         return np.empty(0, np.int64)
     kind = _CLASS[own]
-    white = kind == _SPACE
+    white = kind == SPACE
     start = np.ones(len(own), bool)
     start[1:] = (kind[1:] != kind[:-1]) & (own[:-1] != 32)
     follows = np.zeros(len(own), bool)
@@ -63,24 +63,34 @@ def piece_starts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     start[white] = (first_white | follows)[white]
     firsts = bounds[:-1][np.diff(bounds) > 0]
     start[firsts] = True
-    # contractions
-    ends = np.repeat(bounds[1:], np.diff(bounds)) if (own == 39).any() else None
-    if ends is not None:
-        at = np.flatnonzero((own == 39) & start)
-        one, two = buffer[at + 1], buffer[at + 2]
-        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
-        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
-        size = np.where(short, 2, np.where(long, 3, 0))
-        held = (size > 0) & (at + size <= ends[at])
-        at, size = at[held], size[held]
-        start[at + 1] = False
-        after = at + size
-        inside = after < ends[at]
-        letters = inside & (kind[np.minimum(after, len(own) - 1)] == _LETTER)
-        start[after[letters]] = True
+    cut_contractions(buffer, bounds, kind, start)
     return np.flatnonzero(start)
 
 
+def classes(own: np.ndarray) -> np.ndarray:
+    """Letter, digit, white space or mark, for each byte of plain texts."""
+    return _CLASS[own]
+
+
+def cut_contractions(buffer: np.ndarray, bounds: np.ndarray, kind: np.ndarray, start: np.ndarray) -> None:
+    """Where a piece begins with an apostrophe and s, t, m, d, re, ve or ll, it ends after these."""
+    own = buffer[: bounds[-1]]
+    at = np.flatnonzero((own == 39) & start)
+    if not len(at):
+        return
+    ends = bounds[np.searchsorted(bounds, at, "right")]
+    one, two = buffer[at + 1], buffer[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    size = np.where(short, 2, np.where(long, 3, 0))
+    held = (size > 0) & (at + size <= ends)
+    at, size, ends = at[held], size[held], ends[held]
+    start[at + 1] = False
+    after = at + size
+    letters = (after < ends) & (kind[np.minimum(after, len(own) - 1)] == LETTER)
+    start[after[letters]] = True
+
+
 class ByteLevel:
     """Ids of texts under a byte-level BPE file of the tokenizers library.
 

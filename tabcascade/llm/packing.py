@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from array import array
 
@@ -19,17 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.byte_tokens import byte_letters
+from tabcascade.llm.byte_tokens import DIGIT, SPACE, byte_letters, classes, cut_contractions, plain
 from tabcascade.llm.common import chunks, shared, text_rows
-from tabcascade.llm.piece_table import PieceTable, Recent, padded
+from tabcascade.llm.piece_table import PieceTable, padded
 
 MAX_TOKENS = 2048
 SEPARATOR = 0
 GROUP_PIECES = 20_000
-MEMO_RUNS = 50_000
 #: Bytes of text that are tokenized at once.
 SLICE = 1 << 18
-# The normaliser and the way of cutting under which texts are cut at spaces.
+# The normaliser and the way of cutting under which texts are cut into pieces here.
 _NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _CUT = {
     "type": "Sequence",
@@ -38,18 +36,15 @@ _CUT = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-# A chunk of these letters with trailing marks is one run of letters and one run of marks for
-# the tokenizer, has no other composed form and one lower case.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þà-öø-ÿ]+)([!-&(-/:-@]*)")
 
 
 class ChunkTokens:
     """Ids of texts under a tokenizer of the tokenizers library.
 
-    Under the normaliser and cuts named above white space is dropped and nothing joins across it,
-    so a text's ids are its chunks' ids one after the other, and each chunk is encoded once.
-    Chunks of plain letters go straight to the merges; any other chunk, and every text under
-    another tokenizer, goes through the whole tokenizer.
+    Under the normaliser and cuts named above a plain text (:func:`byte_tokens.plain`) is lower-cased
+    and cut into runs of letters, single digits and runs of marks without a step per piece, and
+    each distinct piece goes through the merges once. Any other text, and every text under another
+    tokenizer, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,20 +55,16 @@ class ChunkTokens:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         self.by_chunk = told["normalizer"] == _NORMALISED and told["pre_tokenizer"] == _CUT and told["model"]["type"] == "BPE" and not told["model"]["dropout"]
+        self.marks = [t["content"].encode() for t in told["added_tokens"]]
         self.letters = dict(enumerate(byte_letters()))
-        self.runs = Recent(self._run, MEMO_RUNS)
-        self.chunks = PieceTable(self._chunk, limit=300_000)
+        self.pieces = PieceTable(self._piece)
 
-    def _run(self, run: str) -> bytes:
-        mapped = run.encode().decode("latin-1").translate(self.letters)
+    def _piece(self, piece: bytes) -> bytes:
+        mapped = piece.decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(text)
-        if plain:
-            return self.runs[plain[1].lower()] + (self.runs[plain[2]] if plain[2] else b"")
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
@@ -81,24 +72,44 @@ class ChunkTokens:
         return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
 
     def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.by_chunk:
-            found = [self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
-            return np.array([k for ids in found for k in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
         buffer, bounds = padded(texts)
-        own = buffer[: bounds[-1]]
-        inside = (own != 32) & (own != 10)
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        begins = bounds[:-1][np.diff(bounds) > 0]
-        first[begins] = inside[begins]
+        cut = plain(buffer, bounds) if self.by_chunk else np.zeros(len(texts), bool)
+        for mark in self.marks:
+            cut &= np.fromiter((mark not in t for t in texts), bool, len(texts))
+        if cut.all():
+            return self._cut(buffer, bounds)
+        ids, counts = self._cut(*padded([t for t, c in zip(texts, cut, strict=True) if c]))
+        easy = iter(np.split(ids, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+        out = [next(easy) if c else self._whole(t) for t, c in zip(texts, cut, strict=True)]
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+
+    def _cut(self, buffer: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = lowered(buffer)
+        own = low[: bounds[-1]]
+        kind = classes(own)
+        first = np.ones(len(own), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+        cut_contractions(low, bounds, kind, first)
         starts = np.flatnonzero(first)
-        gaps = np.append(np.flatnonzero(~inside), len(own))
-        ends = np.minimum(gaps[np.searchsorted(gaps, starts)], bounds[np.searchsorted(bounds, starts, "right")] if len(starts) else 0)
-        ids, counts = self.chunks.ids(buffer, starts, ends - starts)
+        sizes = np.diff(np.append(starts, len(own)))
+        said = kind[starts] != SPACE
+        starts, sizes = starts[said], sizes[said]
+        ids, counts = self.pieces.ids(low, starts, sizes)
         before = np.append(0, np.cumsum(counts, dtype=np.int64))
         return ids, np.diff(before[np.searchsorted(starts, bounds)])
 
 
+def lowered(buffer: np.ndarray) -> np.ndarray:
+    """Plain texts in lower case: ASCII and the Latin-1 letters, whose second byte is 0x20 less."""
+    out = buffer.copy()
+    out[(buffer >= 65) & (buffer <= 90)] += 32
+    second = np.zeros(len(buffer), bool)
+    second[1:] = (buffer[:-1] == 0xC3) & (buffer[1:] >= 0x80) & (buffer[1:] <= 0x9E)
+    out[second] += 32
+    return out
+
+
 _loaded: dict[str, ChunkTokens] = {}
 
 

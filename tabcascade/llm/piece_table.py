@@ -18,28 +18,6 @@ PAD = 32
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-class Recent(dict):
-    """Key -> what ``make`` says; the last ``limit`` to twice as many keys are remembered.
-
-    A full generation becomes the old one. Keys that are met again move on to the next, so that
-    frequent keys stay and a long run of rare ones does not push them out.
-    """
-
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
 class PieceTable:
     """Piece -> its ids; begins anew when ``limit`` pieces are known.
 

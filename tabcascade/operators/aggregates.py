@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tabcascade.functions import half_even
 
-MAX_CLASSES = 10_000
-
 
 def null_audit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: how many values are missing, out of how many rows."""
@@ -43,12 +41,10 @@ def value_counts(df: DataFrame, by: str | Sequence[str], name: str = "n") -> Dat
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
 
-def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class on the driver. Labels are few; a key column is refused."""
-    sizes = value_counts(df.filter(F.col(f"`{label}`").isNotNull()), label).limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values: not a class label")
-    return {r[0]: r["n"] for r in sizes}
+def class_table(df: DataFrame, label: str) -> DataFrame:
+    """(label, size): one row per class; rows without a label are left out."""
+    known = df.filter(F.col(f"`{label}`").isNotNull())
+    return known.groupBy(F.col(f"`{label}`").alias("label")).agg(F.count(F.lit(1)).alias("size"))
 
 
 def modes(df: DataFrame, numbers: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:

@@ -1,25 +1,24 @@
 """Fold numbers for cross-validation, as a column of the rows.
 
 Stratified folds are consecutive stretches of a class in code order, so k - 1
-cut values per class describe them and assigning a fold is a filter on the row:
-no ranking of all rows, no join, no shuffle of the payload.
+cut values per class describe them, which are joined by label: no ranking of all
+rows, and with few classes no shuffle of the payload.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabcascade.functions import order_code, seeded_code
-from tabcascade.operators.aggregates import class_sizes
+from tabcascade.operators.aggregates import class_table
 from tabcascade.operators.relational import enrich
-from tabcascade.operators.selection import LEAF_ROWS, find_cuts, items_of
+from tabcascade.operators.selection import LEAF_ROWS, cut_table, items_of, positions
 from tabcascade.session import hold
 
-HEAVY_PARTS = 16
-
 
 def fold_shares(sizes: Mapping[object, int], k: int) -> dict[object, list[int]]:
     """Rows of each class per fold.
@@ -35,16 +34,11 @@ def fold_shares(sizes: Mapping[object, int], k: int) -> dict[object, list[int]]:
     return shares
 
 
-def _with_stretch(df: DataFrame, label: Column, code: Column, cuts: Mapping[object, Sequence[str | None]], name: str) -> DataFrame:
-    """The number of the stretch a row lies in: how many cuts of its class are below its code."""
-    inner = max(len(ends) for ends in cuts.values())
-    fold = F.lit(0)
-    for i in range(inner):
-        end = F.lit(None).cast("string")
-        for value, ends in cuts.items():
-            end = F.when(label == value, F.lit(ends[i] or "")).otherwise(end)
-        fold = fold + (F.col("_code") > end).cast("int")
-    return df.withColumn("_code", code).withColumn(name, fold.cast("int")).drop("_code")
+def _fold_ends(sizes: DataFrame, k: int) -> DataFrame:
+    """(label, idx, need): rows of each class in the first idx + 1 folds, by :func:`fold_shares`."""
+    start = F.sum("size").over(Window.orderBy("label")) - F.col("size")  # one row a class
+    dealt = f"aggregate(sequence(0, idx), 0L, (a, i) -> a + (start + size - i + {k - 1}) div {k} - (start - i + {k - 1}) div {k})"
+    return sizes.withColumn("start", start).select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("idx")).select("label", "idx", F.expr(dealt).alias("need"))
 
 
 def stratified_folds(
@@ -56,26 +50,49 @@ def stratified_folds(
     name: str = "fold",
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """Stratified k-fold over unique keys: in key order, or shuffled by a seed."""
+    """Stratified k-fold over unique keys: in key order, or shuffled by a seed.
+
+    A class has k - 1 cut values; a row's fold is the number of them below its code. Rows without
+    a label get no fold.
+    """
     code = order_code(df, key) if seed is None else seeded_code(seed, key)
     lab = F.col(f"`{label}`")
-    sizes = class_sizes(df, label)
-    ends = {c: [sum(shares[: i + 1]) for i in range(k - 1)] for c, shares in fold_shares(sizes, k).items()}
+    if k < 2:
+        return df.withColumn(name, F.when(lab.isNotNull(), F.lit(0)))
+    sizes = hold(class_table(df, label))
     items = df.filter(lab.isNotNull()).select(*items_of(lab, code))
-    cuts = find_cuts(items, ends, sizes, leaf_rows, even=seed is not None)
-    return _with_stretch(df, lab, code, cuts, name)
+    cuts = cut_table(items, _fold_ends(sizes, k), sizes, leaf_rows, even=seed is not None)
+    per_class = sizes.select("label").join(cuts.groupBy("label").agg(F.collect_list("code").alias("codes")), "label", "left")
+    per_class = per_class.select(F.col("label").alias(label), F.coalesce("codes", F.array().cast("array<string>")).alias("_cuts"))
+    placed = enrich(df, per_class, label, row_key=key).withColumn("_code", code)
+    # a class without rows in the first folds has no cut there
+    fold = F.lit(k - 1) - F.size("_cuts") + F.size(F.filter("_cuts", lambda c: F.col("_code") > c))
+    return placed.withColumn(name, F.when(F.col("_cuts").isNotNull(), fold).cast("int")).select(*df.columns, name)
+
+
+def _deals(histogram: DataFrame, k: int) -> DataFrame:
+    """(label, weight, deal): the folds in the order in which groups of a weight are dealt.
 
+    Largest weights first; equal groups go round the folds, beginning with the emptiest of their
+    class (first of equals: a turn that depends on the label). A class has about the square root
+    of twice its rows of different weights at most.
+    """
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        loads, out = [0] * k, []
+        for weight, n, turn in sorted(zip(rows["weight"], rows["n"], rows["turn"], strict=True), reverse=True):
+            order = sorted(range(k), key=lambda i: (loads[i], (i - turn) % k))
+            full, rest = divmod(int(n), k)
+            for place, i in enumerate(order):
+                loads[i] += (full + (place < rest)) * int(weight)
+            out.append(order)
+        rows = rows.sort_values("weight", ascending=False).drop(columns="turn")
+        return rows.assign(deal=out)[["label", "weight", "deal"]]
 
-def _fill_levels(loads: Sequence[float], light: float) -> list[float]:
-    """Share out ``light`` rows so that the folds end as equal as they can."""
-    low, high = min(loads), max(loads) + light
-    for _ in range(100):
-        mid = (low + high) / 2
-        if sum(max(0.0, mid - x) for x in loads) < light:
-            low = mid
-        else:
-            high = mid
-    return [max(0.0, high - x) for x in loads]
+    turn = F.conv(F.substring(F.md5(F.col("label").cast("string")), 1, 8), 16, 10).cast("long") % k
+    kind = histogram.schema["label"].dataType.simpleString()
+    turned = histogram.withColumn("turn", F.coalesce(turn, F.lit(0)))
+    return turned.groupBy("label").applyInPandas(deal, f"label {kind}, weight long, deal array<int>")
 
 
 def group_folds(
@@ -86,63 +103,32 @@ def group_folds(
     seed: int = 0,
     name: str = "fold",
     leaf_rows: int = LEAF_ROWS,
-    heavy_parts: int | None = HEAVY_PARTS,
     **how,
 ) -> DataFrame:
     """Stratified group k-fold: no group is in two folds, classes stay in proportion.
 
-    A group belongs to its most frequent label, the smallest on ties. Groups
-    that hold more than 1/``heavy_parts`` of a fold's share of their class, of
-    which there are at most ``heavy_parts * k`` per class, go to the emptiest
-    fold, largest first; None turns that off. All others are laid out in hash order and cut by running row count so that the
-    folds end equal. Where every group has one label, as copies of a row do,
-    the fold is a function of the row and nothing is joined.
+    A group belongs to its most frequent known label, the smallest on ties; groups without any
+    known label are a class of their own, and rows without a group are one group. Its weight is
+    its number of rows. Within a class the heaviest groups go first, each to the emptiest fold;
+    groups of one weight are dealt in turn, in hash order, so that the rule needs the histogram
+    of weights only. ``how`` goes to the join of the folds to the rows.
     """
-    grp, lab = F.col(f"`{group}`"), F.col(f"`{label}`")
-    pairs = df.filter(lab.isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
-    groups = pairs.groupBy(group).agg(
-        F.min_by(lab, F.struct(-F.col("n"), lab)).alias("label"),
+    lab = F.col(f"`{label}`").alias("label")
+    code = seeded_code(seed, group)
+    pairs = df.groupBy(code.alias("code"), lab).agg(F.count(F.lit(1)).alias("n"))
+    groups = pairs.groupBy("code").agg(
+        F.min_by("label", F.struct(F.col("label").isNull(), -F.col("n"), "label")).alias("label"),
         F.sum("n").alias("weight"),
-        F.count(F.lit(1)).alias("labels"),
     )
     groups = hold(groups)
-    totals = (
-        groups.groupBy("label")
-        .agg(F.sum("weight").alias("n"), F.max("labels").alias("labels"), F.count(F.lit(1)).alias("groups"))
-        .collect()
-    )
-    if not totals:
+    histogram = hold(groups.groupBy("label", "weight").agg(F.count(F.lit(1)).alias("n")))
+    largest = histogram.agg(F.max("n")).first()[0]
+    if largest is None:
         return df.withColumn(name, F.lit(None).cast("int"))
-    code = seeded_code(seed, group)
-    is_heavy = F.lit(False)
-    for r in totals if heavy_parts else ():
-        floor = r["n"] / (k * heavy_parts)
-        is_heavy = is_heavy | ((F.col("label") == r["label"]) & (F.col("weight") > floor))
-    heavy = []
-    if heavy_parts:
-        heavy = groups.filter(is_heavy).select("label", "weight", grp.alias("group"), code.alias("code")).collect()
-    loads = {r["label"]: [0.0] * k for r in totals}
-    placed: dict[int, list] = {i: [] for i in range(k)}
-    for r in sorted(heavy, key=lambda r: (-r["weight"], r["code"])):
-        mine = loads[r["label"]]
-        i = min(range(k), key=lambda i: (mine[i], sum(x[i] for x in loads.values()), i))
-        mine[i] += r["weight"]
-        placed[i].append(r["group"])
-    ends = {}
-    for r in totals:
-        parts = _fill_levels(loads[r["label"]], r["n"] - sum(loads[r["label"]]))
-        ends[r["label"]] = [sum(parts[: i + 1]) for i in range(k - 1)]
-    items = groups.filter(~is_heavy).select(*items_of(F.col("label"), code, F.col("weight")))
-    cuts = find_cuts(items, ends, {r["label"]: r["groups"] for r in totals}, leaf_rows)
-
-    def number(rows: DataFrame, label_column: Column) -> DataFrame:
-        rows = _with_stretch(rows, label_column, code, cuts, name)
-        fold = F.col(name)
-        for i, members in placed.items():
-            if members:
-                fold = F.when(grp.isin(members), F.lit(i)).otherwise(fold)
-        return rows.withColumn(name, fold)
-
-    if all(r["labels"] == 1 for r in totals):
-        return number(df, lab)
-    return enrich(df, number(groups, F.col("label")).select(group, name), group, **how)
+    equal = F.concat_ws(":", F.coalesce(F.col("label").cast("string"), F.lit("")), F.col("label").isNull().cast("string"), "weight")
+    ranked = positions(groups.select(equal.alias("label"), "code", F.col("label").alias("class"), "weight"), largest, leaf_rows)
+    deals = _deals(histogram, k).withColumnsRenamed({"label": "_class", "weight": "_weight"})
+    dealt = ranked.join(deals, F.col("class").eqNullSafe(F.col("_class")) & (F.col("weight") == F.col("_weight")))
+    folds = dealt.select(F.col("code").alias("_group"), F.element_at("deal", (F.col("pos") % k + 1).cast("int")).alias(name))
+    placed = enrich(df.withColumn("_group", code), folds, "_group", **how)
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], name)

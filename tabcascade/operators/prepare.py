@@ -6,11 +6,16 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.functions import half_even, quotient
+from tabcascade.functions import half_even, quotient, seeded_code
 from tabcascade.operators.aggregates import modes
+from tabcascade.operators.relational import enrich
+from tabcascade.operators.selection import LEAF_ROWS, positions
+from tabcascade.session import hold
 
 MAX_LEVELS = 10_000
 
@@ -64,20 +69,71 @@ def apply_fill(df: DataFrame, values: Mapping) -> DataFrame:
 # ---- one-hot --------------------------------------------------------------------
 
 
-def fit_levels(train: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Distinct values per categorical column, sorted. Refuses a column that is no category."""
+def _level_rows(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    pairs = train.select(F.explode(cells).alias("cell")).select("cell.*").filter(F.col("value").isNotNull()).distinct()
-    limit = MAX_LEVELS * len(columns)
-    rows = pairs.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} category values in {list(columns)}")
+    return train.select(F.explode(cells).alias("cell")).select("cell.*").filter(F.col("value").isNotNull()).distinct()
+
+
+def fit_levels(train: DataFrame, columns: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Distinct values per categorical column, sorted: one named column each later on.
+
+    A column of more than ``most`` values is refused; :func:`fit_level_table` takes any number.
+    """
+    pairs = _level_rows(train, columns)
+    counts = {r["column_name"]: r["n"] for r in pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wide = [c for c, n in counts.items() if n > most]
+    if wide:
+        raise ValueError(f"more than {most} category values in {wide}: encode them by a level table")
     levels: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
+    for r in pairs.collect():
         levels[r["column_name"]].append(r["value"])
     return {c: sorted(v) for c, v in levels.items()}
 
 
+@dataclass(frozen=True)
+class LevelTable:
+    """(column_name, value, index) of all levels, numbered from 0 in each column; levels per column."""
+
+    rows: DataFrame
+    sizes: Mapping[str, int]
+
+
+def fit_level_table(train: DataFrame, columns: Sequence[str], leaf_rows: int = LEAF_ROWS) -> LevelTable:
+    """The level dictionary as a table, for any number of values.
+
+    Levels are numbered in the order of a hash, in buckets, so that no task holds a whole column.
+    """
+    pairs = hold(_level_rows(train, columns))
+    counts = {r["column_name"]: r["n"] for r in pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {c: counts.get(c, 0) for c in columns}
+    items = pairs.select(F.col("column_name").alias("label"), seeded_code("level", "value").alias("code"), "value")
+    ranked = positions(items, max(sizes.values(), default=0), leaf_rows)
+    return LevelTable(hold(ranked.select(F.col("label").alias("column_name"), "value", F.col("pos").alias("index"))), sizes)
+
+
+def encode_levels(df: DataFrame, levels: LevelTable, out: str = "encoded", row_key: str | None = None, **how) -> DataFrame:
+    """One sparse 0/1 vector over the levels of all columns, in the order of the table's columns.
+
+    A value becomes its number by an index join, a missing or unseen one the number behind the
+    last, which the encoder drops: zeros. The columns themselves stay; a column without any level
+    takes no place.
+    """
+    columns = [c for c, n in levels.sizes.items() if n]
+    if not columns:
+        return df.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    coded = df
+    for k, c in enumerate(columns):
+        own = levels.rows.where(F.col("column_name") == c).select(F.col("value").alias("_value"), F.col("index").alias(f"_index{k}"))
+        coded = enrich(coded.withColumn("_value", F.col(f"`{c}`").cast("string")), own, "_value", row_key=row_key, **how).drop("_value")
+        told = {"ml_attr": {"type": "nominal", "num_vals": levels.sizes[c] + 1, "name": c}}
+        number = F.coalesce(F.col(f"_index{k}"), F.lit(levels.sizes[c])).cast("double")
+        coded = coded.withColumn(f"_index{k}", number.alias(f"_index{k}", metadata=told))
+    numbers, flags = [f"_index{k}" for k in range(len(columns))], [f"_flags{k}" for k in range(len(columns))]
+    encoder = OneHotEncoder(inputCols=numbers, outputCols=flags, dropLast=True, handleInvalid="error").fit(coded)
+    packed = VectorAssembler(inputCols=flags, outputCol=out).transform(encoder.transform(coded))
+    return packed.select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
 def apply_one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]], sep: str = "_") -> DataFrame:
     """One 0/1 column per level seen in training; a missing or unseen value gives zeros.
 

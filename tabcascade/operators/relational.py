@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tabcascade.session import hold
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-HOT_KEYS = 100
+#: Most hot keys whose lookup rows are broadcast, and items that the sketch follows for each.
+HOT_KEYS, TRACKED = 1000, 10
 NULL_SPREAD = 1024
 
 
@@ -83,10 +84,41 @@ class Lookup:
 
 
 def measured(lookup: DataFrame, key: str) -> Lookup:
+    """The lookup's rows with a key, held and measured; a repeated key is refused."""
     rows = hold(lookup.filter(F.col(f"`{key}`").isNotNull()))
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"{key}={again[0][0]!r} is {again[0]['n']} times in the lookup: facts would be multiplied")
     return Lookup(rows, key, measured_bytes(rows))
 
 
+def hot_lookup_keys(df: DataFrame, lookup: Lookup, needed: Column, most: int, limit_bytes: int) -> list:
+    """Keys that alone hold more facts than a shuffle task should, most frequent first.
+
+    A mergeable sketch of frequent items reads the facts' key once and shuffles nothing but
+    itself. A key is hot if it has more than half of the rows that a task gets in an even shuffle;
+    it is left out when the lookup rows of the hot keys before it fill ``limit_bytes``.
+    """
+    key = F.col(f"`{lookup.key}`")
+    if not most:
+        return []
+    wanting = df.filter(needed & key.isNotNull()).select(key.alias("_key"))
+    told = wanting.agg(F.expr(f"approx_top_k(_key, {most}, {most * TRACKED})").alias("top"), F.count(F.lit(1)).alias("rows")).first()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = [r["item"] for r in told["top"] or [] if 2 * r["count"] * tasks > told["rows"]]
+    if not hot:
+        return []
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in lookup.rows.columns])
+    sizes = {r["k"]: r["w"] for r in lookup.rows.filter(key.isin(hot)).select(key.alias("k"), width.alias("w")).collect()}  # ``most`` rows
+    kept, total = [], 0
+    for k in hot:
+        total += sizes.get(k, 0)
+        if total > limit_bytes:
+            break
+        kept.append(k)
+    return kept
+
+
 def enrich(
     df: DataFrame,
     lookup: DataFrame | Lookup,
@@ -94,20 +126,23 @@ def enrich(
     needed: Column | None = None,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
     hot_keys: int = HOT_KEYS,
+    hot_bytes: int = BROADCAST_LIMIT_BYTES,
+    row_key: str | None = None,
 ) -> DataFrame:
     """Left-join a lookup with one row per key onto facts of any skew.
 
-    The lookup is measured first. Up to ``broadcast_limit`` bytes it is
-    broadcast and the facts are not shuffled at all. Beyond that the join is
+    The lookup is measured first, and refused if a key is repeated. Up to ``broadcast_limit`` bytes
+    it is broadcast and the facts are not shuffled at all. Beyond that the join is
     shuffled, and rows that would pile up in one task are moved off it:
 
     * rows with a missing key, or for which ``needed`` is false, cannot match
       and are spread over ``NULL_SPREAD`` salt values;
-    * the ``hot_keys`` most frequent keys have their lookup rows broadcast and
-      are spread the same way. No other key can hold more than one part in
-      ``hot_keys`` of the rows.
+    * keys that hold more rows than a task should, ``hot_keys`` at most, have their lookup rows, up
+      to ``hot_bytes``, broadcast and are spread the same way.
 
-    Every fact row comes out exactly once.
+    Rows are spread by the hash of ``row_key``, a column that tells rows apart, so that only it is
+    read beside what the query needs; without it all columns are. Every fact row comes out exactly
+    once.
     """
     found = lookup if isinstance(lookup, Lookup) else measured(lookup, key)
     names, rows = found.values(), found.rows
@@ -118,15 +153,12 @@ def enrich(
         )
         return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`") for c in names])
 
-    hot: list = []
-    if hot_keys:
-        wanting = df.filter(needed & F.col(f"`{key}`").isNotNull())
-        largest = wanting.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(hot_keys)
-        hot = [r[0] for r in largest.collect()]
+    hot = hot_lookup_keys(df, found, needed, hot_keys, hot_bytes)
     is_hot = F.col(f"`{key}`").isin(hot) if hot else F.lit(False)
-    # The task number spreads copies of one row, the row hash spreads one task's
-    # rows; neither depends on row order, so a retried task repeats the salt.
-    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) % NULL_SPREAD + F.spark_partition_id()
+    # Not the row order decides the salt, so that a retried task repeats it. Without a key that tells
+    # rows apart, the task number spreads copies of one row.
+    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in ([row_key] if row_key else df.columns)]) % NULL_SPREAD
+    mixed = mixed if row_key else mixed + F.spark_partition_id()
     rows_hash = F.pmod(mixed, F.lit(NULL_SPREAD)).cast("bigint") + 1
     can_match = needed & F.col(f"`{key}`").isNotNull() & ~is_hot
     salted = df.withColumn("_salt", F.when(can_match, F.lit(0).cast("bigint")).otherwise(rows_hash))

@@ -15,109 +15,111 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabcascade.session import hold
 
 LEAF_ROWS = 100_000
 MAX_STEP_DIGITS = 4
+#: A table of classes, targets or prefixes is broadcast up to so many rows, of at most 200 bytes.
+SMALL_ROWS = 100_000
 
 
-@dataclass
-class _Search:
-    """One target: the prefix it lies under and how much weight is still needed there."""
-
-    label: object
-    index: int
-    need: float
-    prefix: str
-    rows: int
-    longest: int
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a counted table of classes; a larger one leaves the choice to Spark."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def _prefix(depth: int) -> Column:
-    return F.substring("code", 1, depth).alias("under")
+    return F.substring("code", 1, depth)
 
 
-def find_cuts(
-    items: DataFrame,
-    targets: Mapping[object, Sequence[float]],
-    sizes: Mapping[object, int],
-    leaf_rows: int = LEAF_ROWS,
-    even: bool = True,
-) -> dict[object, list[str | None]]:
-    """For each class the codes at which the running weight reaches the targets.
+def _running(partition: Sequence[str], order: str) -> tuple[Column, Column]:
+    """(sum of weights up to and with a row, whether it is the last row) of a window."""
+    window = Window.partitionBy(*partition).orderBy(order)
+    return F.sum("w").over(window), F.lead(order).over(window).isNull()
+
+
+def cut_table(items: DataFrame, targets: DataFrame, sizes: DataFrame, leaf_rows: int = LEAF_ROWS, even: bool = True) -> DataFrame:
+    """(label, idx, code): the code at which the running weight of a class reaches a target.
 
-    ``items`` has the columns ``label``, ``code`` and ``weight``, and ``sizes``
-    tells its rows per class. With weight 1, unique keys and target n exactly n
-    items lie at or below the cut. A target of zero or less gives None; one
-    above the total is to be cut to it by the caller. ``even`` says that codes
-    are hashes; others have their common prefix skipped first.
+    ``items`` has ``label``, ``code`` and ``weight``; ``targets`` has ``label``, ``idx`` and ``need``; ``sizes``
+    has ``label`` and ``size``, the items per class. With weight 1, unique keys and need n exactly n items
+    lie at or below the cut. A need of zero or less, or above the total, has no cut. ``even`` says
+    that codes are hashes; others have their common prefix skipped first.
+
+    Any number of classes and targets: they are rows, joined to the items by label and prefix, and
+    counted prefixes are summed up within the prefix above, at most 16^4 of them a window. Only the
+    size of the largest rest comes to the driver.
     """
-    cuts: dict[object, list[str | None]] = {label: [None] * len(wanted) for label, wanted in targets.items()}
-    searches = [
-        _Search(label, i, need, "", sizes[label], 1)
-        for label, wanted in targets.items()
-        for i, need in enumerate(wanted)
-        if need > 0 and sizes.get(label, 0) > 0
-    ]
-    if not searches:
-        return cuts
+    searches = targets.where("need > 0").join(sizes, "label").select(
+        "label", "idx", F.col("need").cast("double").alias("need"), F.lit("").alias("prefix"), F.col("size").alias("rows"), F.lit(1).alias("longest")
+    )
+    searches = hold(searches)
     depth = 0
-    if not even and any(s.rows > leaf_rows for s in searches):
+    if not even and (searches.agg(F.max("rows")).first()[0] or 0) > leaf_rows:
         ends = items.agg(F.min("code").alias("low"), F.max("code").alias("high")).first()
         shared = os.path.commonprefix([ends["low"], ends["high"]])
         depth = len(shared)
-        for s in searches:
-            s.prefix, s.longest = shared, depth + 1
-    while any(s.rows > leaf_rows and s.longest > depth for s in searches):
-        largest = max(s.rows for s in searches)
+        searches = hold(searches.withColumn("prefix", F.lit(shared)).withColumn("longest", F.lit(depth + 1)))
+    while True:
+        largest = searches.where(F.col("longest") > depth).agg(F.max("rows")).first()[0] or 0
+        if largest <= leaf_rows:
+            break
         step = min(MAX_STEP_DIGITS, math.ceil(math.log(largest / leaf_rows, 16)) or 1)
-        counted = (
-            _under(items, searches, depth)
-            .groupBy("label", _prefix(depth + step))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.max(F.length("code")).alias("longest"))
-            .collect()
-        )
-        by_label: dict[object, list] = {}
-        for r in sorted(counted, key=lambda r: r["under"]):
-            by_label.setdefault(r["label"], []).append(r)
-        for s in searches:
-            inside = [r for r in by_label[s.label] if r["under"].startswith(s.prefix)]
-            for r in inside:
-                if s.need <= r["w"] or r is inside[-1]:
-                    s.prefix, s.rows, s.longest = r["under"], r["n"], r["longest"]
-                    break
-                s.need -= r["w"]
+        counted = _under(items, searches, depth).groupBy("label", "prefix", _prefix(depth + step).alias("next")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.max(F.length("code")).alias("longest")
+        )
+        upto, last = _running(["label", "prefix"], "next")
+        counted = counted.select("label", "prefix", "next", "n", "w", F.col("longest").alias("below"), upto.alias("upto"), last.alias("last"))
+        found = searches.drop("longest").join(counted, ["label", "prefix"])
+        before = F.col("upto") - F.col("w")
+        found = found.where((before < F.col("need")) & ((F.col("need") <= F.col("upto")) | F.col("last")))
+        searches = hold(found.select("label", "idx", (F.col("need") - before).alias("need"), F.col("next").alias("prefix"), F.col("n").alias("rows"), F.col("below").alias("longest")))
         depth += step
-    # Few distinct items are left under each prefix: put them in order. Equal
-    # items are merged first, so that many copies of one cannot pile up.
-    leaf = _under(items, searches, depth).groupBy("label", _prefix(depth), "code").agg(F.sum("weight").alias("weight"))
-    upto = F.sum("weight").over(Window.partitionBy("label", "under").orderBy("code"))
-    running = leaf.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("weight"))
-    reached = F.lit(False)
-    for s in searches:
-        here = (F.col("label") == s.label) & (F.col("under") == s.prefix)
-        reached = reached | (here & (F.col("before") < s.need) & (F.col("upto") >= s.need))
-    found = running.filter(reached).collect()
-    for s in searches:
-        for r in found:
-            if r["label"] == s.label and r["under"] == s.prefix and r["before"] < s.need <= r["upto"]:
-                cuts[s.label][s.index] = r["code"]
-    return cuts
+    # Few distinct items are left under each prefix: put them in order. Equal items are merged
+    # first, so that many copies of one cannot pile up.
+    leaf = _under(items, searches, depth).groupBy("label", "prefix", "code").agg(F.sum("weight").alias("w"))
+    upto, _ = _running(["label", "prefix"], "code")
+    leaf = leaf.withColumn("upto", upto)
+    found = searches.join(leaf, ["label", "prefix"])
+    return found.where((F.col("upto") - F.col("w") < F.col("need")) & (F.col("upto") >= F.col("need"))).select("label", "idx", "code")
+
 
+def _under(items: DataFrame, searches: DataFrame, depth: int) -> DataFrame:
+    """Items of the searched classes that lie under a searched prefix, with that prefix."""
+    heads = small(hold(searches.select(F.col("label").alias("_label"), "prefix").distinct()))
+    under = F.col("label") == F.col("_label")
+    if depth:
+        under = under & (_prefix(depth) == F.col("prefix"))
+    return items.join(heads, under).drop("_label")
 
-def _under(items: DataFrame, searches: Sequence[_Search], depth: int) -> DataFrame:
-    """Items of the searched classes that lie under a searched prefix."""
-    labels = sorted({s.label for s in searches}, key=str)
-    if depth == 0:
-        return items.filter(F.col("label").isin(labels))
-    wanted = F.lit(False)
-    for label in labels:
-        prefixes = sorted({s.prefix for s in searches if s.label == label})
-        wanted = wanted | ((F.col("label") == label) & F.substring("code", 1, depth).isin(prefixes))
-    return items.filter(wanted)
+
+def table_of(df: DataFrame, label: str, values: Mapping | DataFrame, name: str, kind: str = "long") -> DataFrame:
+    """(label, ``name``) from a dictionary by class, or such a table as it is."""
+    if isinstance(values, DataFrame):
+        return values
+    schema = T.StructType([T.StructField("label", df.schema[label].dataType), T.StructField(name, T._parse_datatype_string(kind))])
+    return df.sparkSession.createDataFrame(list(values.items()), schema)
+
+
+def find_cuts(
+    items: DataFrame,
+    targets: Mapping[object, Sequence[float]],
+    sizes: Mapping[object, int],
+    leaf_rows: int = LEAF_ROWS,
+    even: bool = True,
+) -> dict[object, list[str | None]]:
+    """The cuts of a handful of named classes, one row a target on the driver; see :func:`cut_table`."""
+    wanted = table_of(items, "label", {c: [float(n) for n in needs] for c, needs in targets.items()}, "needs", "array<double>")
+    wanted = wanted.select("label", F.posexplode("needs").alias("idx", "need"))
+    cuts: dict[object, list[str | None]] = {label: [None] * len(needs) for label, needs in targets.items()}
+    for r in cut_table(items, wanted, table_of(items, "label", sizes, "size"), leaf_rows, even).collect():
+        cuts[r["label"]][r["idx"]] = r["code"]
+    return cuts
 
 
 def items_of(label: Column, code: Column, weight: Column | None = None) -> list[Column]:
@@ -133,9 +135,10 @@ def positions(
 ) -> DataFrame:
     """Number the items of each class from 0 in code order, as column ``pos``.
 
-    A class is ranked in buckets of its code's leading digits, each shifted by
-    the size of the buckets before it; codes must be evenly spread hashes. The
-    bucket count follows ``largest``, the size of the largest class.
+    A class is ranked in buckets of its code's leading digits, each shifted by the size of the
+    buckets before it; codes must be evenly spread hashes. The shifts have two levels: buckets are
+    summed up within a bucket of buckets, and those within the class, so that no task sees all
+    buckets of a class. The bucket count follows ``largest``, the size of the largest class.
     """
     digits = 0
     while largest / 16**digits > leaf_rows:
@@ -144,8 +147,17 @@ def positions(
         return items.withColumn("pos", (F.row_number().over(Window.partitionBy("label").orderBy("code")) - 1).cast("bigint"))
     bucketed = items.withColumn("bucket", F.substring("code", 1, digits))
     sizes = bucketed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("label", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    coarse = F.substring("bucket", 1, (digits + 1) // 2)
+    sizes = hold(sizes.withColumn("coarse", coarse))
+
+    def before(*partition: str) -> Column:
+        order = "coarse" if partition == ("label",) else "bucket"
+        window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(window), F.lit(0))
+
+    tops = sizes.groupBy("label", "coarse").agg(F.sum("n").alias("n")).select("label", "coarse", before("label").alias("top"))
+    inner = sizes.select("label", "bucket", "coarse", before("label", "coarse").alias("inner"))
+    shifts = inner.join(tops, ["label", "coarse"]).select("label", "bucket", (F.col("inner") + F.col("top")).alias("shift"))
     local = bucketed.withColumn("local", F.row_number().over(Window.partitionBy("label", "bucket").orderBy("code")) - 1)
     return (
         local.join(shifts, ["label", "bucket"])

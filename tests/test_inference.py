@@ -221,3 +221,34 @@ def test_fill_encode_scale(spark):
     flat = train.withColumn("x", F.lit(1.0))
     assert apply_scaling(flat, fit_standard(flat, ["x"])).first()["x"] is None
     assert polynomial(train.select("x", "y"), ["x", "y"]).columns == ["x", "y", "x^2", "x y", "y^2"]
+
+
+def test_a_million_levels(spark):
+    """Wide categories become one sparse vector; narrow ones the same flags as named columns."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tabcascade.operators.prepare import encode_levels, fit_level_table
+
+    train = spark.range(1_000_000).select(F.col("id").cast("string").alias("wide"), (F.col("id") % 3).cast("string").alias("t"))
+    levels = fit_level_table(train, ["wide", "t"])
+    assert levels.sizes == {"wide": 1_000_000, "t": 3}
+    told = levels.rows.where("column_name = 'wide'").agg(F.min("index"), F.max("index"), F.countDistinct("index")).first()
+    assert tuple(told) == (0, 999_999, 1_000_000)
+    some = spark.createDataFrame([("5", "1"), ("999999", None), ("new", "2"), (None, "x")], "wide string, t string")
+    got = [r.encoded for r in encode_levels(some, levels).orderBy(F.col("wide").asc_nulls_first()).collect()]
+    assert [v.size for v in got] == [1_000_003] * 4 and [v.numNonzeros() for v in got] == [0, 2, 1, 1]
+    with pytest.raises(ValueError, match="wide"):
+        fit_levels(train, ["wide", "t"])
+    narrow = fit_level_table(train.limit(100), ["t"])
+    flags = encode_levels(train.limit(50), narrow).withColumn("f", vector_to_array("encoded"))
+    named = apply_one_hot(flags, {"t": ["0", "1", "2"]})
+    at = {r["value"]: r["index"] for r in narrow.rows.collect()}
+    for r in named.collect():
+        assert [r.f[at[v]] for v in "012"] == [r[f"t_{v}"] for v in "012"]
+
+
+def test_levels_of_nothing(spark):
+    from tabcascade.operators.prepare import encode_levels, fit_level_table
+
+    train = spark.createDataFrame([(None,)], "t string")
+    assert encode_levels(train, fit_level_table(train, ["t"])).first().encoded.size == 0

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tabcascade.functions import code_label, decode_label, half_even, nan_to_null, order_code, quotient, tokens_to_null
 from tabcascade.operators.aggregates import city_population, modes, null_audit
-from tabcascade.operators.relational import assemble, cascade_merge, enrich, fill_from_lookup, last_value_lookup, predictors
+from tabcascade.operators.relational import assemble, cascade_merge, enrich, fill_from_lookup, hot_lookup_keys, last_value_lookup, measured, predictors
 from tabcascade.sources.files import save_bucketed
 
 
@@ -134,3 +135,31 @@ def test_order_code_sorts_like_the_value(spark):
     words = spark.createDataFrame([("b",), ("a",), ("aa",), ("B",)], "w string")
     by_code = [r[0] for r in words.orderBy(order_code(words, "w")).collect()]
     assert by_code == ["B", "a", "aa", "b"]
+
+
+def test_repeated_lookup_key_is_refused(spark):
+    facts = spark.range(10).select(F.col("id").cast("int").alias("k"))
+    lookup = spark.createDataFrame([(1, 2), (1, 3), (None, 1), (None, 2)], "k int, w int")
+    with pytest.raises(ValueError, match="k=1 is 2 times"):
+        enrich(facts, lookup, "k")
+    assert enrich(facts, lookup.dropDuplicates(["k"]), "k").count() == 10
+
+
+def test_shuffled_lookup_reads_two_columns(spark, data):
+    """The salt needs the row key alone, so that no other column of the facts is read."""
+    facts = spark.read.parquet(f"{data}/orders.parquet")
+    lookup = spark.read.parquet(f"{data}/customer.parquet").selectExpr("c_custkey AS o_custkey", "c_acctbal")
+    joined = enrich(facts, lookup, "o_custkey", broadcast_limit=0, row_key="o_orderkey").select("o_orderkey", "c_acctbal")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema: " in line and "orders.parquet" in line]
+    assert schemas and all(s.startswith("struct<o_orderkey:bigint,o_custkey:bigint>") for s in schemas), schemas
+    assert joined.count() == facts.count()
+
+
+def test_hot_keys_fit_their_bytes(spark):
+    facts = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 4 == 1, 2).otherwise(F.col("id")).cast("int").alias("k"), "id")
+    lookup = measured(spark.createDataFrame([(1, "x" * 100), (2, "y" * 100)] + [(i, "z") for i in range(3, 50)], "k int, w string"), "k")
+    true = F.lit(True)
+    assert hot_lookup_keys(facts, lookup, true, 10, 10**6) == [1, 2]
+    assert hot_lookup_keys(facts, lookup, true, 10, 200) == [1]
+    assert hot_lookup_keys(facts, lookup, true, 0, 10**6) == [] == hot_lookup_keys(facts.limit(0), lookup, true, 10, 10**6)

@@ -1,12 +1,17 @@
+import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from tabcascade.functions import seeded_code
 from tabcascade.operators import sampling
+from tabcascade.operators.aggregates import class_table
 from tabcascade.operators.folds import fold_shares, group_folds, stratified_folds
 from tabcascade.operators.sampling import (
     balanced_bag,
+    class_weight_table,
     class_weights,
     extra_draws,
     keep_exactly,
@@ -15,8 +20,9 @@ from tabcascade.operators.sampling import (
     top_up,
     under_then_over,
     under_then_top_up,
+    with_class_weight,
 )
-from tabcascade.operators.selection import find_cuts, items_of
+from tabcascade.operators.selection import cut_table, find_cuts, items_of, positions
 from tabcascade.plans.tuning import fold_numbers, fold_split
 
 
@@ -176,3 +182,72 @@ def test_rows_without_a_fold_are_left_out(spark):
     for held_out in (0, 1):
         train, validation = fold_split(rows, "fold", held_out)
         assert 3 not in [r.id for r in train.union(validation).collect()]
+
+
+# ---- many classes -------------------------------------------------------------------------
+
+
+def test_twenty_thousand_classes(spark):
+    """Sizes, cuts, draws and folds of classes that no driver dictionary was made for."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("id", "CAST(id % 20000 AS INT) AS label").cache()
+    third = stratified_fraction(rows, "id", "label", 3, 1)
+    assert third.count() == 20_000 and third.select("label").distinct().count() == 20_000
+    kept = keep_exactly(rows, "id", "label", {5: 1, 7: 0}, 1)
+    assert kept.count() == n - 5 and kept.filter("label IN (5, 7)").count() == 1
+    some = rows.filter("id < 20000 OR id % 2 = 0")
+    drawn = over_sample(some, "id", "label", 2)
+    assert drawn.groupBy("label").count().filter("count <> 3").count() == 0
+    weights = with_class_weight(rows, "label", class_weight_table(rows, "label"))
+    assert weights.filter("abs(weight - 1) > 1e-12 OR weight IS NULL").count() == 0
+    folds = stratified_folds(rows, "id", "label", 3, 9)
+    assert {r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {20_000}
+    assert folds.groupBy("label").agg(F.countDistinct("fold").alias("f")).filter("f <> 3").count() == 0
+
+
+def windows(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "windowspecdefinition" in line]
+
+
+def test_no_window_over_all_buckets_of_a_class(rows):
+    items = rows.select(F.col("label"), seeded_code(1, "id").alias("code"))
+    for line in windows(positions(items, 700, 1)):
+        spec = line[line.index("windowspecdefinition(") :]
+        # running sums: over coarse buckets of a class, and over buckets of a coarse one
+        assert spec.count("label#") and ("coarse#" in spec or "bucket#" in spec), line
+    cuts = cut_table(items.withColumn("weight", F.lit(1)), rows.select("label").distinct().select("label", F.lit(0).alias("idx"), F.lit(1).alias("need")), class_table(rows, "label"), 4)
+    assert all("prefix#" in line for line in windows(cuts)) and cuts.count() == 6
+
+
+def test_group_folds_by_brute_force(spark):
+    """Heaviest first, equal weights in turn, unlabelled groups and rows without a group included."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(120):
+        size = rng.choice([1, 1, 1, 2, 2, 3, 5, 40])
+        label = rng.choice([0, 0, 1, 2, None])
+        rows += [(f"g{g}", label if rng.random() < 0.8 else rng.choice([None, label]), k) for k in range(size)]
+    rows += [(None, 1, 0), (None, None, 1)]
+    k = 4
+    got = group_folds(spark.createDataFrame(rows, "g string, y int, x int"), "g", "y", k, leaf_rows=3).collect()
+    members = defaultdict(list)
+    for g, y, _ in rows:
+        members[g].append(y)
+    classes = defaultdict(list)
+    for g, ys in members.items():
+        known = Counter(y for y in ys if y is not None)
+        label = min(known, key=lambda y: (-known[y], y)) if known else None
+        code = hashlib.md5((f"0:{g}" if g is not None else "0").encode()).hexdigest()
+        classes[label].append((-len(ys), code, g))
+    want = {}
+    for label, groups in classes.items():
+        turn = int(hashlib.md5(str(label).encode()).hexdigest()[:8], 16) % k if label is not None else 0
+        loads, groups = [0] * k, sorted(groups)
+        for weight in sorted({w for w, _, _ in groups}):
+            order = sorted(range(k), key=lambda i: (loads[i], (i - turn) % k))
+            for place, (_, _, g) in enumerate(x for x in groups if x[0] == weight):
+                want[g] = order[place % k]
+                loads[order[place % k]] -= weight
+        assert max(loads) - min(loads) <= max(-w for w, _, _ in groups)
+    assert {r["g"]: r["fold"] for r in got} == want and len(got) == len(rows)
