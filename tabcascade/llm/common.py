@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabcascade.session import ensure_checkpoint_dir
 
 BROADCAST_BYTES = 32 << 20
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20)
 #: A worker keeps what its operators remember, one after the other, so that each has little.
 MEMO_WORDS = 100_000
 
@@ -30,8 +31,18 @@ def small_enough(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session pass texts to Python in batches of a few megabytes, whatever their rows.
+
+    Only Spark's own default is replaced.
+    """
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text as UTF-8 bytes); null text is empty, other columns are left behind."""
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),

@@ -7,9 +7,9 @@ that similar sets agree in at least 1 + m whole blocks. Up to m of a set's empti
 common rule, need not be joined on. Sets meet in the blocks' values, are compared by a whole
 sketch and then verified on the shingles themselves.
 
-Copies are one class. Sets that meet in a block form a group around its first class; a group is
-compared in parts of bounded size, which return a spanning forest and not all pairs. Two like sets
-meet in many groups, so the groups compare sketches only. What is near by them joins the sets into
+Copies are one class. Sets that meet in a block's value are rows of the group of its first class;
+they are compared with that class and, unless both are near it, with each other. Large groups are
+compared in parts of bounded size. Two like sets meet in many groups, so the groups compare sketches only. What is near by them joins the sets into
 components of which no link leaves any, and the shingles travel once for each component. There
 the links are verified, again as a spanning forest. Components of the forests are those of all
 links.
@@ -195,20 +195,22 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 class _Members:
-    """Rows (g, i, j, cls, n, sketch) of whole parts, as flat arrays; sketches are runs of words."""
+    """Rows (g, i, j, tag, cls, n, sketch) of whole parts, as flat arrays; sketches are runs of words."""
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
-        self.g, self.i, self.j, self.cls, self.n = (np.asarray(table.column(k)) for k in range(5))
-        raw = table.column(5).to_pylist()
+        self.g, i, j, tag, self.cls, self.n = (np.asarray(table.column(k)) for k in range(6))
+        raw = table.column(6).to_pylist()
         self.words = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
         self.begin = np.cumsum(self.words) - self.words
         self.bits = np.frombuffer(b"".join(raw), np.uint64)
         new = np.ones(len(self.g), bool)
-        new[1:] = (self.g[1:] != self.g[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        new[1:] = (self.g[1:] != self.g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        self.part = np.cumsum(new) - 1
+        new[1:] |= tag[1:] != tag[:-1]
         self.starts = np.flatnonzero(new)
         self.sizes = np.diff(np.append(self.starts, len(self.g)))
-        self.part = np.cumsum(new) - 1
+        self.met = np.cumsum(new) - 1  # rows that met in one block's value
 
     def near(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Whether sizes and sketches of the rows ``a`` and ``b`` allow a link, pair by pair."""
@@ -232,38 +234,37 @@ class _Members:
 
 
 def _near_in(rows: _Members, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one part whose sketches allow a link; where many do, enough to connect them.
+    """Pairs of rows that met and whose sketches allow a link; where many do, enough to connect them.
 
-    A part that is a whole group has its first class among the rows. All others are compared with
-    it at once. Of the pairs without it, those of two rows near it need no comparison; the rest is
-    compared pair by pair in small parts, and by growing trees in large ones.
+    Every part holds its group's first class, with which all others are compared at once. Of the
+    pairs without it, those of two rows near it need no comparison; the rest is compared among the
+    rows that met in the same value, pair by pair where they are few, else by growing trees.
     """
-    lead = np.full(len(rows.starts), -1)
-    own = np.flatnonzero((rows.cls == rows.g) & (rows.i == rows.j))
+    lead = np.full(int(rows.part[-1]) + 1, -1)
+    own = np.flatnonzero(rows.cls == rows.g)
     lead[rows.part[own]] = own
     mine = lead[rows.part]
-    others = np.flatnonzero((mine >= 0) & (mine != np.arange(len(mine))))
+    others = np.flatnonzero(mine != np.arange(len(mine)))
     close = rows.near(mine[others], others, percent)
     out = [(mine[others[close]], others[close])]
-    far = others[~close]
-    far_count = np.bincount(rows.part[far], minlength=len(rows.starts))
-    open_ = np.flatnonzero((rows.sizes > 2) & (far_count > 0) | (lead < 0) & (rows.sizes > 1))
-    small = open_[(rows.sizes[open_] <= SMALL_PART) & (lead[open_] >= 0)]
-    # each far row with every other row but the first class; two far rows once
-    far = far[np.isin(rows.part[far], small)]
-    width = rows.sizes[rows.part[far]]
+    is_far = np.zeros(len(mine), bool)
+    is_far[others[~close]] = True
+    far_count = np.bincount(rows.met[is_far], minlength=len(rows.starts))
+    few = rows.sizes <= SMALL_PART
+    far = np.flatnonzero(is_far & (few & (rows.sizes > 1))[rows.met])
+    width = rows.sizes[rows.met[far]]
     for at in np.array_split(np.arange(len(far)), max(1, int(width.sum()) // 1_000_000)):
-        a = np.repeat(far[at], width[at])
-        b = np.repeat(rows.starts[rows.part[far[at]]], width[at]) + np.arange(len(a)) - np.repeat(np.cumsum(width[at]) - width[at], width[at])
-        is_far = np.zeros(len(mine), bool)
-        is_far[far] = True
-        keep = (b != mine[b]) & (~is_far[b] | (b > a))
+        # each far row with every other row that met there; two far rows once
+        first, n = rows.starts[rows.met[far[at]]], width[at]
+        a = np.repeat(far[at], n)
+        b = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(a))
+        keep = (a != b) & (~is_far[b] | (b > a))
         a, b = a[keep], b[keep]
         close = rows.near(a, b, percent)
         out.append((a[close], b[close]))
-    for part in np.setdiff1d(open_, small).tolist():
-        start, size = int(rows.starts[part]), int(rows.sizes[part])
-        sketches = stacked([rows.sketch(start + k) for k in range(size)])
+    for k in np.flatnonzero(~few & (far_count > 0)).tolist():
+        start, size = int(rows.starts[k]), int(rows.sizes[k])
+        sketches = stacked([rows.sketch(start + x) for x in range(size)])
         found = _forest(sketches, rows.n[start : start + size], percent)
         if found:
             a, b = np.array(found).T
@@ -329,8 +330,12 @@ def _in_parts(members: DataFrame, weight, limit: int) -> DataFrame:
     dealt = members.join(small_enough(large, large.count(), 16), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("p", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     others = F.expr("filter(sequence(0, parts - 1), q -> parts = 1 or q <> p)")
-    meet = F.explode(F.transform(others, lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j"))))
-    return dealt.withColumn("meet", meet).select("g", "meet.i", "meet.j", "cls")
+    meet = F.transform(others, lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j")))
+    if "tag" in members.columns:
+        # the first class is in every part
+        every = F.expr("flatten(transform(sequence(0, parts - 1), i -> transform(filter(sequence(i, parts - 1), j -> parts = 1 or j > i), j -> struct(i, j))))")
+        meet = F.when(F.col("cls") == F.col("g"), every).otherwise(meet)
+    return dealt.withColumn("meet", F.explode(meet)).select("g", "meet.i", "meet.j", *[c for c in members.columns if c in ("tag", "cls")])
 
 
 def link_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -340,12 +345,12 @@ def link_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
     keys = sets.select(F.explode("keys").alias("key"), "cls")
     # Each class of a block's value meets the first one; sorted streams, no buffered groups.
     ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
-    stars = shared(ordered.mapInArrow(_stars, "g long, cls long").distinct(), "stars")
-    members = stars.unionByName(stars.select("g", F.col("g").alias("cls")).distinct())
+    stars = shared(ordered.mapInArrow(_stars, "g long, cls long, tag int").distinct(), "stars")
+    members = stars.unionByName(stars.select("g", F.col("g").alias("cls"), F.lit(-1).alias("tag")).distinct())
     sketches = sets.where("sketch IS NOT NULL").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     part = ["g", "i", "j"]
-    parts = _in_parts(members, F.lit(1), GROUP_CLASSES).join(sketches, "cls").select(*part, "cls", "n", "sketch")
-    near = parts.repartition(*part).sortWithinPartitions(*part, "cls").mapInArrow(_near_pairs(percent), "a long, b long")
+    parts = _in_parts(members, F.lit(1), GROUP_CLASSES).join(sketches, "cls").select(*part, "tag", "cls", "n", "sketch")
+    near = parts.repartition(*part).sortWithinPartitions(*part, "tag", "cls").mapInArrow(_near_pairs(percent), "a long, b long")
     close = shared(components(near).select(F.col("root").alias("g"), F.col("node").alias("cls")), "close")
     # Only now the shingles themselves, of the classes that may have a partner.
     reps = sets.where("n_shingles > 0").groupBy("cls").agg(F.min("row_hash").alias("row_hash")).join(close.select("cls"), "cls", "left_semi")
@@ -358,7 +363,7 @@ def link_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
 
 
 def _stars(batches):
-    """From rows sorted by key: (first class of the key, other class)."""
+    """From rows sorted by key: (first class of the key, other class, a tag of the key)."""
     key, first = None, None
     for batch in batches:
         keys, cls = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -373,8 +378,10 @@ def _stars(batches):
         lead = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else 0, first if first is not None else 0)
         keep = lead != cls
         if keep.any():
-            pairs = np.unique(np.stack([lead[keep], cls[keep]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["g", "cls"])
+            # the lowest bits of a key are as good as a hash; rows of different keys that share them
+            # are compared for nothing
+            rows = np.unique(np.stack([lead[keep], cls[keep], keys[keep] & 0x7FFF], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["g", "cls", "tag"])
         key, first = int(keys[-1]), int(lead[-1])
 
 
