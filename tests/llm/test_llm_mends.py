@@ -107,19 +107,22 @@ def test_near_rows_of_groups_by_brute_force(small, group, monkeypatch):
     rows = []
     for g in range(60):
         base = np.unique(rng.integers(0, 2**63, int(rng.choice([5, 40, 200])), np.uint64))
-        for k in range(int(rng.integers(1, 9))):
+        rows.append((g * 100, 0, 0, -1, g * 100, len(base), jaccard.sketch(base).tobytes()))
+        for k in range(1, int(rng.integers(2, 9))):
             items = base if rng.random() < 0.4 else np.unique(np.r_[base[rng.random(len(base)) > 0.08], rng.integers(0, 2**63, 2, np.uint64)])
             if rng.random() < 0.3:
                 items = np.unique(rng.integers(0, 2**63, len(base) + 1, np.uint64))
-            rows.append((g * 100, 0, 0, g * 100 + k, len(items), jaccard.sketch(items).tobytes()))
+            for tag in sorted(rng.choice(3, int(rng.integers(1, 3)), replace=False).tolist()):
+                rows.append((g * 100, 0, 0, tag, g * 100 + k, len(items), jaccard.sketch(items).tobytes()))
+    rows.sort()
     columns = list(zip(*rows, strict=True))
-    arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.binary())]
-    batch = pa.RecordBatch.from_arrays(arrays, ["g", "i", "j", "cls", "n", "sketch"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["g", "i", "j", "tag", "cls", "n", "sketch"])
     batches = [batch.slice(a, group) for a in range(0, batch.num_rows, group)]
     got = [(a, b) for out in jaccard._near_pairs(80)(iter(batches)) for a, b in zip(*[c.to_pylist() for c in out.columns], strict=True)]
 
     def joined(pairs):
-        up = {r[3]: r[3] for r in rows}
+        up = {r[4]: r[4] for r in rows}
 
         def root(x):
             while up[x] != x:
@@ -136,11 +139,11 @@ def test_near_rows_of_groups_by_brute_force(small, group, monkeypatch):
     every = []
     for a in rows:
         for b in rows:
-            if a[0] == b[0] and a[3] < b[3]:
-                x, y = jaccard.stacked([np.frombuffer(a[5], np.uint64), np.frombuffer(b[5], np.uint64)])
-                low, high = min(a[4], b[4]), max(a[4], b[4])
-                if low * 100 >= high * 80 and int(np.bitwise_count(x ^ y).sum()) <= jaccard.max_difference(a[4] + b[4], 80):
-                    every.append((a[3], b[3]))
+            if a[0] == b[0] and a[4] < b[4] and (a[3] == b[3] or a[3] == -1):
+                x, y = jaccard.stacked([np.frombuffer(a[6], np.uint64), np.frombuffer(b[6], np.uint64)])
+                low, high = min(a[5], b[5]), max(a[5], b[5])
+                if low * 100 >= high * 80 and int(np.bitwise_count(x ^ y).sum()) <= jaccard.max_difference(a[5] + b[5], 80):
+                    every.append((a[4], b[4]))
     assert set(got) <= set(every) and joined(got) == joined(every)
 
 
