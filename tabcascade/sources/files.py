@@ -47,14 +47,18 @@ SCHEMAS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, drop: Sequence[str] = ()) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, drop: Sequence[str] = (), multi_line: bool = False) -> DataFrame:
     """Read a CSV with a header; the usual words for "missing" become NULL.
 
-    Columns are matched by header name. A value that is neither missing nor of
-    the declared type is an error, not a silent NULL.
+    Columns are matched by header name; a declared one that the header does not have is an error, as is
+    a value that is neither missing nor of the declared type. A quoted value may hold line breaks
+    with ``multi_line``, for which each file is read by one task.
     """
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     kinds = {f.name: f.dataType for f in schema.fields if f.name not in set(drop)}
+    lost = [c for c in kinds if c not in raw.columns]
+    if lost:
+        raise ValueError(f"{path}: the header has no {lost}")
     typed = raw.select(
         *[
             tokens_to_null(F.col(f"`{c}`")).cast(kinds[c]).alias(c)

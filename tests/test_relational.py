@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabcascade.functions import code_label, decode_label, half_even, nan_to_null, order_code, quotient, tokens_to_null
 from tabcascade.operators.aggregates import city_population, modes, null_audit
 from tabcascade.operators.relational import assemble, cascade_merge, enrich, fill_from_lookup, hot_lookup_keys, last_value_lookup, measured, predictors
-from tabcascade.sources.files import save_bucketed
+from tabcascade.sources.files import read_csv, save_bucketed
 
 
 def rows(df, *columns):
@@ -163,3 +164,14 @@ def test_hot_keys_fit_their_bytes(spark):
     assert hot_lookup_keys(facts, lookup, true, 10, 10**6) == [1, 2]
     assert hot_lookup_keys(facts, lookup, true, 10, 200) == [1]
     assert hot_lookup_keys(facts, lookup, true, 0, 10**6) == [] == hot_lookup_keys(facts.limit(0), lookup, true, 10, 10**6)
+
+
+def test_csv_headers_and_line_breaks(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.StringType())])
+    (tmp_path / "a.csv").write_text('t,more,k\n"two\nlines",x,1\nNA,y,2\n')
+    got = read_csv(spark, str(tmp_path / "a.csv"), schema, multi_line=True)
+    assert rows(got, "k", "t") == [(1, "two\nlines"), (2, None)]
+    (tmp_path / "b.csv").write_text("k\n1\n")
+    with pytest.raises(ValueError, match="no \\['t'\\]"):
+        read_csv(spark, str(tmp_path / "b.csv"), schema)
+    assert read_csv(spark, str(tmp_path / "b.csv"), schema, drop=["t"]).columns == ["k"]
