@@ -2,7 +2,7 @@
 
 Each set is folded into a parity sketch: a shingle flips one bit. Two sets whose symmetric
 difference has D elements have sketches that differ in at most D bits. Sets of similar size
-share a size band; the band fixes D and cuts the sketch into D + 1 + m blocks of 64 bits, so
+share a size band; the band fixes D and cuts the sketch into D + 1 + m wide blocks, so
 that similar sets agree in at least 1 + m whole blocks. Up to m of a set's emptiest blocks, by a
 common rule, need not be joined on. Sets meet in the blocks' values, are compared by a whole
 sketch and then verified on the shingles themselves.
@@ -29,6 +29,8 @@ GROUP_CLASSES = 20_000
 SMALL_PART = 64
 BLOCK_SHINGLES = 1_500_000
 SKETCH_WORDS = 64
+#: Bits of a block that is joined on: so many that blocks of few shingles are alike by chance hardly ever.
+BLOCK_BITS = 1 << 20
 _SEED = 0xA24BAED4963EE407
 
 
@@ -71,11 +73,14 @@ class SketchKeys:
 
     def of_band(self, items: np.ndarray, band: int) -> np.ndarray:
         k, spare = self.blocks[band]
+        # items are sorted, and so are their blocks
         block = ((items >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-        bit = (items & np.uint64(63)).astype(np.int64)
-        parity = (np.bincount(block * 64 + bit, minlength=k * 64) & 1).astype(np.uint8)
-        value = np.packbits(parity).view(np.uint64)
+        bit = items & np.uint64(BLOCK_BITS - 1)
         filled = np.bincount(block, minlength=k)
+        # A block's value is the sum of its set bits' hashes, modulo 2: a bit flipped twice is gone.
+        value = np.zeros(k, np.uint64)
+        some = np.flatnonzero(filled)
+        value[some] = np.bitwise_xor.reduceat(mix(block.astype(np.uint64) * np.uint64(BLOCK_BITS) + bit), (np.cumsum(filled) - filled)[some])
         # The highest level at which at most ``spare`` blocks lie: blocks alike in two sets have
         # the same level, so the set that skips more still shares one block with the other.
         level = np.sort(filled)[spare] - 1
