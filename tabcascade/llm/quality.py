@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import buckets, text_hash, text_rows
+from tabcascade.llm.common import buckets, shared, small_enough, text_hash, text_rows
 
 CLASSES = 2048
 DIM = 48
@@ -236,6 +236,19 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def accepted_rows(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``.
+
+    Only keys and scores pass through Python. Rows of one id and text share their score, so all of
+    them stay or go; a null id is an id of its own.
+    """
+    gone = score(docs, model, threshold, id_col, text_col).where("predicted = 0").select("doc_id", "row_hash").distinct()
+    gone = shared(gone.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")), "rejected")
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    known = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__hash"))
+    return docs.join(small_enough(gone, gone.count(), 32), known, "left_anti")
+
+
 def learn_from(mod: int, remainder: int):
     """Ids whose crc32 of their text, modulo ``mod``, is not ``remainder``."""
     return lambda c: buckets(c, mod) != remainder
