@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcascade.llm.byte_tokens import loaded
-from tabcascade.llm.common import chunks, shared, small_enough, text_rows
+from tabcascade.llm.common import chunks, remember, shared, small_enough, text_rows
 from tabcascade.llm.piece_table import PieceTable, padded
 
 #: Bytes of text that are aligned at once.
@@ -173,6 +173,7 @@ def _ends(ids: np.ndarray, counts: np.ndarray, entries: Entries, name: str) -> p
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
+remember("alignment", _aligners.clear)
 
 
 def aligner(byte_path: str, piece_path: str) -> Aligner:

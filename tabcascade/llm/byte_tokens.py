@@ -8,7 +8,7 @@ from array import array
 
 import numpy as np
 
-from tabcascade.llm.common import chunks
+from tabcascade.llm.common import chunks, remember
 from tabcascade.llm.piece_table import PieceTable, padded
 
 #: Bytes of text that are cut at once: the arrays of a slice stay in the processor's cache.
@@ -155,6 +155,7 @@ class ByteLevel:
 
 
 _loaded: dict[tuple[str, bool], ByteLevel] = {}
+remember("byte_tokens", _loaded.clear)
 
 
 def loaded(path: str, plain_specials: bool) -> ByteLevel:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,30 @@ BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerB
 MEMO_WORDS = 100_000
 
 
+_memos: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def remember(owner: str, clear: Callable[[], None]) -> None:
+    """Say how to empty what an operator's module keeps in a worker between tasks."""
+    _memos[owner] = clear
+
+
+def task_of(owner: str) -> None:
+    """Called where a task of an operator starts: workers are used again by other operators, so what
+    those keep is emptied first, and memory that nothing holds goes back to the system."""
+    if _owner[0] != owner:
+        for name, clear in _memos.items():
+            if name != owner:
+                clear()
+        _owner[0] = owner
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the folder that all executors see and read it back."""
     spark = df.sparkSession
@@ -70,6 +97,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+remember("words", _hashes.clear)
 
 
 def words(text: bytes) -> list[bytes]:

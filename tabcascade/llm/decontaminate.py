@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import MEMO_WORDS, chunks, grams, hashed, mix, text_hash, text_rows, words
+from tabcascade.llm.common import MEMO_WORDS, chunks, grams, hashed, mix, remember, task_of, text_hash, text_rows, words
 
 EDIT_PERCENT = 20
 WALKS, TABLES, PLACES = 6, 8, 2
@@ -40,6 +40,7 @@ class _BareHashes(dict):
 
 
 _bare = _BareHashes()
+remember("decontaminate", _bare.clear)
 
 
 def item_words(text: bytes) -> np.ndarray:
@@ -275,6 +276,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT,
         sent = docs.sparkSession.sparkContext.broadcast(Items.build(block, percent))
 
         def run(batches, sent=sent):
+            task_of("decontaminate")
             items = sent.value
             for batch in batches:
                 out: list[tuple] = []

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import shared, small_enough, text_hash, text_rows
+from tabcascade.llm.common import shared, small_enough, task_of, text_hash, text_rows
 
 SPACES = b" \t\n\x0b\x0c\r"
 RANGE_ROWS = 1 << 20
@@ -81,6 +81,7 @@ class CountingQuotientFilter:
 
 
 def _digests(batches):
+    task_of("exact_dedup")
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         bare = [t.translate(None, SPACES) for t in texts]

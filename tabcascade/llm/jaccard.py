@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import components, mix, shared, shingles, small_enough, text_hash, text_rows
+from tabcascade.llm.common import components, mix, shared, shingles, small_enough, task_of, text_hash, text_rows
 
 GROUP_CLASSES = 20_000
 SMALL_PART = 64
@@ -110,6 +110,7 @@ def _sets(width: int, percent: int):
     emit = SketchKeys(percent)
 
     def run(batches):
+        task_of("jaccard")
         seen: set[int] = set()
         for batch in batches:
             n, cls, rows, sketches, keys = [], [], [], [], []
@@ -120,7 +121,7 @@ def _sets(width: int, percent: int):
                 cls.append(c)
                 rows.append(text_hash(text))
                 if len(items) and c not in seen:
-                    if len(seen) < 500_000:
+                    if len(seen) < 200_000:
                         seen.add(c)
                     keys.append(emit(items).view(np.int64))
                     sketches.append(sketch(items).tobytes())
@@ -141,6 +142,7 @@ def _class_sets(width: int):
     """(cls, items) of the given documents, each class once in a task."""
 
     def run(batches):
+        task_of("jaccard")
         seen: set[int] = set()
         for batch in batches:
             cls, items = [], []
@@ -148,7 +150,7 @@ def _class_sets(width: int):
                 raw = shingles(text, width).tobytes()
                 c = xxhash.xxh64_intdigest(raw)
                 if c not in seen:
-                    if len(seen) < 500_000:
+                    if len(seen) < 200_000:
                         seen.add(c)
                     cls.append(c)
                     items.append(raw)
@@ -288,6 +290,7 @@ def _near_pairs(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches):
+        task_of("jaccard")
         held = None
         for batch in batches:
             if not batch.num_rows:

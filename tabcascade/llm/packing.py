@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcascade.llm.byte_tokens import DIGIT, SPACE, byte_letters, classes, cut_contractions, plain
-from tabcascade.llm.common import chunks, shared, text_rows
+from tabcascade.llm.common import chunks, remember, shared, task_of, text_rows
 from tabcascade.llm.piece_table import PieceTable, padded
 
 MAX_TOKENS = 2048
@@ -111,6 +111,7 @@ def lowered(buffer: np.ndarray) -> np.ndarray:
 
 
 _loaded: dict[str, ChunkTokens] = {}
+remember("packing", _loaded.clear)
 
 
 def loaded(path: str) -> ChunkTokens:
@@ -139,6 +140,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches):
+        task_of("packing")
         for batch in batches:
             out: list[tuple] = []
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcascade.llm.common import buckets, shared, small_enough, text_hash, text_rows
+from tabcascade.llm.common import buckets, remember, shared, small_enough, task_of, text_hash, text_rows
 
 CLASSES = 2048
 DIM = 48
@@ -56,6 +56,7 @@ class TokenClasses(dict):
 
 
 _classes = TokenClasses()
+remember("quality", _classes.clear)
 
 
 def token_classes(text: bytes) -> np.ndarray:
@@ -87,6 +88,7 @@ def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at, sign = index_vectors()
 
     def run(batches):
+        task_of("quality")
         total = np.zeros(CLASSES * DIM, np.int64)
         for batch in batches:
             parts = [token_classes(t) for t in batch.column(0).to_pylist()]
@@ -223,6 +225,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        task_of("quality")
         m = shared_model.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
