@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabcascade.bindings.base import ORDERS_SQL, Tables, orders, query
@@ -95,8 +94,8 @@ def sparse_levels(t: Tables):
     """A column with a level for each buyer beside a narrow one: distinct codes and set places per priority."""
     df = orders(t).withColumn("buyer", F.col("o_custkey").cast("string"))
     levels = fit_level_table(df.filter(TRAIN), ["priority", "buyer"], leaf_rows=50)
-    coded = encode_levels(df.select("o_orderkey", "priority", "buyer"), levels, row_key="o_orderkey").withColumn("flags", vector_to_array("encoded"))
-    ones = F.aggregate("flags", F.lit(0.0), lambda a, x: a + x)
+    coded = encode_levels(df.select("o_orderkey", "priority", "buyer"), levels, row_key="o_orderkey").withColumn("flags", F.unwrap_udt("encoded"))
+    ones = F.aggregate("flags.values", F.lit(0.0), lambda a, x: a + x)  # of the set places alone
     return coded.groupBy("priority").agg(F.count("*").alias("n"), F.countDistinct("flags").alias("n_codes"), F.sum(ones.cast("long")).alias("n_set"))
 
 
