@@ -133,6 +133,51 @@ def test_heavy_children_make_constant_trees(rows):
     assert model.split_counts(NAMES) == {}
 
 
+def tree_rows(trees):
+    return [(t.feature.tolist(), t.threshold.tolist(), t.value.tolist()) for own in trees for t in own]
+
+
+@pytest.mark.parametrize("label, classes", [("two", 2), ("five", 5)])
+def test_fits_that_grow_together_are_those_of_their_own(rows, label, classes, monkeypatch):
+    """Other samples, folds, depths and numbers of rounds beside it change no fit; nor do small lots of nodes."""
+    points = [{"max_depth": d, "subsample": s, "n_estimators": n, "seed": 3} for d, s, n in ((1, 1.0, 2), (3, 0.7, 1), (3, 0.7, 3), (0, 1.0, 1))]
+    boosts = [GradientBoost(p, label, classes) for p in points for _ in range(2)]
+    folds = [0, 2] * len(points)
+    blocks = boosts[0].packed(rows, "fold")
+    whole = boosting.held_out_counts(boosts, blocks, folds)
+    alone = [b.held_out_counts(blocks, f) for b, f in zip(boosts, folds, strict=True)]
+    assert whole == alone and all(sum(c.values()) == rows.where(f"fold = {f}").count() for c, f in zip(whole, folds, strict=True))
+    settings = [(b.params, f) for b, f in zip(boosts, folds, strict=True)][2:6]
+    monkeypatch.setattr(boosting, "LOT_BYTES", 1)
+    grown = boosting.grow_together(boosting.start_together(blocks, classes, settings), [1, 1, 3, 3], losses=False)
+    for state, (params, held), n in zip(grown, settings, [1, 1, 3, 3], strict=True):
+        own = grow(boosting.start(blocks, classes, params, held), n)
+        assert len(own.trees) == n and tree_rows(own.trees) == tree_rows(state.trees)
+
+
+def test_rows_of_one_part_are_dealt_to_all_cores(spark):
+    """A file with one row group is one task, in every pass of every fit."""
+    df = with_features(spark.range(200_000).coalesce(1).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 2 AS INT) AS two", "0 AS fold"), ["a"], ["two", "fold"])
+    blocks = GradientBoost({}, "two").packed(df, "fold").rows
+    sizes = [r["n"] for r in blocks.groupBy(F.spark_partition_id()).agg(F.sum(F.length("y") / 4).alias("n")).collect()]
+    assert sum(sizes) == 200_000 and len(sizes) >= 8 and max(sizes) <= 50_000
+
+
+def test_a_search_passes_over_the_rows_as_often_as_one_fit(spark, rows):
+    from tabcascade.operators.metrics import ConfusionEvaluator
+    from tabcascade.plans.tuning import fold_scores
+
+    def jobs(settings):
+        spark.sparkContext.setJobGroup(f"search-{settings}", "")
+        points = [{"n_estimators": 1, "max_depth": 2, "min_child_weight": w} for w in range(settings)]
+        scores = fold_scores(lambda p: GradientBoost(p, "two"), points, rows, "fold", ConfusionEvaluator("accuracy", "two"))
+        assert len(scores) == 3 * settings
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"search-{settings}"))
+
+    one, eight = jobs(1), jobs(8)
+    assert 0 < eight <= one + 2
+
+
 # ---- stored families -------------------------------------------------------------------
 
 
