@@ -105,6 +105,16 @@ def test_rows_of_loops_are_read_in_few_tasks(spark):
     assert hold_few(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == 3
 
 
+def test_rows_of_loops_carry_no_operators_of_their_making(spark):
+    """Each task of each pass would tell the driver the counters of these operators."""
+    made = spark.range(400).selectExpr("id", "id % 7 AS k").join(spark.range(7).selectExpr("id AS k", "id * 2 AS w").hint("merge"), "k")
+    x = with_features(made.selectExpr("CAST(k AS DOUBLE) AS k", "CAST(w AS DOUBLE) AS w"), ["k", "w"], ["w"])
+    few = hold_few(x)
+    assert "Shuffled" not in few.rdd.toDebugString().decode()
+    assert few.schema["features"].metadata == x.schema["features"].metadata
+    assert sorted(map(str, few.collect())) == sorted(map(str, x.collect()))
+
+
 def test_a_bag_is_drawn_once(spark, rows):
     read = spark.sparkContext.accumulator(0)
 
