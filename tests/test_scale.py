@@ -7,7 +7,10 @@ import pytest
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from tabcascade.bindings import learn
 from tabcascade.bindings.base import REGISTRY
+from tabcascade.operators import relational
+from tabcascade.operators.folds import group_folds
 from tabcascade.operators.metrics import ConfusionEvaluator
 from tabcascade.plans.boosting import GradientBoost, begin, best_split, bin_ends, grow
 from tabcascade.plans.ensembles import seeded_bags
@@ -115,6 +118,39 @@ def test_rows_of_loops_carry_no_operators_of_their_making(spark):
     assert sorted(map(str, few.collect())) == sorted(map(str, x.collect()))
 
 
+class Events:
+    """A table of events as a query sees it."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.events = spark.range(600).selectExpr(
+            "id AS event_id", "timestamp_seconds(id * 4000) AS ts", "id % 11 AS user_id", "element_at(array('click', 'view', 'error'), CAST(id % 3 AS INT) + 1) AS event_type",
+            "CAST(id AS DOUBLE) AS value", "concat('{\"k\": ', id % 5, '}') AS props",
+        )
+
+
+@pytest.mark.parametrize("build", [learn.fold_rows, learn.binary_fold_rows])
+def test_rows_are_drawn_once_for_their_folds(spark, monkeypatch, build):
+    seen = []
+
+    def folded(df, *more):
+        seen.append(df.storageLevel.useMemory)
+        return group_folds(df, *more)
+
+    monkeypatch.setattr(learn, "group_folds", folded)
+    rows = build(Events(spark), 2)
+    assert seen == [True]
+    assert rows.count() == (360 if build is learn.fold_rows else 900)  # five classes of 72, the largest; 450 of class 0 and five of 90
+    assert rows.groupBy("event_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty()
+
+
+def test_folds_of_groups_are_not_counted_again(spark, monkeypatch):
+    """They are one row a group as they were grouped."""
+    monkeypatch.setattr(relational, "measured", lambda *_: pytest.fail("the folds were grouped once more"))
+    got = group_folds(spark.createDataFrame([("a", 1), ("a", 0), ("b", 1), (None, 1), ("c", 0)], "g string, y int"), "g", "y", 2)
+    assert got.count() == 5 and got.where("fold IS NULL").isEmpty()
+
+
 def test_a_bag_is_drawn_once(spark, rows):
     read = spark.sparkContext.accumulator(0)
 
