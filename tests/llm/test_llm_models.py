@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,46 @@ def test_vocabulary_grows_with_the_distinct_words(spark):
     symbols, mask = np.array([[5, 5], [3100, 7], [5, 2500]]), np.ones((3, 2), bool)
     dense, thin = (gru_lm.train_window(p, symbols, mask, h[:2], sparse=s)[0]["gates"] for s in (False, True))
     assert np.array_equal(dense[thin[0]], thin[1]) and len(dense) == len(everything) and np.count_nonzero(dense) == np.count_nonzero(thin[1])
+
+
+def test_tokens_of_a_batch_match_splitting():
+    texts = [b"", b"  a B\tc\x0b ", b"\x1c x\x1f y \xff\xfe Z", b" ", "É word WORD   x".encode(), b"a" * 10, b"b"]
+    for some in (pa.array(texts, pa.binary()), pa.array([b"zz", *texts], pa.binary()).slice(1), pa.array([b"one two"], pa.binary())):
+        own, number, counts = gru_lm.tokens(some)
+        want = [[gru_lm._tokens[w] for w in t.lower().split()] + [int(gru_lm.END)] for t in some.to_pylist()]
+        assert own[number].tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_documents_of_one_lane_are_learned_apart():
+    """A window over two documents gives the mean of the gradients of both, the second from an empty state."""
+    p = {k: v.astype(np.float64) * 2 for k, v in gru_lm.start_params(small_lexicon()).items()}
+    q, rng = gru_lm.joined(p), np.random.default_rng(8)
+    symbols = rng.choice([1, 33, 64, gru_lm.VOCABULARY + 2], (7, 2))
+    starts, h0 = np.zeros((7, 2), bool), rng.normal(size=(gru_lm.HIDDEN, 2))
+    starts[[0, 3]] = True
+    both, last = gru_lm.window_gradients(q, symbols, np.ones((7, 2), bool), h0, starts)
+    parts = [gru_lm.window_gradients(q, s, np.ones(s.shape, bool), np.zeros_like(h0)) for s in (symbols[:3], symbols[3:])]
+    apart = gru_lm.gathered([(g, n) for (g, _), n in zip(parts, (6, 8), strict=True)])
+    for name in ("u", "c", "w"):
+        assert np.allclose(both[name], apart[name], atol=1e-7), name
+    assert np.array_equal(both["gates"][0], apart["gates"][0]) and np.allclose(both["gates"][1], apart["gates"][1], atol=1e-7)
+    assert np.allclose(last, parts[1][1])
+
+
+def test_every_document_is_in_one_lane():
+    counts = np.array([500, *range(1, 90)])
+    dealt_to = gru_lm.lanes(counts, 8)
+    assert sorted(np.concatenate(dealt_to).tolist()) == list(range(90))
+    length = [int(counts[docs].sum()) for docs in dealt_to]
+    assert len(length) == 8 and length == sorted(length, reverse=True) and min(length) >= 490
+    assert len(gru_lm.lanes(counts[:3], 8)) == 3
+
+
+def test_changes_are_summed_in_pieces(spark):
+    """A partition sends a few rows of bytes, not one row a parameter; the mean goes by tokens."""
+    far = [np.array([0, 1, -1, 2**30, -(2**30), 77], np.int32), np.array([4, -9, 0, 2**30, 5, -77], np.int32)]
+    assert all(np.array_equal(gru_lm.unpacked(gru_lm.packed(x)), x) for x in far)
+    parts = spark.createDataFrame([(a, n, bytearray(gru_lm.packed(x[a : a + 3]))) for n, x in zip((3, 1), far, strict=True) for a in (0, 3)], "piece long, seen long, far binary")
+    got = {r.piece: np.frombuffer(r.mean, np.float32) for r in gru_lm.summed(parts).collect()}
+    want = (3 * far[0].astype(float) + far[1]) / 4 / gru_lm.ONE
+    assert np.allclose(np.r_[got[0], got[3]], want.astype(np.float32))
