@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcascade.llm import gru
-from tabcascade.llm.common import MEMO_WORDS, remember, shared, task_of, text_rows
+from tabcascade.llm.common import shared, task_of, text_rows
 
 HIDDEN = 16
 CLASSES, CLASS_SIZE = 64, 32  # at least; see vocabulary_shape
@@ -50,23 +50,18 @@ SMOOTH = 0.1
 END = np.uint64(TAIL - 1)  # the end token; no word hashes to it in practice
 
 
-def _tail_class(word: bytes) -> int:
-    return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 17 + (3 if len(word) > 2 else 0)) % TAIL
-
-
-class TokenHashes(dict):
-    """Word -> its 64-bit hash with the tail class in the lowest bits."""
-
-    def __missing__(self, word: bytes) -> int:
-        # empty pieces are looked up, but no tokens
-        value = xxhash.xxh64_intdigest(word) & ~(TAIL - 1) | _tail_class(word) if word else int(END)
-        if len(self) < MEMO_WORDS:
-            self[word] = value
-        return value
-
-
-_tokens = TokenHashes()
-remember("gru_lm", _tokens.clear)
+def token_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of an array of words, with the tail class of their last bytes in the lowest bits."""
+    listed = words.view(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed))
+    _, offsets, data = words.buffers()
+    if data is None or not data.size:
+        return hashes
+    until = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size, ends, text = np.diff(until), until[1:], np.frombuffer(data, np.uint8)
+    last, before = (np.where(size >= k, text[np.maximum(ends - k, 0)].astype(np.int64), 0) for k in (1, 2))
+    tail = (last * 31 + before * 17 + np.where(size > 2, 3, 0)) % TAIL
+    return hashes & ~np.uint64(TAIL - 1) | tail.astype(np.uint64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,8 +69,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens, one text after the other, each ended by END; counts of tokens)."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
     coded = pc.dictionary_encode(parts.flatten())
-    listed = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
-    own = np.fromiter(map(_tokens.__getitem__, listed), np.uint64, len(listed))
+    own = token_hashes(coded.dictionary)
     codes = np.asarray(coded.indices)
     until = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(parts)).astype(np.int64))]
     blank = pc.index(coded.dictionary, pa.scalar("")).as_py()
@@ -284,7 +278,7 @@ def model_logs(symbols: np.ndarray, counts: np.ndarray, p: dict[str, np.ndarray]
             doc.append(some[:live])
             rows += live
             rec = across @ h
-            gates = table[symbol].T
+            gates = np.take(table, symbol, axis=0, mode="clip").T
             zr, n = rec[: 2 * k], rec[2 * k :]
             zr += gates[: 2 * k]
             np.tanh(zr, zr)
@@ -382,13 +376,24 @@ def train_window(p: dict[str, np.ndarray], symbols: np.ndarray, mask: np.ndarray
     return split(g), h.T
 
 
-def gathered(windows: list[tuple[dict, int]]) -> dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]:
-    """The mean gradient of all tokens of (gradients, tokens) of windows."""
-    total = sum(n for _, n in windows)
-    out = {k: sum(g[k] * np.float32(n / total) for g, n in windows) for k in ("u", "c", "w")}
-    own, back = np.unique(np.concatenate([g["gates"][0] for g, _ in windows]), return_inverse=True)
-    out["gates"] = own, gru.row_sums(back, np.concatenate([g["gates"][1] * np.float32(n / total) for g, n in windows]), len(own))
-    return out
+class Gathered:
+    """Gradients of windows of few tokens, added up to the mean over all their tokens."""
+
+    def __init__(self):
+        self.sums, self.gates, self.tokens = {}, [], 0
+
+    def add(self, g: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], tokens_of: int) -> None:
+        for k in ("u", "c", "w"):
+            more = g[k] * g[k].dtype.type(tokens_of)
+            self.sums[k] = np.add(self.sums[k], more, out=more) if self.tokens else more
+        own, rows = g["gates"]
+        self.gates.append((own, rows * rows.dtype.type(tokens_of)))
+        self.tokens += tokens_of
+
+    def mean(self) -> dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]:
+        own, back = np.unique(np.concatenate([own for own, _ in self.gates]), return_inverse=True)
+        rows = gru.row_sums(back, np.concatenate([rows for _, rows in self.gates]), len(own))
+        return {k: v / v.dtype.type(self.tokens) for k, v in self.sums.items()} | {"gates": (own, rows / rows.dtype.type(self.tokens))}
 
 
 def lanes(counts: np.ndarray, most: int) -> list[np.ndarray]:
@@ -405,7 +410,7 @@ def lanes(counts: np.ndarray, most: int) -> list[np.ndarray]:
 
 def train_documents(q: dict[str, np.ndarray], adam: gru.LaneAdam, symbols: np.ndarray, counts: np.ndarray, rate) -> None:
     """Truncated backpropagation over whole documents, one after the other in each of up to LANES lanes.
-    ``rate`` is the step's size after so many of these tokens."""
+    Windows of few lanes are gathered to one step. ``rate`` is the step's size after so many of these tokens."""
     begin = np.cumsum(counts) - counts
     dealt_to = lanes(counts, int(min(LANES, max(FEWEST_LANES, counts.sum() // LANE_TOKENS))))
     length = np.array([counts[docs].sum() for docs in dealt_to])
@@ -414,7 +419,7 @@ def train_documents(q: dict[str, np.ndarray], adam: gru.LaneAdam, symbols: np.nd
     symbols, starts = symbols[at], np.zeros(len(at), bool)
     starts[np.cumsum(counts[order]) - counts[order]] = True
     offset = np.cumsum(length) - length
-    h, seen, held_back = np.zeros((HIDDEN, len(length)), np.float32), 0, []
+    h, seen, few = np.zeros((HIDDEN, len(length)), np.float32), 0, Gathered()
     for t in range(0, int(length[0]), STEPS):
         live = int(np.searchsorted(-length, -t, "left"))
         place = t + np.arange(min(STEPS, int(length[0]) - t))[:, None]
@@ -422,13 +427,11 @@ def train_documents(q: dict[str, np.ndarray], adam: gru.LaneAdam, symbols: np.nd
         where = np.minimum(offset[:live] + place, len(symbols) - 1)
         grads, h = window_gradients(q, symbols[where], mask, h[:, :live], starts[where])
         said = int(mask.sum())
-        # windows of few lanes are gathered
-        if held_back or 2 * said < STEPS * len(length):
-            held_back.append((grads, said))
-            many = sum(n for _, n in held_back)
-            if 2 * many < STEPS * len(length) and t + STEPS < length[0]:
+        if few.tokens or 2 * said < STEPS * len(length):
+            few.add(grads, said)
+            if 2 * few.tokens < STEPS * len(length) and t + STEPS < length[0]:
                 continue
-            grads, said, held_back = gathered(held_back), many, []
+            grads, said, few = few.mean(), few.tokens, Gathered()
         adam.update(q, grads, rate(seen) * min(1.0, np.sqrt(said / (STEPS * len(length)))))
         seen += said
 
