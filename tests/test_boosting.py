@@ -113,6 +113,61 @@ def test_rounds_by_held_out_error(rows, label, classes):
     assert (5, 1, len(y), int((guess != y).sum())) in found.curve
 
 
+@pytest.mark.parametrize("label, classes", [("two", 2), ("five", 5)])
+def test_one_task_grows_the_trees_of_many(rows, label, classes, monkeypatch):
+    """Fits of few rows, in one task and by passes over the parts, with samples of rows, bins and features."""
+    params = {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.3, "seed": 6, "subsample": 0.7, "colsample_bytree": 0.7, "reg_alpha": 0.1}
+    monkeypatch.setattr(boosting, "BIN_ROWS", 300)
+    df = rows.repartition(3, "id").cache()
+    here = GradientBoost(params, label, classes).fit(df)
+    monkeypatch.setattr(boosting, "LOCAL_VALUES", 0)
+    passes = GradientBoost(params, label, classes).fit(df)
+    assert here.node_rows() == passes.node_rows() and here.losses == passes.losses and len(here.trees) == 4
+
+
+def test_row_draws_are_those_of_spark(spark):
+    df = spark.range(-3, 200).selectExpr("id * 8589934592 + id AS row", f"pmod(xxhash64(id * 8589934592 + id, 1126, 7), {boosting.SAMPLE_STEPS}) AS draw")
+    got = df.toPandas()
+    assert boosting._row_draws(got["row"].to_numpy(), 1126, 7).tolist() == got["draw"].tolist()
+
+
+def test_bin_ends_follow_the_running_weight():
+    """Against the rule one value at a time."""
+    rng = np.random.default_rng(3)
+    for n, most in ((500, 7), (3000, 127), (140, 127)):
+        values, weights = rng.normal(size=n).round(2), rng.random(n) ** 4
+        known, place = np.unique(values, return_inverse=True)
+        reached = np.cumsum(np.bincount(place, weights))
+        stride = target = reached[-1] / (most + 1)
+        wanted = []
+        for i in range(1, len(known)):
+            if abs(reached[i - 1] - target) < abs(reached[i] - target):
+                wanted.append((known[i - 1] + known[i]) / 2)
+                target += stride
+        if len(known) - 1 > most:
+            assert boosting.bin_ends(values, weights, most).tolist() == wanted
+
+
+def test_registered_settings_grow_all_their_rounds(spark, monkeypatch):
+    """The query fits each registered setting as it is registered."""
+    from tabcascade.bindings import sources
+    from tabcascade.plans.params import registry
+
+    seen = []
+
+    class Told(GradientBoost):
+        def fit(self, df):
+            seen.append(dict(self.params))
+            return GradientBoost({**self.params, "n_estimators": 1, "max_depth": 1}, self.label, self.classes).fit(df)
+
+    monkeypatch.setattr(sources, "GradientBoost", Told)
+    columns = ["event_id AS event_id", "timestamp_seconds(event_id * 977) AS ts", "event_id % 31 AS user_id", "'view' AS event_type", "CAST(event_id % 17 AS DOUBLE) AS value"]
+    events = spark.range(400).withColumnRenamed("id", "event_id").selectExpr(*columns, """concat('{"k": ', event_id % 5, '}') AS props""")
+    tables = type("Tables", (), {"spark": spark, "events": events})()
+    assert sources.registry_fit(tables).agg(F.sum("n")).first()[0] == 100
+    assert sorted(seen, key=lambda p: p["seed"]) == sorted(registry().values(), key=lambda p: p["seed"])
+
+
 def test_patience_ends_the_search():
     curve = [(r, f, 10, m) for r, m in enumerate([5, 3, 3, 4, 3, 2], 1) for f in (0, 1)]
     assert chosen_round(curve, 3) == (2, True)
