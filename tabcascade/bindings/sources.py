@@ -17,7 +17,7 @@ from tabcascade.plans.ledger import side_by_side
 from tabcascade.plans.models import add_prediction, with_features
 from tabcascade.plans.nodes import StoredCascade
 from tabcascade.plans.params import all_settings, registry
-from tabcascade.session import hold
+from tabcascade.session import hold, hold_dealt
 from tabcascade.sources import load_models, read_csv, read_labels, save_models, write_clean, write_submission
 from tabcascade.sources.models import stored_params, unfitted
 
@@ -150,10 +150,10 @@ def settings_split(t: Tables):
 @query("S6_stored_cascade", "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken, 44 AS n_members FROM events")
 def stored_cascade(t: Tables):
     """15 + 29 stored models in one pass over the rows, against the members' own predictions."""
-    df = hold(learn_rows(t))
+    df = hold_dealt(learn_rows(t))
     rows = with_features(df, FEATURE_NAMES, ["event_id", "label"])
     both, folder = two_stage_models(t, df), scratch(t.spark, "family")
     first, second = save_models(both.first, f"{folder}/first"), save_models(both.second, f"{folder}/second")
     fast = StoredCascade.load(t.spark, first, second, 5)
-    scored = both.score(fast.score(rows, "fast"), "slow")
+    scored = both.score_by_members(fast.score(rows, "fast"), "slow")
     return broken(scored, "fast = slow").withColumn("n_members", F.lit(len(fast.first) + len(fast.second)))

@@ -12,7 +12,7 @@ from tabcascade.operators.voting import with_vote
 from tabcascade.plans import boosting
 from tabcascade.plans.boosting import GradientBoost, begin, chosen_round, find_rounds, finished_tree, grow
 from tabcascade.plans.models import add_prediction, random_forest, with_features
-from tabcascade.plans.nodes import StoredCascade, Tree, stored_member, stored_split_counts
+from tabcascade.plans.nodes import Family, Member, StoredCascade, Tree, stored_member, stored_split_counts
 
 NAMES = ["a", "b", "c"]
 
@@ -168,6 +168,64 @@ def test_registered_settings_grow_all_their_rounds(spark, monkeypatch):
     assert sorted(seen, key=lambda p: p["seed"]) == sorted(registry().values(), key=lambda p: p["seed"])
 
 
+def random_tree(rng, depth, classes):
+    nodes = []
+
+    def grow_node(level):
+        at = len(nodes)
+        nodes.append([-1, 0.0, -1, -1])
+        if level and rng.random() < 0.9:
+            nodes[at] = [int(rng.integers(4)), float(rng.integers(-3, 4)), grow_node(level - 1), grow_node(level - 1)]
+        return at
+
+    grow_node(depth)
+    f, t, a, b = zip(*nodes, strict=True)
+    return Tree(np.array(f), np.array(t, float), np.array(a), np.array(b), rng.random((len(f), classes)).round(1))
+
+
+def test_a_family_votes_as_its_members_walk():
+    """Words of several trees, trees of one leaf and of more leaves than a word has bits; values on thresholds, and unknown ones."""
+    rng = np.random.default_rng(5)
+    members = [Member([random_tree(rng, d, 5) for d in (0, 2, 5, 3)], [1.0, 0.5, 2.0, 1.0]) for _ in range(9)]
+    members += [Member([random_tree(rng, 9, 5)], [1.0]), Member([random_tree(rng, 0, 5)], [1.0])]
+    assert max((t.feature < 0).sum() for m in members for t in m.trees) > 64
+    x = rng.integers(-4, 5, (5000, 4)).astype(float)
+    x[::97, 2] = np.nan
+    x[5::89, 1] = np.inf
+    got = Family(members).predictions(x)
+    for own, member in zip(got, members, strict=True):
+        assert own.tolist() == member.predict(x).tolist()
+    assert Family(members).votes(x, 5).sum(axis=1).tolist() == [len(members)] * len(x)
+
+
+def test_a_cascade_of_trees_scores_in_one_pass(spark, rows):
+    """The plan has one Python stage and no member's transform, and says what the members say."""
+    from tabcascade.plans.ensembles import Cascade
+
+    second = rows.where("five > 0").withColumn("five", F.col("five") - 1)
+    both = Cascade(
+        [GBTClassifier(labelCol="two", maxIter=2, maxDepth=2, seed=s).fit(rows) for s in (1, 2)],
+        [random_forest("five", trees=3, depth=4, seed=s).fit(second) for s in (1, 2, 3)], 4,
+    )
+    for stages in (False, True):
+        fast, slow = both.score(rows, "p", stages), both.score_by_members(rows, "p", stages)
+        assert fast.schema.simpleString() == slow.schema.simpleString() and fast.exceptAll(slow).count() == 0 and fast.count() == 900
+    assert fast._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_rows_of_one_part_are_dealt_anew(spark, monkeypatch):
+    from tabcascade import session
+
+    one = spark.range(0, 5000, 1, 1)
+    assert session.hold_dealt(one).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    dealt = session.hold_dealt(one.selectExpr("id AS key"))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 1000 and dealt.distinct().count() == 5000
+    even = spark.range(0, 5000, 1, 16)
+    assert session.hold_dealt(even).rdd.getNumPartitions() == 16
+
+
 def test_patience_ends_the_search():
     curve = [(r, f, 10, m) for r, m in enumerate([5, 3, 3, 4, 3, 2], 1) for f in (0, 1)]
     assert chosen_round(curve, 3) == (2, True)
