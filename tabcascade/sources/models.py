@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.base import Model
+from pyspark.sql import SparkSession
+
+from tabcascade.plans.ledger import side_by_side
 
 
 def member_path(folder: str, number: int) -> str:
@@ -14,9 +17,12 @@ def member_path(folder: str, number: int) -> str:
 
 def save_models(models: Sequence[Model], folder: str) -> list[str]:
     paths = [member_path(folder, i) for i in range(len(models))]
-    for model, path in zip(models, paths):
+
+    def save(model: Model, path: str) -> None:
         whole = model if isinstance(model, PipelineModel) else PipelineModel([model])
         whole.write().overwrite().save(path)
+
+    side_by_side(SparkSession.active(), [lambda m=m, p=p: save(m, p) for m, p in zip(models, paths)], 8)
     return paths
 
 
