@@ -245,3 +245,32 @@ def test_all_reasons_are_learned(spark, data):
     t = Tables(spark, data)
     for rows in (reason_rows(t), fold_rows(t, 2)):
         assert {r.label for r in rows.select("label").distinct().collect()} == set(range(5))
+
+
+@pytest.mark.parametrize("classes, rounds", [(2, 3), (3, 12)])
+def test_kernel_machine_takes_the_steps_of_spark(spark, classes, rounds):
+    """Weights and offsets of one class against the rest, with kernel features made in the passes, against LinearSVC on kept ones."""
+    from tabcascade.plans.kernel import FourierMap
+
+    df = spark.range(600).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(pmod(hash(id), 100) AS DOUBLE) / 50 AS b", f"CAST(IF(id % 11 = 0, id DIV 7, id % 7) % {classes} AS INT) AS label")
+    shape = dict(width=2, gamma=0.4, size=20, seed=3)
+    rows = fourier_features(with_features(df, ["a", "b"], ["label"]), **shape).repartition(3).cache()
+    theirs = kernel_svm("label", 5.0, 600, max_iter=rounds).fit(rows)
+    ours = kernel_svm("label", 5.0, 600, max_iter=rounds, kernel=FourierMap(**shape)).fit(rows)
+    for k, model in enumerate(theirs.models):
+        assert ours.weights[k] == pytest.approx(model.coefficients.toArray(), abs=1e-7) and ours.offsets[k] == pytest.approx(model.intercept, abs=1e-7)
+    both = add_prediction(ours, add_prediction(theirs, rows, "theirs"), "ours")
+    assert both.where("ours <> theirs").count() == 0 and both.select("ours").distinct().count() == classes
+
+
+def test_kernel_machine_passes_over_the_rows_a_few_times(spark, monkeypatch):
+    """All classes and tries of their line searches share passes: about one an iteration, not some ten."""
+    from tabcascade.plans import kernel
+
+    passes, summed = [], kernel._summed
+    monkeypatch.setattr(kernel, "_summed", lambda *a: passes.append(1) or summed(*a))
+    df = spark.range(300).selectExpr("CAST(id % 10 AS DOUBLE) AS a", "CAST(id % 10 < 5 AS INT) AS label")
+    shape = dict(width=1, gamma=0.5, size=16, seed=5)
+    rows = fourier_features(with_features(df, ["a"], ["label"]), **shape)
+    kernel_svm("label", 10.0, 300, max_iter=10, kernel=kernel.FourierMap(**shape)).fit(rows)
+    assert len(passes) <= 30
